@@ -74,3 +74,44 @@ def _growth() -> None:
 
 
 _growth()
+
+
+# ----------------------------------------------------------------------------- OKR cards
+def _okr() -> None:
+    from kpiloom.operators.okr import OKR
+    from kpiloom.oracle.okr import OKR_SQL
+
+    # reservation cards read the 80-month history for the monthly grain
+    long_ok = {"okr_sales", "okr_orders", "okr_package_share", "okr_single_share", "okr_aov", "okr_completed",
+               "okr_completed_from_packages"}
+    daily_range = dict(grain="daily", date_from=dt.date(2024, 1, 5), date_to=dt.date(2024, 1, 26))
+    for name, op in OKR.items():
+        if name == "sales_last_n_days":
+            register(Query(name, op, FIXTURE, False, OKR_SQL[name], ("okr",)))
+            continue
+        if name != "okr_per_washer_daily":
+            register(Query(f"{name}_monthly", op, FIXTURE.with_(grain="monthly"), name in long_ok, OKR_SQL[name],
+                           ("okr",)))
+        if name != "okr_per_washer_per_day":
+            qname = name if name.endswith("_daily") else f"{name}_daily"
+            register(Query(qname, op, FIXTURE.with_(**daily_range), False, OKR_SQL[name], ("okr",)))
+
+
+_okr()
+
+
+# ----------------------------------------------------------------------------- segments
+def _segments() -> None:
+    from kpiloom.operators.segments import SEGMENTS
+    from kpiloom.oracle.segments import SEGMENTS_SQL
+
+    monthly_long = {"indiv_monthly_washes", "indiv_monthly_revenue", "indiv_new_vs_returning", "indiv_repeat_trend",
+                    "indiv_order_histogram"}
+    for name, op in SEGMENTS.items():
+        register(Query(name, op, FIXTURE, name in monthly_long, SEGMENTS_SQL[name], ("segments",)))
+    acct = FIXTURE.with_(account="Customer#000000007")
+    for name in ("b2b_washes", "b2b_account_table", "b2b_monthly_revenue"):
+        register(Query(f"{name}_account", SEGMENTS[name], acct, False, SEGMENTS_SQL[name], ("segments",)))
+
+
+_segments()
