@@ -48,9 +48,10 @@ def pop_points(x: str, order: str = "period") -> Column:
     return rnd(c(x) - F.lag(c(x)).over(w), 1)
 
 
-def share_of_total(x: str | Column) -> Column:
-    """x / SUM(x) OVER () over an already aggregated frame."""
-    return c(x) / F.sum(c(x)).over(Window.partitionBy())
+def share_of_total(x: str | Column, scale: float = 1.0) -> Column:
+    """scale * x / SUM(x) OVER () over an already aggregated frame (one row per group)."""
+    num = c(x) * F.lit(scale) if scale != 1.0 else c(x)
+    return ratio(num, F.sum(c(x)).over(Window.partitionBy()))
 
 
 def next_gap_minutes(df: DataFrame, keys: list[str], start: str, end: str, out: str = "gap") -> DataFrame:

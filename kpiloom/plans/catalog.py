@@ -115,3 +115,34 @@ def _segments() -> None:
 
 
 _segments()
+
+
+# ----------------------------------------------------------------------------- geo + experiment
+def _geo_experiment() -> None:
+    from kpiloom.operators.experiment import EXPERIMENT
+    from kpiloom.operators.geo import orders_by_area
+    from kpiloom.oracle.geo_experiment import EXPERIMENT_SQL, GEO_SQL
+
+    register(Query("orders_by_area", orders_by_area, FIXTURE, False, GEO_SQL["orders_by_area"], ("geo",)))
+    register(Query("orders_by_area_range", orders_by_area,
+                   FIXTURE.with_(date_from=dt.date(2024, 1, 10), date_to=dt.date(2024, 1, 20)), False,
+                   GEO_SQL["orders_by_area"], ("geo",)))
+    register(Query("orders_by_area_month", orders_by_area, FIXTURE.with_(month="2024-01"), False,
+                   GEO_SQL["orders_by_area"], ("geo",)))
+    for name, op in EXPERIMENT.items():
+        register(Query(name, op, FIXTURE, False, EXPERIMENT_SQL[name], ("experiment",)))
+
+
+_geo_experiment()
+
+
+# ----------------------------------------------------------------------------- weekly
+def _weekly() -> None:
+    from kpiloom.operators.weekly import WEEKLY
+    from kpiloom.oracle.weekly import WEEKLY_SQL
+
+    for name, op in WEEKLY.items():
+        register(Query(name, op, FIXTURE, name == "monthly_paid_washes", WEEKLY_SQL[name], ("weekly",)))
+
+
+_weekly()

@@ -127,8 +127,26 @@ def _money_div_1000(price: Column) -> Column:
     return ((F.floor((cents + 5) / 10)).cast("decimal(12,0)") * F.lit(Decimal("0.01"))).cast("decimal(10,2)")
 
 
+# Schemas of the driver's raw test tables; passing them skips footer-based schema inference.
+RAW_SCHEMAS: dict[str, str] = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": ("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+             "p_retailprice double"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                 "l_linestatus string, l_shipdate timestamp_ntz"),
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+}
+
+
 def derive_test_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    raw = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    def raw(n: str) -> DataFrame:
+        return spark.read.schema(RAW_SCHEMAS[n]).parquet(f"{sf_dir}/{n}.parquet")
 
     def reservations() -> DataFrame:
         e = raw("events").withColumn("k", _k())
