@@ -106,7 +106,7 @@ def week_start(x: str | Column, anchor: dt.date) -> Column:
     """Start of the 7-day bucket anchored at ``anchor``; a true floor, so earlier dates get
     negative weeks: DATE_ADD(anchor, FLOOR(DATEDIFF(x, anchor)/7)*7)."""
     a = F.lit(anchor)
-    return F.date_add(a, (F.floor(F.datediff(F.to_date(c(x)), a) / 7) * 7).cast("int"))
+    return F.date_add(a, (F.floor(F.datediff(F.try_to_date(c(x)), a) / 7) * 7).cast("int"))
 
 
 def week_str(x: str | Column, anchor: dt.date) -> Column:

@@ -38,7 +38,7 @@ def div(a: str, b: str) -> str:
 
 
 def week(x: str, anchor: dt.date) -> str:
-    return (f"cast({d(anchor)} + cast(floor(date_diff('day', {d(anchor)}, cast({x} AS DATE)) / 7) * 7 AS INTEGER)"
+    return (f"cast({d(anchor)} + cast(floor(date_diff('day', {d(anchor)}, try_cast({x} AS DATE)) / 7) * 7 AS INTEGER)"
             f" AS DATE)")
 
 

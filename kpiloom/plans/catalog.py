@@ -146,3 +146,15 @@ def _weekly() -> None:
 
 
 _weekly()
+
+
+# ----------------------------------------------------------------------------- scoreboards
+def _scoreboards() -> None:
+    from kpiloom.operators.scoreboard import SCOREBOARD
+    from kpiloom.oracle.scoreboard import SCOREBOARD_SQL
+
+    for name, op in SCOREBOARD.items():
+        register(Query(name, op, FIXTURE, False, SCOREBOARD_SQL[name], ("scoreboard",)))
+
+
+_scoreboards()
