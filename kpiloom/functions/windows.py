@@ -7,17 +7,32 @@ size is bounded by the number of periods, never by the fact table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import c, minutes_between, ratio, rnd
 
 __all__ = [
-    "running", "running_ratio", "pop_pct", "pop_points", "share_of_total", "next_gap_minutes",
+    "merge_on_key", "running", "running_ratio", "pop_pct", "pop_points", "share_of_total", "next_gap_minutes",
     "prev_gap_minutes", "first_seen",
 ]
 
 
+def merge_on_key(frames: list[DataFrame], key: str) -> DataFrame:
+    """Full outer merge of frames that each hold at most one row per ``key``.
+
+    Written as UNION ALL + GROUP BY key (max of each column) instead of a spine and a
+    chain of outer joins: every input is evaluated once and the merge is one partial
+    aggregate + one shuffle of per-key rows, however many frames there are."""
+    cols: list[str] = []
+    for f in frames:
+        cols += [x for x in f.columns if x != key and x not in cols]
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return u.groupBy(key).agg(*[F.max(x).alias(x) for x in cols])
+
+
 def _running_w(order: str) -> Window:
     # the SQL default frame with ORDER BY: RANGE UNBOUNDED PRECEDING .. CURRENT ROW
     return Window.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)

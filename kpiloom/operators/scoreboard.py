@@ -9,18 +9,17 @@ own date column: service day (text ``date``), purchase time (``created_at``),
 attendance date. The only fact-sized shuffles are the all-time first-activity
 aggregate per client (S02, partial MIN) and the (period, client) pairs joined
 to it (S05, S07), which are deduplicated / counted before the join. The period
-spine (S15) and the star of left joins (S16) only touch per-period rows.
+spine (S15) and the outer merge of the components (S16) only touch per-period
+rows: they are one UNION ALL + GROUP BY period, not a chain of joins.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import (bsum, day_str, dec, in_range, live, pct, ratio, rnd, to_dbl, week_str)
-from kpiloom.functions.windows import next_gap_minutes, pop_pct, pop_points
+from kpiloom.functions.windows import merge_on_key, next_gap_minutes, pop_pct, pop_points
 from kpiloom.operators.weekly import _package_breakdown
 from kpiloom.params import Params
 from kpiloom.sources.tables import Tables
@@ -177,8 +176,8 @@ def scoreboard_base(t: Tables, p: Params, weekly: bool, breakdown: bool) -> Data
     elif breakdown:
         comps += [single_purchased_component(t, g), package_breakdown_component(t, g)]
         extra = ["single_purchased", "pkg_customized", "pkg_non_customized", "bogo_free_wash"]
-    spine = reduce(lambda a, b: a.unionByName(b), [x.select("day") for x in comps]).distinct()
-    base = reduce(lambda a, b: a.join(b, "day", "left"), comps, spine)
+    # S15+S16: the period spine is the union of the components' periods
+    base = merge_on_key(comps, "day")
     base = base.fillna(0, subset=[c for c in COUNTS + extra if c != "sales_sar"])
     base = base.withColumn("sales_sar", to_dbl(F.coalesce("sales_sar", F.lit(0))))
     calc = base.select(

@@ -90,10 +90,10 @@ def weekly_purchase_breakdown(t: Tables, p: Params) -> DataFrame:
     purchases (customised / not / offer) per week. No upper bound."""
     wk = lambda col: week_str(col, p.anchor)
     r = live(t.reservations).where(in_range("created_at", p.anchor))
-    spine = r.select(wk("created_at").alias("k")).distinct()
-    sp = r.where(F.col("use_package") == 0).groupBy(wk("created_at").alias("k")).agg(_n().alias("single_purchased"))
+    # one aggregate gives both the week spine (weeks with any reservation) and single purchases
+    sp = r.groupBy(wk("created_at").alias("k")).agg(F.count(F.when(F.col("use_package") == 0, 1)).alias("single_purchased"))
     pk = _package_breakdown(t, p, wk, p.anchor, None)
-    j = spine.join(sp, "k", "left").join(pk, "k", "left")
+    j = sp.join(pk, "k", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return j.select(F.col("k").alias("week"), z("single_purchased"), z("pkg_customized"), z("pkg_non_customized"),
                     z("bogo_free_wash")).orderBy(F.desc("week"))
