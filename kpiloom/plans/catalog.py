@@ -34,7 +34,12 @@ class Query:
             t = t.replace(reservations=t.reservations_long)
         return t
 
+    # streaming queries take (spark, sf_dir, params) and read their own file stream
+    streaming: bool = False
+
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        if self.streaming:
+            return self.op(spark, sf_dir, self.params)
         return self.op(self.tables(spark, sf_dir), self.params)
 
     def oracle_sql(self) -> str | None:
@@ -158,3 +163,30 @@ def _scoreboards() -> None:
 
 
 _scoreboards()
+
+
+# ----------------------------------------------------------------------------- column profile
+def _profile() -> None:
+    from kpiloom.operators.profile import PROFILE
+    from kpiloom.oracle.profile import PROFILE_SQL
+
+    register(Query("profile_columns", PROFILE["profile_columns"], FIXTURE, True, PROFILE_SQL["profile_columns"],
+                   ("profile",)))
+
+
+_profile()
+
+
+# ----------------------------------------------------------------------------- streaming forms
+def _streaming() -> None:
+    from kpiloom.oracle.growth import GROWTH_SQL
+    from kpiloom.oracle.weekly import WEEKLY_SQL
+    from kpiloom.streaming.weekly import stream_daily_orders, stream_weekly_paid_washes
+
+    register(Query("stream_weekly_paid_washes", stream_weekly_paid_washes, FIXTURE, False,
+                   WEEKLY_SQL["weekly_paid_washes"], ("streaming",), streaming=True))
+    register(Query("stream_growth_orders_daily", stream_daily_orders, FIXTURE.with_(grain="daily"), False,
+                   GROWTH_SQL["growth_orders"], ("streaming",), streaming=True))
+
+
+_streaming()

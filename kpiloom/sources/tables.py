@@ -127,6 +127,33 @@ def _money_div_1000(price: Column) -> Column:
     return ((F.floor((cents + 5) / 10)).cast("decimal(12,0)") * F.lit(Decimal("0.01"))).cast("decimal(10,2)")
 
 
+def reservations_from_events(events: DataFrame) -> DataFrame:
+    """reservations derived from events (works on batch and streaming frames)."""
+    e = events.withColumn("k", _k())
+    pkg = F.when(F.col("k") % 5 < 2, 1).otherwise(0)
+    return e.select(
+        F.col("event_id").cast("bigint").alias("id"),
+        F.col("user_id").cast("bigint").alias("client_id"),
+        F.col("ts").alias("created_at"),
+        F.when(F.col("k") % 25 == 0, F.lit(None).cast("string"))
+        .when(F.col("k") % 25 == 1, F.lit(""))
+        .otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("date"),
+        F.when(F.col("event_type") == "error", 6).when(F.col("event_type") == "signup", 1)
+        .otherwise(3).alias("status"),
+        pkg.alias("use_package"),
+        F.col("value").cast("string").alias("total_price"),
+        F.when(F.col("k") % 20 == 0, F.lit(None).cast("bigint"))
+        .otherwise(F.col("user_id") % 8).cast("bigint").alias("representative_id"),
+        _plus_minutes(F.col("ts"), F.lit(5)).alias("representative_start_at"),
+        F.when(F.col("k") % 33 == 0, F.lit(None).cast("timestamp"))
+        .otherwise(_plus_minutes(F.col("ts"), 5 + F.col("k") % 30)).alias("representative_end_at"),
+        F.when(F.col("k") == 99, F.col("ts")).alias("deleted_at"),
+        (F.col("user_id") % 5).cast("bigint").alias("city_id"),
+        (F.col("user_id") % 25).cast("bigint").alias("area_id"),
+        F.when(pkg == 1, F.col("event_id") % 1000).cast("bigint").alias("subscription_id"),
+    )
+
+
 # Schemas of the driver's raw test tables; passing them skips footer-based schema inference.
 RAW_SCHEMAS: dict[str, str] = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
@@ -149,29 +176,7 @@ def derive_test_tables(spark: SparkSession, sf_dir: str) -> Tables:
         return spark.read.schema(RAW_SCHEMAS[n]).parquet(f"{sf_dir}/{n}.parquet")
 
     def reservations() -> DataFrame:
-        e = raw("events").withColumn("k", _k())
-        pkg = F.when(F.col("k") % 5 < 2, 1).otherwise(0)
-        return e.select(
-            F.col("event_id").cast("bigint").alias("id"),
-            F.col("user_id").cast("bigint").alias("client_id"),
-            F.col("ts").alias("created_at"),
-            F.when(F.col("k") % 25 == 0, F.lit(None).cast("string"))
-            .when(F.col("k") % 25 == 1, F.lit(""))
-            .otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("date"),
-            F.when(F.col("event_type") == "error", 6).when(F.col("event_type") == "signup", 1)
-            .otherwise(3).alias("status"),
-            pkg.alias("use_package"),
-            F.col("value").cast("string").alias("total_price"),
-            F.when(F.col("k") % 20 == 0, F.lit(None).cast("bigint"))
-            .otherwise(F.col("user_id") % 8).cast("bigint").alias("representative_id"),
-            _plus_minutes(F.col("ts"), F.lit(5)).alias("representative_start_at"),
-            F.when(F.col("k") % 33 == 0, F.lit(None).cast("timestamp"))
-            .otherwise(_plus_minutes(F.col("ts"), 5 + F.col("k") % 30)).alias("representative_end_at"),
-            F.when(F.col("k") == 99, F.col("ts")).alias("deleted_at"),
-            (F.col("user_id") % 5).cast("bigint").alias("city_id"),
-            (F.col("user_id") % 25).cast("bigint").alias("area_id"),
-            F.when(pkg == 1, F.col("event_id") % 1000).cast("bigint").alias("subscription_id"),
-        )
+        return reservations_from_events(raw("events"))
 
     def reservations_long() -> DataFrame:
         o = raw("orders")
