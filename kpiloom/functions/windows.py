@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kpiloom.functions.exprs import c, minutes_between, ratio, rnd
 
 __all__ = [
-    "merge_on_key", "running", "running_ratio", "pop_pct", "pop_points", "share_of_total", "next_gap_minutes",
+    "merge_on_key", "neighbor_in_time", "running", "running_ratio", "pop_pct", "pop_points", "share_of_total", "next_gap_minutes",
     "prev_gap_minutes", "first_seen",
 ]
 
@@ -69,17 +69,42 @@ def share_of_total(x: str | Column, scale: float = 1.0) -> Column:
     return ratio(num, F.sum(c(x)).over(Window.partitionBy()))
 
 
+def neighbor_in_time(df: DataFrame, keys: list[str], ts: str, value: str, out: str, direction: int = 1,
+                     bucket_seconds: int = 60) -> DataFrame:
+    """``LEAD(value)`` (direction=1) or ``LAG(value)`` (direction=-1) over
+    ``PARTITION BY keys ORDER BY ts``, exact and skew-safe.
+
+    A plain window sends each key group to one task, so a key holding a third of all
+    rows becomes one straggler. Here the window runs per (keys, time bucket of ts):
+    group size is bounded by rows per bucket, not per key. Rows at a bucket edge get
+    their neighbour from the adjacent non-empty bucket: a per-bucket first/last value
+    (partial aggregate) with a LEAD/LAG over buckets, i.e. one row per bucket. Both
+    sides are pure functions of the input, so recomputation after a lost executor
+    gives the same slices."""
+    b = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).alias("_bucket")
+    x = df.withColumn("_bucket", b)
+    fn = F.lead if direction > 0 else F.lag
+    w = Window.partitionBy(*keys, "_bucket").orderBy(ts)
+    x = x.withColumn(out, fn(F.col(value)).over(w)).withColumn("_edge_row", fn(F.lit(1)).over(w).isNull())
+    pick = F.min_by if direction > 0 else F.max_by
+    edges = x.groupBy(*keys, "_bucket").agg(pick(F.col(value), F.col(ts)).alias("_v"))
+    edges = edges.withColumn("_nv", fn("_v").over(Window.partitionBy(*keys).orderBy("_bucket"))).drop("_v")
+    j = x.join(edges, keys + ["_bucket"], "left")
+    return j.withColumn(out, F.when(F.col("_edge_row"), F.col("_nv")).otherwise(F.col(out))).drop(
+        "_bucket", "_edge_row", "_nv")
+
+
 def next_gap_minutes(df: DataFrame, keys: list[str], start: str, end: str, out: str = "gap") -> DataFrame:
     """Minutes from each job's end to the *next* job's start within ``keys`` (ordered by start):
     TIMESTAMPDIFF(MINUTE, end, LEAD(start) OVER (PARTITION BY keys ORDER BY start))."""
-    w = Window.partitionBy(*keys).orderBy(start)
-    return df.withColumn(out, minutes_between(c(end), F.lead(c(start)).over(w)))
+    x = neighbor_in_time(df, keys, start, start, "_next", direction=1)
+    return x.withColumn(out, minutes_between(c(end), F.col("_next"))).drop("_next")
 
 
-def prev_gap_minutes(df: DataFrame, keys: list[str | Column], start: str, end: str, out: str = "gap") -> DataFrame:
+def prev_gap_minutes(df: DataFrame, keys: list[str], start: str, end: str, out: str = "gap") -> DataFrame:
     """Minutes from the *previous* job's end to this job's start (LAG(end) within keys)."""
-    w = Window.partitionBy(*keys).orderBy(start)
-    return df.withColumn(out, minutes_between(F.lag(c(end)).over(w), c(start)))
+    x = neighbor_in_time(df, keys, start, end, "_prev", direction=-1)
+    return x.withColumn(out, minutes_between(F.col("_prev"), c(start))).drop("_prev")
 
 
 def first_seen(df: DataFrame, key: str, ts: str, out: str = "first_at") -> DataFrame:

@@ -90,10 +90,15 @@ def _completed_by_workers(t: Tables) -> DataFrame:
 
 def okr_per_washer_per_day(t: Tables, p: Params) -> DataFrame:
     """Completed / (distinct workers x distinct active days) per month."""
-    g = _series(_completed_by_workers(t), p.with_(grain="monthly"), _n().alias("completed"),
-                F.countDistinct("representative_id").alias("reps"), F.countDistinct(day("created_at")).alias("days"))
-    return _post(g, p.with_(grain="monthly"),
-                 rnd(ratio("completed", F.col("reps") * F.col("days")), 2).alias("per_washer_per_day"))
+    q = p.with_(grain="monthly")
+    # (month, worker, day) pre-aggregate first: the two DISTINCT counts then expand
+    # per-group rows instead of every fact row
+    k, _ = _key(q)
+    r = apply_date_filter(_completed_by_workers(t), "created_at", q)
+    pre = r.groupBy(k, "representative_id", day("created_at").alias("d")).agg(_n().alias("n"))
+    g = pre.groupBy("month").agg(F.sum("n").alias("completed"), F.countDistinct("representative_id").alias("reps"),
+                                 F.countDistinct("d").alias("days"))
+    return _post(g, q, rnd(ratio("completed", F.col("reps") * F.col("days")), 2).alias("per_washer_per_day"))
 
 
 def okr_per_washer_daily(t: Tables, p: Params) -> DataFrame:

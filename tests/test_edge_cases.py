@@ -87,3 +87,26 @@ def test_top_k_tie_breaks_by_name(spark):
     df = spark.createDataFrame([("b", 5), ("a", 5), ("c", 1)], "city string, washes bigint")
     got = [r.city for r in df.orderBy(F.desc("washes"), F.asc_nulls_last("city")).limit(2).collect()]
     assert got == ["a", "b"]
+
+
+def test_neighbor_in_time_matches_plain_window_on_hot_key(spark):
+    """Bucketed LEAD/LAG equals the single-partition window, including bucket edges and a
+    key that holds most rows."""
+    import random
+
+    from kpiloom.functions.windows import neighbor_in_time
+
+    rnd_ = random.Random(7)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(3000):
+        k = 0 if i % 3 else rnd_.randint(1, 5)  # key 0 holds two thirds of the rows
+        t = base + dt.timedelta(seconds=rnd_.randint(0, 6 * 3600), microseconds=i)
+        rows.append((i, k, t, t + dt.timedelta(minutes=rnd_.randint(1, 40))))
+    df = spark.createDataFrame(rows, "id int, k int, s timestamp, e timestamp")
+    w = Window.partitionBy("k").orderBy("s")
+    want = df.select("id", F.lead("s").over(w).alias("nxt"), F.lag("e").over(w).alias("prv"))
+    got_n = neighbor_in_time(df, ["k"], "s", "s", "nxt", 1, bucket_seconds=600).select("id", "nxt")
+    got_p = neighbor_in_time(df, ["k"], "s", "e", "prv", -1, bucket_seconds=600).select("id", "prv")
+    got = got_n.join(got_p, "id")
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.select("id", "nxt", "prv").collect()))
