@@ -190,3 +190,18 @@ def _streaming() -> None:
 
 
 _streaming()
+
+
+# ----------------------------------------------------------------------------- SQL surface
+def _sql_surface() -> None:
+    from kpiloom.oracle.growth import GROWTH_SQL
+    from kpiloom.plans.sql_surface import growth_orders_via_sql
+
+    register(Query("sql_growth_orders_weekly_range", growth_orders_via_sql,
+                   FIXTURE.with_(grain="weekly", date_from=dt.date(2024, 1, 3), date_to=dt.date(2024, 1, 27)),
+                   False, GROWTH_SQL["growth_orders"], ("sql",)))
+    register(Query("sql_growth_orders_cumulative", growth_orders_via_sql, FIXTURE.with_(grain="cumulative"),
+                   False, GROWTH_SQL["growth_orders"], ("sql",)))
+
+
+_sql_surface()
