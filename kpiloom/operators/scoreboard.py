@@ -7,19 +7,19 @@ indicator matrix (M58, unpivot + pivot).
 Plan shape: every component (S02-S14) aggregates to one row per period on its
 own date column: service day (text ``date``), purchase time (``created_at``),
 attendance date. The only fact-sized shuffles are the all-time first-activity
-aggregate per client (S02, partial MIN) and the (period, client) pairs joined
-to it (S05, S07), which are deduplicated / counted before the join. The period
+aggregate per client (S02, partial MIN) and one (period, client) aggregate that
+feeds orders, customers and washes (S03-S07) through a single join with it. The period
 spine (S15) and the outer merge of the components (S16) only touch per-period
 rows: they are one UNION ALL + GROUP BY period, not a chain of joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import (bsum, day_str, dec, in_range, live, pct, ratio, rnd, to_dbl, week_str)
-from kpiloom.functions.windows import merge_on_key, next_gap_minutes, pop_pct, pop_points
+from kpiloom.functions.windows import merge_on_key, next_gap_minutes
 from kpiloom.operators.weekly import _package_breakdown
 from kpiloom.params import Params
 from kpiloom.sources.tables import Tables
@@ -63,43 +63,46 @@ def first_activity(t: Tables) -> DataFrame:
     return r.unionByName(s).groupBy("client_id").agg(F.min("act").alias("fa"))
 
 
-def order_units(t: Tables, g: Grain) -> DataFrame:
-    """Completed single orders by service day (price) + paid packages by purchase day (cost)."""
-    r = (live(t.reservations)
-         .where((F.col("status") == 3) & (F.col("use_package") == 0) & g.text_in_range("date"))
-         .select(g.key_text("date").alias("day"), "client_id", F.lit(0).alias("is_pkg"),
-                 dec("total_price", 10, 2).alias("amount")))
-    s = (live(t.package_subscriptions).where((F.col("status") == 1) & g.time_in_range())
-         .select(g.key_time("created_at").alias("day"), "client_id", F.lit(1).alias("is_pkg"),
-                 F.col("cost").cast("decimal(10,2)").alias("amount")))
-    return r.unionByName(s)
-
-
-def orders_component(ou: DataFrame) -> DataFrame:
-    """S04"""
-    return ou.groupBy("day").agg(F.sum("is_pkg").alias("package_orders"), F.sum(1 - F.col("is_pkg")).alias("single_orders"),
-                                 _n().alias("total_orders"), F.sum("amount").alias("sales_sar"))
-
-
-def customers_component(ou: DataFrame, fa: DataFrame, g: Grain) -> DataFrame:
-    """S05+S06: active / new / returning customers among clients with order units."""
-    oc = ou.select("day", "client_id").distinct().join(fa, "client_id", "inner")
-    is_new = g.key_text(F.col("fa")) == F.col("day")
-    return oc.groupBy("day").agg(_n().alias("active_customers"), bsum(is_new).alias("new_customers"),
-                                 (_n() - bsum(is_new)).alias("returning_customers"))
-
-
-def washes_component(t: Tables, fa: DataFrame, g: Grain) -> DataFrame:
-    """Completed washes (packages included) by service day, split by whether the
-    client's first activity falls in the same period. A client without first activity
-    makes the split NULL (kept NULL as in SUM over a LEFT JOIN)."""
+def service_units(t: Tables, g: Grain) -> DataFrame:
+    """S03 inputs plus the completed washes of S07, as one (period, client) aggregate:
+    completed reservations by service day (``date`` text) and paid packages by purchase day.
+    n_done: completed washes; n_single: completed single orders (order units); n_pkg:
+    paid packages (order units); amount: order-unit value (single price / package cost)."""
+    single = F.col("use_package") == 0
     r = (live(t.reservations).where((F.col("status") == 3) & g.text_in_range("date"))
-         .groupBy(g.key_text("date").alias("day"), "client_id").agg(_n().alias("n")))
-    j = r.join(fa, "client_id", "left")
+         .select(g.key_text("date").alias("day"), "client_id", F.lit(1).alias("done"),
+                 single.cast("int").alias("single"), F.lit(0).alias("pkg"),
+                 F.when(single, dec("total_price", 10, 2)).alias("amount")))
+    s = (live(t.package_subscriptions).where((F.col("status") == 1) & g.time_in_range())
+         .select(g.key_time("created_at").alias("day"), "client_id", F.lit(0).alias("done"), F.lit(0).alias("single"),
+                 F.lit(1).alias("pkg"), F.col("cost").cast("decimal(10,2)").alias("amount")))
+    return r.unionByName(s).groupBy("day", "client_id").agg(
+        F.sum("done").alias("n_done"), F.sum("single").alias("n_single"), F.sum("pkg").alias("n_pkg"),
+        F.sum("amount").alias("amount"))
+
+
+def orders_customers_washes(t: Tables, fa: DataFrame, g: Grain) -> DataFrame:
+    """S04 orders, S05+S06 customers and S07 washes from one (period, client) aggregate
+    joined once to first activity (the only fact-sized join of the scoreboard; both sides
+    are one row per client or per (period, client)).
+
+    NULL semantics of the source are kept: a client absent from ``fa`` is not a customer
+    (inner join there) but its washes count, with a NULL new/returning split (left join);
+    SUM over no non-NULL flag stays NULL until the final COALESCE."""
+    u = service_units(t, g)
+    j = u.join(fa.withColumn("in_fa", F.lit(True)), "client_id", "left")
     same = g.key_text(F.col("fa")) == F.col("day")
-    new = F.sum(F.when(same, F.col("n")).when(~same, F.lit(0)))
-    return j.groupBy("day").agg(F.sum("n").alias("completed_washes"), new.alias("washes_new_cust"),
-                                (F.sum("n") - new).alias("washes_returning_cust"))
+    washed, unit = F.col("n_done") > 0, (F.col("n_single") + F.col("n_pkg") > 0) & F.col("in_fa").isNotNull()
+    washes_new = F.sum(F.when(washed & same, F.col("n_done")).when(washed & ~same, F.lit(0)))
+    new_cust = F.sum(F.when(unit, same.cast("int")))
+    active = F.count(F.when(unit, 1))
+    return j.groupBy("day").agg(
+        F.sum("n_pkg").alias("package_orders"), F.sum("n_single").alias("single_orders"),
+        F.sum(F.col("n_single") + F.col("n_pkg")).alias("total_orders"), F.sum("amount").alias("sales_sar"),
+        F.sum("n_done").alias("completed_washes"), washes_new.alias("washes_new_cust"),
+        (F.sum("n_done") - washes_new).alias("washes_returning_cust"),
+        active.alias("active_customers"), new_cust.alias("new_customers"),
+        (active - new_cust).alias("returning_customers"))
 
 
 def signups_component(t: Tables, g: Grain) -> DataFrame:
@@ -114,16 +117,15 @@ def attendance_component(t: Tables, g: Grain) -> DataFrame:
     return a.groupBy(g.key_time("date").alias("day")).agg(F.countDistinct("representative_id").alias("washers_available"))
 
 
-def _single_purchases(t: Tables, g: Grain) -> DataFrame:
-    r = live(t.reservations).where((F.col("use_package") == 0) & g.time_in_range())
-    return r.groupBy(g.key_time("created_at").alias("day")).agg(_n().alias("cnt"))
-
-
 def purchases_component(t: Tables, g: Grain) -> DataFrame:
-    """Purchases by creation time: single reservations (any status) + paid packages."""
-    s = live(t.package_subscriptions).where((F.col("status") == 1) & g.time_in_range())
-    pk = s.groupBy(g.key_time("created_at").alias("day")).agg(_n().alias("cnt"))
-    return _single_purchases(t, g).unionByName(pk).groupBy("day").agg(F.sum("cnt").alias("purchased_orders"))
+    """S10 + S12: purchases by creation time: single reservations (any status) + paid
+    packages, and the single purchases alone, in one aggregate over the unioned rows."""
+    r = (live(t.reservations).where((F.col("use_package") == 0) & g.time_in_range())
+         .select(g.key_time("created_at").alias("day"), F.lit(1).alias("single")))
+    s = (live(t.package_subscriptions).where((F.col("status") == 1) & g.time_in_range())
+         .select(g.key_time("created_at").alias("day"), F.lit(0).alias("single")))
+    return r.unionByName(s).groupBy("day").agg(_n().alias("purchased_orders"),
+                                               F.sum("single").alias("single_purchased"))
 
 
 def between_component(t: Tables, g: Grain) -> DataFrame:
@@ -138,11 +140,6 @@ def between_component(t: Tables, g: Grain) -> DataFrame:
         rnd(ratio(F.sum("gap"), F.count("gap")), 1).alias("avg_min_between_washes"))
 
 
-def single_purchased_component(t: Tables, g: Grain) -> DataFrame:
-    """S12"""
-    return _single_purchases(t, g).withColumnRenamed("cnt", "single_purchased")
-
-
 def package_breakdown_component(t: Tables, g: Grain) -> DataFrame:
     """S13"""
     return _package_breakdown(t, g.p, g.key_time, g.lo, g.hi).withColumnRenamed("k", "day")
@@ -166,15 +163,15 @@ def scoreboard_base(t: Tables, p: Params, weekly: bool, breakdown: bool) -> Data
     """Period spine, left joins of every component, ratios."""
     g = Grain(p, weekly)
     fa = first_activity(t)
-    ou = order_units(t, g)
-    comps = [orders_component(ou), washes_component(t, fa, g), customers_component(ou, fa, g),
-             signups_component(t, g), attendance_component(t, g), purchases_component(t, g), between_component(t, g)]
+    purch = purchases_component(t, g)
+    comps = [orders_customers_washes(t, fa, g), signups_component(t, g), attendance_component(t, g),
+             purch if breakdown and not weekly else purch.drop("single_purchased"), between_component(t, g)]
     extra: list[str] = []
     if weekly:
         comps.append(efficiency_component(t, g))
         extra = ["assigned", "asg_washers", "executed", "exec_washers"]
     elif breakdown:
-        comps += [single_purchased_component(t, g), package_breakdown_component(t, g)]
+        comps.append(package_breakdown_component(t, g))
         extra = ["single_purchased", "pkg_customized", "pkg_non_customized", "bogo_free_wash"]
     # S15+S16: the period spine is the union of the components' periods
     base = merge_on_key(comps, "day")
@@ -216,14 +213,18 @@ BREAKDOWN = ["single_purchased", "pkg_customized", "pkg_non_customized", "bogo_f
 
 
 def _with_changes(calc: DataFrame, suffix: str, breakdown: bool) -> DataFrame:
-    """Every metric followed by its change against the previous present period."""
+    """Every metric followed by its change against the previous present period.
+    One LAG per metric (a single window over the per-period rows), then the changes."""
+    w = Window.orderBy("period")
+    lagged = calc.select("*", *[F.lag(n).over(w).alias(f"_prev_{n}") for n, _ in SCOREBOARD_COLUMNS])
     cols: list[Column] = [F.col("period")]
     for name, kind in SCOREBOARD_COLUMNS:
-        cols.append(F.col(name))
-        cols.append((pop_pct(name) if kind == "pct" else pop_points(name)).alias(f"{name}_{suffix}"))
+        x, prev = F.col(name), F.col(f"_prev_{name}")
+        change = rnd(ratio((x - prev) * 100, prev), 1) if kind == "pct" else rnd(x - prev, 1)
+        cols += [x, change.alias(f"{name}_{suffix}")]
         if breakdown and name == "purchased_orders":
             cols += [F.col(b) for b in BREAKDOWN]
-    return calc.select(*cols).orderBy(F.desc("period"))
+    return lagged.select(*cols).orderBy(F.desc("period"))
 
 
 def okr_scoreboard_daily(t: Tables, p: Params) -> DataFrame:
