@@ -55,7 +55,10 @@ class Grain:
 
 
 def first_activity(t: Tables) -> DataFrame:
-    """Per client, first day (text) of a completed single order or a paid package, all time."""
+    """Per client, first day (text) of a completed single order or a paid package, all time.
+    A materialized ``first_activity`` table (plans/materialize.py) is used when present."""
+    if "first_activity" in t.names():
+        return t.first_activity.select("client_id", "fa")
     r = (live(t.reservations)
          .where((F.col("status") == 3) & (F.col("use_package") == 0) & F.col("date").isNotNull() & (F.col("date") != ""))
          .select("client_id", F.col("date").alias("act")))

@@ -36,9 +36,10 @@ def b2b_rows(t: Tables, p: Params) -> DataFrame:
     """reservations JOIN clients restricted to the B2B list and the optional account."""
     ids = list(p.b2b_ids)
     cl = t.clients.where(F.col("id").isin(ids))
+    name = F.collate(F.col("username"), "UTF8_LCASE") if p.ci_text else F.col("username")
     if p.account is not None:
-        cl = cl.where(F.col("username") == p.account)
-    cl = F.broadcast(cl.select(F.col("id").alias("cid"), F.col("username")))
+        cl = cl.where(name == F.lit(p.account))
+    cl = F.broadcast(cl.select(F.col("id").alias("cid"), name.alias("username")))
     r = live(t.reservations).where(F.col("client_id").isin(ids))
     return r.join(cl, r["client_id"] == cl["cid"], "inner").drop("cid")
 

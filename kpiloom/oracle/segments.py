@@ -11,7 +11,12 @@ PRICE = dec("r.total_price")
 
 
 def _b2b_from(p):
-    acct = f" AND c.username = '{p.account}'" if p.account is not None else ""
+    if p.account is None:
+        acct = ""
+    elif p.ci_text:
+        acct = f" AND lower(c.username) = lower('{p.account}')"
+    else:
+        acct = f" AND c.username = '{p.account}'"
     return (f"FROM reservations r JOIN clients c ON c.id = r.client_id "
             f"WHERE r.deleted_at IS NULL AND r.client_id IN ({ids(p.b2b_ids)}){acct}")
 

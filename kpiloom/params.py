@@ -23,6 +23,9 @@ class Params:
     anchor: dt.date = dt.date(2024, 1, 1)
     # optional account filter (B2B username) and month filter 'YYYY-MM'
     account: str | None = None
+    # compare and group account names case-insensitively (UTF8_LCASE collation), as a
+    # case-insensitive source collation does
+    ci_text: bool = False
     month: str | None = None
     # segment / geography / offer id sets
     b2b_ids: tuple[int, ...] = (3, 7, 11, 14)

@@ -117,6 +117,9 @@ def _segments() -> None:
     acct = FIXTURE.with_(account="Customer#000000007")
     for name in ("b2b_washes", "b2b_account_table", "b2b_monthly_revenue"):
         register(Query(f"{name}_account", SEGMENTS[name], acct, False, SEGMENTS_SQL[name], ("segments",)))
+    ci = FIXTURE.with_(account="CUSTOMER#000000011", ci_text=True)
+    register(Query("b2b_washes_account_ci", SEGMENTS["b2b_washes"], ci, False, SEGMENTS_SQL["b2b_washes"],
+                   ("segments",)))
 
 
 _segments()
