@@ -30,7 +30,7 @@ def _share(p, flag, cnt_name, pct_name):
     cum = p.effective_grain == "cumulative"
     share = (div("100 * SUM(x) OVER (ORDER BY period)", "SUM(tot) OVER (ORDER BY period)") if cum
              else div("100 * x", "tot"))
-    return f"""WITH g AS (SELECT {_p(p)} AS period, SUM(CASE WHEN {flag} THEN 1 ELSE 0 END) AS x, COUNT(*) AS tot
+    return f"""WITH g AS (SELECT {_p(p)} AS period, cast(SUM(CASE WHEN {flag} THEN 1 ELSE 0 END) AS BIGINT) AS x, COUNT(*) AS tot
 FROM reservations WHERE deleted_at IS NULL{date_filter('created_at', p)} GROUP BY 1)
 SELECT period, cast({_run(p, 'x')} AS BIGINT) AS {cnt_name}, {rnd(share, 1)} AS {pct_name} FROM g ORDER BY period"""
 
@@ -51,7 +51,7 @@ def _ratio_series(p, g_sql, num, den, name, digits):
 
 def washes_per_order(p):
     g = f"""SELECT {_p(p, 'r.created_at')} AS period,
-  SUM(CASE WHEN coalesce(rs.is_product, 0) = 0 AND coalesce(rs.is_deleted, 0) = 0 THEN 1 ELSE 0 END) AS washes,
+  cast(SUM(CASE WHEN coalesce(rs.is_product, 0) = 0 AND coalesce(rs.is_deleted, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS washes,
   COUNT(DISTINCT r.id) AS orders
 FROM reservations r LEFT JOIN reservation_service rs ON rs.reservation_id = r.id
 WHERE r.deleted_at IS NULL{date_filter('r.created_at', p)} GROUP BY 1"""
@@ -87,7 +87,7 @@ def repeat(p):
     return f"""WITH r AS (SELECT client_id, created_at,
     ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY created_at) AS rn
   FROM reservations WHERE deleted_at IS NULL{date_filter('created_at', p)}),
-g AS (SELECT {_p(p)} AS period, SUM(CASE WHEN rn > 1 THEN 1 ELSE 0 END) AS rep, COUNT(*) AS tot FROM r GROUP BY 1)
+g AS (SELECT {_p(p)} AS period, cast(SUM(CASE WHEN rn > 1 THEN 1 ELSE 0 END) AS BIGINT) AS rep, COUNT(*) AS tot FROM r GROUP BY 1)
 SELECT period, cast({_run(p, 'rep')} AS BIGINT) AS repeat_orders, {rnd(share, 1)} AS repeat_rate_pct
 FROM g ORDER BY period"""
 

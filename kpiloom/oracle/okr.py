@@ -33,14 +33,14 @@ def orders(p):
 
 
 def package_share(p):
-    return _card(p, "SUM(CASE WHEN use_package = 1 THEN 1 ELSE 0 END) AS package_orders, "
-                 f"{rnd(div('100 * SUM(CASE WHEN use_package = 1 THEN 1 ELSE 0 END)', 'COUNT(*)'), 1)} AS package_pct",
+    return _card(p, "cast(SUM(CASE WHEN use_package = 1 THEN 1 ELSE 0 END) AS BIGINT) AS package_orders, "
+                 f"{rnd(div('100 * cast(SUM(CASE WHEN use_package = 1 THEN 1 ELSE 0 END) AS BIGINT)', 'COUNT(*)'), 1)} AS package_pct",
                  "reservations", LIVE)
 
 
 def single_share(p):
-    return _card(p, "SUM(CASE WHEN use_package = 0 THEN 1 ELSE 0 END) AS single_orders, "
-                 f"{rnd(div('100 * SUM(CASE WHEN use_package = 0 THEN 1 ELSE 0 END)', 'COUNT(*)'), 1)} AS single_pct",
+    return _card(p, "cast(SUM(CASE WHEN use_package = 0 THEN 1 ELSE 0 END) AS BIGINT) AS single_orders, "
+                 f"{rnd(div('100 * cast(SUM(CASE WHEN use_package = 0 THEN 1 ELSE 0 END) AS BIGINT)', 'COUNT(*)'), 1)} AS single_pct",
                  "reservations", LIVE)
 
 
@@ -59,7 +59,7 @@ def new_companies(p):
 
 
 def leads(p):
-    return _card(p, "COUNT(*) AS leads, SUM(CASE WHEN contact_status > 0 THEN 1 ELSE 0 END) AS contacted",
+    return _card(p, "COUNT(*) AS leads, cast(SUM(CASE WHEN contact_status > 0 THEN 1 ELSE 0 END) AS BIGINT) AS contacted",
                  "corporate_wash_leads")
 
 
@@ -84,7 +84,7 @@ def completed_from_packages(p):
 
 def csat(p):
     return _card(p, f"{rnd(div('SUM(score)', 'COUNT(score)'), 2)} AS avg_score, "
-                 f"{rnd(div('100 * SUM(CASE WHEN score >= 4 THEN 1 ELSE 0 END)', 'COUNT(*)'), 1)} AS csat_pct",
+                 f"{rnd(div('100 * cast(SUM(CASE WHEN score >= 4 THEN 1 ELSE 0 END) AS BIGINT)', 'COUNT(*)'), 1)} AS csat_pct",
                  "reviews", LIVE)
 
 

@@ -25,10 +25,10 @@ def _indiv_from(p):
     return f"FROM reservations r WHERE r.deleted_at IS NULL AND r.client_id NOT IN ({ids(p.b2b_ids)})"
 
 
-AOV = rnd(div(f"SUM(CASE WHEN r.use_package = 0 THEN {PRICE} END)",
+AOV = rnd(div(f"cast(SUM(CASE WHEN r.use_package = 0 THEN {PRICE} END) AS BIGINT)",
               f"COUNT(CASE WHEN r.use_package = 0 THEN {PRICE} END)"), 1)
 REV = rdec(f"SUM({PRICE})", 0)
-COMPLETION = rnd(div("100 * SUM(CASE WHEN r.status = 3 THEN 1 ELSE 0 END)", "COUNT(*)"), 1)
+COMPLETION = rnd(div("100 * cast(SUM(CASE WHEN r.status = 3 THEN 1 ELSE 0 END) AS BIGINT)", "COUNT(*)"), 1)
 MONTH = "cast(date_trunc('month', r.created_at) AS DATE)"
 
 
@@ -54,14 +54,14 @@ def b2b_completion_pct(p):
 
 def b2b_account_table(p):
     return (f"SELECT c.username AS account, COUNT(*) AS washes, {REV} AS revenue, {AOV} AS aov, "
-            f"SUM(CASE WHEN r.use_package = 1 THEN 1 ELSE 0 END) AS package_washes, {COMPLETION} AS completion_pct, "
+            f"cast(SUM(CASE WHEN r.use_package = 1 THEN 1 ELSE 0 END) AS BIGINT) AS package_washes, {COMPLETION} AS completion_pct, "
             f"MIN(cast(r.created_at AS DATE)) AS first_order, MAX(cast(r.created_at AS DATE)) AS last_order "
             f"{_b2b_from(p)} GROUP BY c.username ORDER BY washes DESC, account")
 
 
 def _split(frm):
-    return (f"SELECT {MONTH} AS month, SUM(CASE WHEN r.use_package = 0 THEN 1 ELSE 0 END) AS single, "
-            f"SUM(CASE WHEN r.use_package = 1 THEN 1 ELSE 0 END) AS package {frm} GROUP BY 1 ORDER BY 1")
+    return (f"SELECT {MONTH} AS month, cast(SUM(CASE WHEN r.use_package = 0 THEN 1 ELSE 0 END) AS BIGINT) AS single, "
+            f"cast(SUM(CASE WHEN r.use_package = 1 THEN 1 ELSE 0 END) AS BIGINT) AS package {frm} GROUP BY 1 ORDER BY 1")
 
 
 def _rev(frm):
@@ -99,7 +99,7 @@ def indiv_aov(p):
 
 
 def indiv_repeat_rate(p):
-    return (f"SELECT {rnd(div('100 * SUM(CASE WHEN rn > 1 THEN 1 ELSE 0 END)', 'COUNT(*)'), 1)} AS repeat_rate_pct "
+    return (f"SELECT {rnd(div('100 * cast(SUM(CASE WHEN rn > 1 THEN 1 ELSE 0 END) AS BIGINT)', 'COUNT(*)'), 1)} AS repeat_rate_pct "
             f"FROM (SELECT ROW_NUMBER() OVER (PARTITION BY r.client_id ORDER BY r.created_at) AS rn "
             f"{_indiv_from(p)}) t")
 
@@ -128,7 +128,7 @@ def indiv_new_vs_returning(p):
 
 
 def indiv_repeat_trend(p):
-    return (f"SELECT month, {rnd(div('100 * SUM(CASE WHEN rn > 1 THEN 1 ELSE 0 END)', 'COUNT(*)'), 1)} "
+    return (f"SELECT month, {rnd(div('100 * cast(SUM(CASE WHEN rn > 1 THEN 1 ELSE 0 END) AS BIGINT)', 'COUNT(*)'), 1)} "
             f"AS repeat_rate_pct FROM (SELECT {MONTH} AS month, "
             f"ROW_NUMBER() OVER (PARTITION BY r.client_id ORDER BY r.created_at) AS rn {_indiv_from(p)}) t "
             f"GROUP BY 1 ORDER BY 1")
@@ -157,8 +157,8 @@ def _flag(neg=False):
 def daily_segment_orders(p):
     b = ids(p.b2b_ids)
     return (f"SELECT cast(created_at AS DATE) AS day, "
-            f"SUM(CASE WHEN client_id NOT IN ({b}) THEN 1 WHEN client_id IN ({b}) THEN 0 END) AS individual_orders, "
-            f"SUM(CASE WHEN client_id IN ({b}) THEN 1 WHEN client_id NOT IN ({b}) THEN 0 END) AS b2b_orders "
+            f"cast(SUM(CASE WHEN client_id NOT IN ({b}) THEN 1 WHEN client_id IN ({b}) THEN 0 END) AS BIGINT) AS individual_orders, "
+            f"cast(SUM(CASE WHEN client_id IN ({b}) THEN 1 WHEN client_id NOT IN ({b}) THEN 0 END) AS BIGINT) AS b2b_orders "
             f"FROM reservations WHERE deleted_at IS NULL GROUP BY 1 ORDER BY 1")
 
 
@@ -166,8 +166,8 @@ def daily_segment_table(p):
     b = ids(p.b2b_ids)
     lo = p.today - dt.timedelta(days=p.last_days or 60)
     return (f"SELECT cast(created_at AS DATE) AS day, "
-            f"SUM(CASE WHEN client_id NOT IN ({b}) THEN 1 WHEN client_id IN ({b}) THEN 0 END) AS individual_orders, "
-            f"SUM(CASE WHEN client_id IN ({b}) THEN 1 WHEN client_id NOT IN ({b}) THEN 0 END) AS b2b_orders, "
+            f"cast(SUM(CASE WHEN client_id NOT IN ({b}) THEN 1 WHEN client_id IN ({b}) THEN 0 END) AS BIGINT) AS individual_orders, "
+            f"cast(SUM(CASE WHEN client_id IN ({b}) THEN 1 WHEN client_id NOT IN ({b}) THEN 0 END) AS BIGINT) AS b2b_orders, "
             f"COUNT(*) AS total_orders "
             f"FROM reservations WHERE deleted_at IS NULL AND created_at >= {ts(lo)} GROUP BY 1 ORDER BY 1 DESC")
 
@@ -176,11 +176,11 @@ def daily_completed_by_segment(p):
     b = ids(p.b2b_ids)
     lo = p.today - dt.timedelta(days=p.last_days or 90)
     return (f"SELECT cast(created_at AS DATE) AS day, "
-            f"SUM(CASE WHEN status = 3 AND client_id IN ({b}) THEN 1 WHEN status = 3 AND client_id IS NULL THEN NULL "
-            f"ELSE 0 END) AS b2b_completed, "
-            f"SUM(CASE WHEN status = 3 AND client_id NOT IN ({b}) THEN 1 WHEN status = 3 AND client_id IS NULL THEN NULL "
-            f"ELSE 0 END) AS individual_completed, "
-            f"SUM(CASE WHEN status = 3 THEN 1 ELSE 0 END) AS total_completed, COUNT(*) AS total_orders "
+            f"cast(SUM(CASE WHEN status = 3 AND client_id IN ({b}) THEN 1 WHEN status = 3 AND client_id IS NULL THEN NULL "
+            f"ELSE 0 END) AS BIGINT) AS b2b_completed, "
+            f"cast(SUM(CASE WHEN status = 3 AND client_id NOT IN ({b}) THEN 1 WHEN status = 3 AND client_id IS NULL THEN NULL "
+            f"ELSE 0 END) AS BIGINT) AS individual_completed, "
+            f"cast(SUM(CASE WHEN status = 3 THEN 1 ELSE 0 END) AS BIGINT) AS total_completed, COUNT(*) AS total_orders "
             f"FROM reservations WHERE deleted_at IS NULL AND created_at >= {ts(lo)} GROUP BY 1 ORDER BY 1 DESC")
 
 

@@ -33,16 +33,16 @@ FROM w JOIN a ON a.wk = w.wk ORDER BY week_start"""
 
 def weekly_paid_washes(p):
     return (f"SELECT {week('created_at', p.anchor)} AS week_start, "
-            f"SUM(CASE WHEN use_package = 0 THEN 1 ELSE 0 END) AS single_washes, "
-            f"SUM(CASE WHEN use_package = 1 THEN 1 ELSE 0 END) AS package_washes, COUNT(*) AS total_paid_washes "
+            f"cast(SUM(CASE WHEN use_package = 0 THEN 1 ELSE 0 END) AS BIGINT) AS single_washes, "
+            f"cast(SUM(CASE WHEN use_package = 1 THEN 1 ELSE 0 END) AS BIGINT) AS package_washes, COUNT(*) AS total_paid_washes "
             f"FROM reservations WHERE deleted_at IS NULL AND created_at >= {ts(p.anchor)} GROUP BY 1 ORDER BY 1")
 
 
 def _pk(p, key, lo_cond):
-    return (f"SELECT {key} AS d, SUM(CASE WHEN pp.is_customized = 1 THEN 1 WHEN pp.is_customized IS NULL THEN NULL "
-            f"ELSE 0 END) AS pkg_customized, "
-            f"SUM(CASE WHEN coalesce(pp.is_customized, 0) = 0 THEN 1 ELSE 0 END) AS pkg_non_customized, "
-            f"SUM(CASE WHEN ps.package_id IN ({ids(p.offer_package_ids)}) THEN 1 ELSE 0 END) AS bogo_free_wash "
+    return (f"SELECT {key} AS d, cast(SUM(CASE WHEN pp.is_customized = 1 THEN 1 WHEN pp.is_customized IS NULL THEN NULL "
+            f"ELSE 0 END) AS BIGINT) AS pkg_customized, "
+            f"cast(SUM(CASE WHEN coalesce(pp.is_customized, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pkg_non_customized, "
+            f"cast(SUM(CASE WHEN ps.package_id IN ({ids(p.offer_package_ids)}) THEN 1 ELSE 0 END) AS BIGINT) AS bogo_free_wash "
             f"FROM package_subscriptions ps JOIN packages pp ON pp.id = ps.package_id "
             f"WHERE ps.status = 1 AND ps.deleted_at IS NULL AND {lo_cond} GROUP BY 1")
 
@@ -62,7 +62,7 @@ ORDER BY wk.d DESC"""
 
 def weekly_worker_efficiency(p):
     return f"""WITH e AS (SELECT {_wk_str('"date"', p)} AS wk, COUNT(*) AS assigned,
-    COUNT(DISTINCT representative_id) AS asg_w, SUM(CASE WHEN status = 3 THEN 1 ELSE 0 END) AS executed,
+    COUNT(DISTINCT representative_id) AS asg_w, cast(SUM(CASE WHEN status = 3 THEN 1 ELSE 0 END) AS BIGINT) AS executed,
     COUNT(DISTINCT CASE WHEN status = 3 THEN representative_id END) AS exec_w
   FROM reservations WHERE deleted_at IS NULL AND representative_id IS NOT NULL
     AND "date" >= {s(p.anchor)} AND "date" < {s(p.today)} GROUP BY 1)
@@ -84,8 +84,8 @@ FROM v LEFT JOIN o ON o.wk = v.wk ORDER BY week"""
 
 def monthly_paid_washes(p):
     return ("SELECT cast(date_trunc('month', created_at) AS DATE) AS month, "
-            "SUM(CASE WHEN use_package = 0 THEN 1 ELSE 0 END) AS single_washes, "
-            "SUM(CASE WHEN use_package = 1 THEN 1 ELSE 0 END) AS package_washes "
+            "cast(SUM(CASE WHEN use_package = 0 THEN 1 ELSE 0 END) AS BIGINT) AS single_washes, "
+            "cast(SUM(CASE WHEN use_package = 1 THEN 1 ELSE 0 END) AS BIGINT) AS package_washes "
             "FROM reservations WHERE deleted_at IS NULL GROUP BY 1 ORDER BY 1")
 
 

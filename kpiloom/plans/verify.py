@@ -51,16 +51,25 @@ def rows_multiset(cols: list[str], rows) -> Counter:
     return Counter(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "date": "DATE", "string": "VARCHAR",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
 def compare(spark_df, con, sql: str) -> dict:
     s_cols = spark_df.columns
+    s_types = {f.name: f.dataType.simpleString() for f in spark_df.schema.fields}
     s_rows = [tuple(r) for r in spark_df.collect()]
-    res = con.execute(sql)
-    d_cols = [d[0] for d in res.description]
-    d_rows = res.fetchall()
+    rel = con.sql(sql)
+    d_cols = list(rel.columns)
+    d_types = dict(zip(d_cols, [str(t) for t in rel.types]))
+    d_rows = rel.fetchall()
+    type_diffs = {c: (s_types[c], d_types.get(c)) for c in s_cols
+                  if SPARK_TO_DUCK.get(s_types[c], s_types[c].upper()) != d_types.get(c)}
     out = {
         "spark_rows": len(s_rows), "oracle_rows": len(d_rows),
         "columns_match": sorted(s_cols) == sorted(d_cols),
         "spark_cols": s_cols, "oracle_cols": d_cols,
+        "types_match": not type_diffs, "type_diffs": type_diffs,
     }
     if out["columns_match"]:
         a, b = rows_multiset(s_cols, s_rows), rows_multiset(d_cols, d_rows)
@@ -70,5 +79,5 @@ def compare(spark_df, con, sql: str) -> dict:
             out["only_oracle"] = list((b - a).elements())[:5]
     else:
         out["values_match"] = False
-    out["ok"] = out["columns_match"] and out["values_match"] and len(s_rows) == len(d_rows)
+    out["ok"] = out["columns_match"] and out["values_match"] and out["types_match"] and len(s_rows) == len(d_rows)
     return out
