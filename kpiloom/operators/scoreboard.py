@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import (bsum, day_str, dec, in_range, live, pct, ratio, rnd, to_dbl, week_str)
 from kpiloom.functions.windows import merge_on_key, next_gap_minutes
-from kpiloom.operators.weekly import _package_breakdown
+from kpiloom.operators.weekly import _package_breakdown, worker_load
 from kpiloom.params import Params
 from kpiloom.sources.tables import Tables
 
@@ -151,10 +151,7 @@ def package_breakdown_component(t: Tables, g: Grain) -> DataFrame:
 def efficiency_component(t: Tables, g: Grain) -> DataFrame:
     """Assigned / executed jobs and the distinct workers behind each."""
     r = live(t.reservations).where(F.col("representative_id").isNotNull() & g.text_in_range("date"))
-    done = F.col("status") == 3
-    return r.groupBy(g.key_text("date").alias("day")).agg(
-        _n().alias("assigned"), F.countDistinct("representative_id").alias("asg_washers"),
-        bsum(done).alias("executed"), F.countDistinct(F.when(done, F.col("representative_id"))).alias("exec_washers"))
+    return worker_load(r, g.key_text("date").alias("day"), "day")
 
 
 COUNTS = ["package_orders", "single_orders", "total_orders", "sales_sar", "completed_washes", "washes_new_cust",

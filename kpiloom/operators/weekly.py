@@ -99,13 +99,22 @@ def weekly_purchase_breakdown(t: Tables, p: Params) -> DataFrame:
                     z("bogo_free_wash")).orderBy(F.desc("week"))
 
 
+def worker_load(r: DataFrame, key: Column, name: str) -> DataFrame:
+    """Assigned / executed jobs and distinct assigned / executing workers per period.
+    Counted per (period, worker) first, so the distinct counts are plain counts of groups
+    (no Expand of the fact rows for two DISTINCT aggregates)."""
+    per_worker = r.groupBy(key, "representative_id").agg(
+        _n().alias("n"), bsum(F.col("status") == 3).alias("ex"))
+    return per_worker.groupBy(name).agg(
+        F.sum("n").alias("assigned"), _n().alias("asg_washers"), F.sum("ex").alias("executed"),
+        F.count(F.when(F.col("ex") > 0, 1)).alias("exec_washers"))
+
+
 def weekly_worker_efficiency(t: Tables, p: Params) -> DataFrame:
     """100 * (executed per executing worker) / (assigned per assigned worker)."""
     r = _service_day_in(live(t.reservations).where(F.col("representative_id").isNotNull()), p.anchor, p.today)
-    done = F.col("status") == 3
-    e = r.groupBy(week_start("date", p.anchor).alias("week")).agg(
-        _n().alias("assigned"), F.countDistinct("representative_id").alias("asg_w"),
-        bsum(done).alias("executed"), F.countDistinct(F.when(done, F.col("representative_id"))).alias("exec_w"))
+    e = worker_load(r, week_start("date", p.anchor).alias("week"), "week").withColumnRenamed(
+        "asg_washers", "asg_w").withColumnRenamed("exec_washers", "exec_w")
     eff = ratio(ratio("executed", "exec_w") * 100, ratio("assigned", "asg_w"))
     return e.select("week", rnd(eff, 1).alias("efficiency_pct")).orderBy("week")
 
