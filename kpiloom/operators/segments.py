@@ -32,8 +32,45 @@ def _b2b_flag(p: Params) -> Column:
     return F.col("client_id").isin(list(p.b2b_ids))
 
 
+def _segment_table(t: Tables) -> DataFrame | None:
+    """Optional ``b2b_accounts`` table (column ``id``): the segment as data instead of a
+    literal list, for segments too large to inline in the plan. Its size is not bounded
+    by the query, so joins with it are left to AQE (no broadcast hint)."""
+    if "b2b_accounts" not in t.names():
+        return None
+    return t.b2b_accounts.select(F.col("id").alias("seg_id")).distinct()
+
+
+def in_segment(df: DataFrame, t: Tables, p: Params, negate: bool = False) -> DataFrame:
+    """``client_id IN segment`` / ``NOT IN``: a literal IN-list (pushed to Parquet) or a
+    semi / anti join with the segment table. A NULL client is in neither side."""
+    seg = _segment_table(t)
+    if seg is None:
+        return df.where(~_b2b_flag(p) if negate else _b2b_flag(p))
+    kind = "left_anti" if negate else "left_semi"
+    return df.where(F.col("client_id").isNotNull()).join(seg, F.col("client_id") == F.col("seg_id"), kind)
+
+
+def with_segment_flag(df: DataFrame, t: Tables, p: Params) -> DataFrame:
+    """Adds ``is_b2b`` with IN semantics: TRUE / FALSE, NULL for a NULL client."""
+    seg = _segment_table(t)
+    if seg is None:
+        return df.withColumn("is_b2b", _b2b_flag(p))
+    j = df.join(seg, F.col("client_id") == F.col("seg_id"), "left")
+    return j.withColumn("is_b2b", F.when(F.col("client_id").isNotNull(), F.col("seg_id").isNotNull())).drop("seg_id")
+
+
 def b2b_rows(t: Tables, p: Params) -> DataFrame:
-    """reservations JOIN clients restricted to the B2B list and the optional account."""
+    """reservations JOIN clients restricted to the B2B segment and the optional account."""
+    seg = _segment_table(t)
+    if seg is not None:
+        cl = t.clients.join(seg, F.col("id") == F.col("seg_id"), "left_semi")
+        name = F.collate(F.col("username"), "UTF8_LCASE") if p.ci_text else F.col("username")
+        if p.account is not None:
+            cl = cl.where(name == F.lit(p.account))
+        cl = cl.select(F.col("id").alias("cid"), name.alias("username"))
+        r = in_segment(live(t.reservations), t, p)
+        return r.join(cl, r["client_id"] == cl["cid"], "inner").drop("cid")
     ids = list(p.b2b_ids)
     cl = t.clients.where(F.col("id").isin(ids))
     name = F.collate(F.col("username"), "UTF8_LCASE") if p.ci_text else F.col("username")
@@ -45,7 +82,7 @@ def b2b_rows(t: Tables, p: Params) -> DataFrame:
 
 
 def indiv_rows(t: Tables, p: Params) -> DataFrame:
-    return live(t.reservations).where(~_b2b_flag(p))
+    return in_segment(live(t.reservations), t, p, negate=True)
 
 
 def _aov1() -> Column:
@@ -225,27 +262,29 @@ def _since(df: DataFrame, p: Params, days: int | None) -> DataFrame:
 
 def daily_segment_orders(t: Tables, p: Params) -> DataFrame:
     """M47"""
-    r = live(t.reservations)
+    r = with_segment_flag(live(t.reservations), t, p)
+    b2b = F.col("is_b2b")
     return (r.groupBy(day("created_at").alias("day"))
-            .agg(bsum(~_b2b_flag(p)).alias("individual_orders"), bsum(_b2b_flag(p)).alias("b2b_orders"))
+            .agg(bsum(~b2b).alias("individual_orders"), bsum(b2b).alias("b2b_orders"))
             .orderBy("day"))
 
 
 def daily_segment_table(t: Tables, p: Params) -> DataFrame:
     """Last 60 days, newest first."""
-    r = _since(live(t.reservations), p, p.last_days or 60)
+    r = with_segment_flag(_since(live(t.reservations), p, p.last_days or 60), t, p)
+    b2b = F.col("is_b2b")
     return (r.groupBy(day("created_at").alias("day"))
-            .agg(bsum(~_b2b_flag(p)).alias("individual_orders"), bsum(_b2b_flag(p)).alias("b2b_orders"),
+            .agg(bsum(~b2b).alias("individual_orders"), bsum(b2b).alias("b2b_orders"),
                  _n().alias("total_orders"))
             .orderBy(F.desc("day")))
 
 
 def daily_completed_by_segment(t: Tables, p: Params) -> DataFrame:
     """Completed washes per day by segment plus all orders, last 90 days."""
-    r = _since(live(t.reservations), p, p.last_days or 90)
-    done = F.col("status") == 3
+    r = with_segment_flag(_since(live(t.reservations), p, p.last_days or 90), t, p)
+    done, b2b = F.col("status") == 3, F.col("is_b2b")
     return (r.groupBy(day("created_at").alias("day"))
-            .agg(bsum(done & _b2b_flag(p)).alias("b2b_completed"), bsum(done & ~_b2b_flag(p)).alias("individual_completed"),
+            .agg(bsum(done & b2b).alias("b2b_completed"), bsum(done & ~b2b).alias("individual_completed"),
                  bsum(done).alias("total_completed"), _n().alias("total_orders"))
             .orderBy(F.desc("day")))
 

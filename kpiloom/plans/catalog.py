@@ -27,11 +27,17 @@ class Query:
     long_history: bool = False
     oracle: Callable[[Params], str] | None = None
     tags: tuple[str, ...] = field(default_factory=tuple)
+    # derive a ``b2b_accounts`` segment table (clients in Params.b2b_ids) instead of the literal list
+    segment_table: bool = False
 
     def tables(self, spark: SparkSession, sf_dir: str) -> Tables:
         t = derive_test_tables(spark, sf_dir)
         if self.long_history:
             t = t.replace(reservations=t.reservations_long)
+        if self.segment_table:
+            from pyspark.sql import functions as F
+
+            t = t.replace(b2b_accounts=t.clients.where(F.col("id").isin(list(self.params.b2b_ids))).select("id"))
         return t
 
     # streaming queries take (spark, sf_dir, params) and read their own file stream
@@ -117,6 +123,9 @@ def _segments() -> None:
     acct = FIXTURE.with_(account="Customer#000000007")
     for name in ("b2b_washes", "b2b_account_table", "b2b_monthly_revenue"):
         register(Query(f"{name}_account", SEGMENTS[name], acct, False, SEGMENTS_SQL[name], ("segments",)))
+    for name in ("b2b_account_table", "indiv_repeat_rate", "daily_segment_orders", "daily_completed_by_segment"):
+        register(Query(f"{name}_segment_table", SEGMENTS[name], FIXTURE, False, SEGMENTS_SQL[name], ("segments",),
+                       segment_table=True))
     ci = FIXTURE.with_(account="CUSTOMER#000000011", ci_text=True)
     register(Query("b2b_washes_account_ci", SEGMENTS["b2b_washes"], ci, False, SEGMENTS_SQL["b2b_washes"],
                    ("segments",)))
