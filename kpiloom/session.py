@@ -20,6 +20,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # map-side partial aggregation is what makes hot keys cheap; keep it on
     "spark.sql.aggregate.skipPartialAggregate": "false",
+    # per-call Python call-site capture for error messages costs several JVM round trips
+    # per DataFrame/Column function; plans are built from many small expressions
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

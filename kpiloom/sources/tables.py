@@ -11,10 +11,8 @@ column pruning and filter pushdown still reach the Parquet scan.
 from __future__ import annotations
 
 from collections.abc import Callable
-from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 SCHEMAS: dict[str, str] = {
     "reservations": (
@@ -104,57 +102,49 @@ class Tables:
 
 
 # ---------------------------------------------------------------------------
-# Test-table derivations (FIXTURES.md). Fixed values of the derivation:
-T0 = "2024-01-01 00:00:00"
+# Test-table derivations (FIXTURES.md), written as SQL expression strings: each
+# projection is one call into the JVM (parsed there), not one call per Column node.
+# Fixed values of the derivation:
+T0 = "TIMESTAMP '2024-01-01 00:00:00'"
 # ---------------------------------------------------------------------------
 
+# Integer ``k`` of the one-key ``props`` document (``{"k": 69}``). A regex extract is about
+# 2x cheaper per row than a JSON parse and gives the same value on this shape (the DuckDB
+# oracle uses a real JSON extraction, so every oracle check confirms it).
+K_EXPR = """try_cast(regexp_extract(props, '"k"\\\\s*:\\\\s*(-?\\\\d+)', 1) AS INT)"""
 
-def _k() -> Column:
-    """Integer ``k`` of the one-key ``props`` document (``{"k": 69}``). A regex extract is
-    about 2x cheaper per row than a JSON parse and gives the same value on this shape
-    (the DuckDB oracle uses a real JSON extraction, so every oracle check confirms it)."""
-    return F.regexp_extract(F.col("props"), r'"k"\s*:\s*(-?\d+)', 1).try_cast("int")
 
+def _t0_plus_days(n: str) -> str:
+    return f"timestampadd(DAY, CAST({n} AS INT), {T0})"
 
-def _plus_minutes(ts: Column, n: Column) -> Column:
-    return F.timestamp_add("MINUTE", n.cast("int"), ts)
 
+# cast(price/1000 as decimal(10,2)) done in exact integer cents (half up)
+COST_EXPR = ("CAST(CAST(floor((CAST(round(o_totalprice * 100) AS BIGINT) + 5) / 10) AS DECIMAL(12,0)) * 0.01BD "
+             "AS DECIMAL(10,2))")
 
-def _t0_plus_days(n: Column) -> Column:
-    return F.timestamp_add("DAY", n.cast("int"), F.lit(T0).cast("timestamp"))
-
-
-def _money_div_1000(price: Column) -> Column:
-    """cast(price/1000 as decimal(10,2)) done in exact integer cents (half up)."""
-    cents = F.round(price * 100).cast("bigint")
-    return ((F.floor((cents + 5) / 10)).cast("decimal(12,0)") * F.lit(Decimal("0.01"))).cast("decimal(10,2)")
+RESERVATION_EXPRS = [
+    "CAST(event_id AS BIGINT) AS id",
+    "CAST(user_id AS BIGINT) AS client_id",
+    "ts AS created_at",
+    "CASE WHEN k % 25 = 0 THEN CAST(NULL AS STRING) WHEN k % 25 = 1 THEN '' "
+    "ELSE date_format(ts, 'yyyy-MM-dd') END AS date",
+    "CASE WHEN event_type = 'error' THEN 6 WHEN event_type = 'signup' THEN 1 ELSE 3 END AS status",
+    "CASE WHEN k % 5 < 2 THEN 1 ELSE 0 END AS use_package",
+    "CAST(value AS STRING) AS total_price",
+    "CAST(CASE WHEN k % 20 = 0 THEN NULL ELSE user_id % 8 END AS BIGINT) AS representative_id",
+    "timestampadd(MINUTE, 5, ts) AS representative_start_at",
+    "CASE WHEN k % 33 = 0 THEN CAST(NULL AS TIMESTAMP_NTZ) "
+    "ELSE timestampadd(MINUTE, CAST(5 + k % 30 AS INT), ts) END AS representative_end_at",
+    "CASE WHEN k = 99 THEN ts END AS deleted_at",
+    "CAST(user_id % 5 AS BIGINT) AS city_id",
+    "CAST(user_id % 25 AS BIGINT) AS area_id",
+    "CAST(CASE WHEN k % 5 < 2 THEN event_id % 1000 END AS BIGINT) AS subscription_id",
+]
 
 
 def reservations_from_events(events: DataFrame) -> DataFrame:
     """reservations derived from events (works on batch and streaming frames)."""
-    e = events.withColumn("k", _k())
-    pkg = F.when(F.col("k") % 5 < 2, 1).otherwise(0)
-    return e.select(
-        F.col("event_id").cast("bigint").alias("id"),
-        F.col("user_id").cast("bigint").alias("client_id"),
-        F.col("ts").alias("created_at"),
-        F.when(F.col("k") % 25 == 0, F.lit(None).cast("string"))
-        .when(F.col("k") % 25 == 1, F.lit(""))
-        .otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("date"),
-        F.when(F.col("event_type") == "error", 6).when(F.col("event_type") == "signup", 1)
-        .otherwise(3).alias("status"),
-        pkg.alias("use_package"),
-        F.col("value").cast("string").alias("total_price"),
-        F.when(F.col("k") % 20 == 0, F.lit(None).cast("bigint"))
-        .otherwise(F.col("user_id") % 8).cast("bigint").alias("representative_id"),
-        _plus_minutes(F.col("ts"), F.lit(5)).alias("representative_start_at"),
-        F.when(F.col("k") % 33 == 0, F.lit(None).cast("timestamp"))
-        .otherwise(_plus_minutes(F.col("ts"), 5 + F.col("k") % 30)).alias("representative_end_at"),
-        F.when(F.col("k") == 99, F.col("ts")).alias("deleted_at"),
-        (F.col("user_id") % 5).cast("bigint").alias("city_id"),
-        (F.col("user_id") % 25).cast("bigint").alias("area_id"),
-        F.when(pkg == 1, F.col("event_id") % 1000).cast("bigint").alias("subscription_id"),
-    )
+    return events.selectExpr("*", f"{K_EXPR} AS k").selectExpr(*RESERVATION_EXPRS)
 
 
 # Schemas of the driver's raw test tables; passing them skips footer-based schema inference.
@@ -178,100 +168,82 @@ def derive_test_tables(spark: SparkSession, sf_dir: str) -> Tables:
     def raw(n: str) -> DataFrame:
         return spark.read.schema(RAW_SCHEMAS[n]).parquet(f"{sf_dir}/{n}.parquet")
 
+    def with_k(df: DataFrame) -> DataFrame:
+        return df.selectExpr("*", f"{K_EXPR} AS k")
+
     def reservations() -> DataFrame:
         return reservations_from_events(raw("events"))
 
     def reservations_long() -> DataFrame:
-        o = raw("orders")
-        return o.select(
-            F.col("o_orderkey").cast("bigint").alias("id"),
-            F.col("o_custkey").cast("bigint").alias("client_id"),
-            F.col("o_orderdate").cast("timestamp").alias("created_at"),
-            F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "O", 1)
-            .when(F.col("o_orderstatus") == "P", 6).alias("status"),
-            F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(0).alias("use_package"),
-            F.col("o_totalprice").cast("string").alias("total_price"),
-            F.lit(None).cast("timestamp").alias("deleted_at"),
-        )
+        return raw("orders").selectExpr(
+            "CAST(o_orderkey AS BIGINT) AS id", "CAST(o_custkey AS BIGINT) AS client_id",
+            "CAST(o_orderdate AS TIMESTAMP) AS created_at",
+            "CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 1 WHEN 'P' THEN 6 END AS status",
+            "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS use_package",
+            "CAST(o_totalprice AS STRING) AS total_price", "CAST(NULL AS TIMESTAMP) AS deleted_at")
 
     def package_subscriptions() -> DataFrame:
-        o = raw("orders")
-        return o.select(
-            F.col("o_orderkey").cast("bigint").alias("id"),
-            (F.col("o_custkey") % 150).cast("bigint").alias("client_id"),
-            F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2)
-            .when(F.col("o_orderstatus") == "P", 3).alias("status"),
-            _t0_plus_days(F.col("o_orderkey") % 30).alias("created_at"),
-            _money_div_1000(F.col("o_totalprice")).alias("cost"),
-            F.when(F.col("o_orderkey") % 10 == 0, _t0_plus_days(F.lit(1))).alias("deleted_at"),
-            (F.col("o_orderkey") % 200).cast("bigint").alias("package_id"),
-        )
+        return raw("orders").selectExpr(
+            "CAST(o_orderkey AS BIGINT) AS id", "CAST(o_custkey % 150 AS BIGINT) AS client_id",
+            "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 WHEN 'P' THEN 3 END AS status",
+            f"{_t0_plus_days('o_orderkey % 30')} AS created_at", f"{COST_EXPR} AS cost",
+            f"CASE WHEN o_orderkey % 10 = 0 THEN {_t0_plus_days('1')} END AS deleted_at",
+            "CAST(o_orderkey % 200 AS BIGINT) AS package_id")
 
     def packages() -> DataFrame:
-        p = raw("part")
-        return p.select(
-            F.col("p_partkey").cast("bigint").alias("id"),
-            F.when(F.col("p_size") % 3 == 0, 1).when(F.col("p_size") % 3 == 1, 0)
-            .otherwise(F.lit(None).cast("int")).alias("is_customized"),
-        )
+        return raw("part").selectExpr(
+            "CAST(p_partkey AS BIGINT) AS id",
+            "CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS is_customized")
 
     def clients() -> DataFrame:
-        c = raw("customer")
-        return c.select(
-            F.col("c_custkey").cast("bigint").alias("id"),
-            F.col("c_name").alias("username"),
-            F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0).alias("type"),
-            _t0_plus_days(F.col("c_custkey") % 30).alias("created_at"),
-        )
+        return raw("customer").selectExpr(
+            "CAST(c_custkey AS BIGINT) AS id", "c_name AS username",
+            "CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS type",
+            f"{_t0_plus_days('c_custkey % 30')} AS created_at")
 
     def attendances() -> DataFrame:
-        e = raw("events").where(F.col("event_type") == "view")
-        return e.select(F.to_date("ts").alias("date"), (F.col("user_id") % 8).cast("bigint").alias("representative_id"))
+        return raw("events").where("event_type = 'view'").selectExpr(
+            "to_date(ts) AS date", "CAST(user_id % 8 AS BIGINT) AS representative_id")
 
     def reservation_service() -> DataFrame:
-        li = raw("lineitem")
-        return li.select(
-            F.col("l_orderkey").cast("bigint").alias("reservation_id"),
-            F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0)
-            .otherwise(F.lit(None).cast("int")).alias("is_product"),
-            F.when((F.col("l_linestatus") == "F") & (F.col("l_linenumber") >= 5), 1).otherwise(0).alias("is_deleted"),
-        )
+        return raw("lineitem").selectExpr(
+            "CAST(l_orderkey AS BIGINT) AS reservation_id",
+            "CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END AS is_product",
+            "CASE WHEN l_linestatus = 'F' AND l_linenumber >= 5 THEN 1 ELSE 0 END AS is_deleted")
 
     def cities() -> DataFrame:
-        r = raw("region")
-        name = F.format_string('{"en": "%s", "ar": "%s"}', F.col("r_name"), F.lower("r_name"))
-        return r.select(F.col("r_regionkey").cast("bigint").alias("id"), name.alias("name"))
+        return raw("region").selectExpr(
+            "CAST(r_regionkey AS BIGINT) AS id",
+            """format_string('{"en": "%s", "ar": "%s"}', r_name, lower(r_name)) AS name""")
 
     def areas() -> DataFrame:
-        n = raw("nation")
-        return n.select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"),
-                        F.col("n_regionkey").cast("bigint").alias("city_id"))
+        return raw("nation").selectExpr(
+            "CAST(n_nationkey AS BIGINT) AS id", "n_name AS name", "CAST(n_regionkey AS BIGINT) AS city_id")
 
     def companies() -> DataFrame:
-        s = raw("supplier")
-        return s.select(F.col("s_suppkey").cast("bigint").alias("id"), _t0_plus_days(F.col("s_suppkey") % 30).alias("created_at"))
+        return raw("supplier").selectExpr(
+            "CAST(s_suppkey AS BIGINT) AS id", f"{_t0_plus_days('s_suppkey % 30')} AS created_at")
 
     def corporate_wash_leads() -> DataFrame:
-        c = raw("customer").where(F.col("c_mktsegment") == "MACHINERY")
-        return c.select(F.col("c_custkey").cast("bigint").alias("id"), _t0_plus_days(F.col("c_custkey") % 30).alias("created_at"),
-                        (F.col("c_custkey") % 3).cast("int").alias("contact_status"))
+        return raw("customer").where("c_mktsegment = 'MACHINERY'").selectExpr(
+            "CAST(c_custkey AS BIGINT) AS id", f"{_t0_plus_days('c_custkey % 30')} AS created_at",
+            "CAST(c_custkey % 3 AS INT) AS contact_status")
 
     def reviews() -> DataFrame:
-        e = raw("events").where(F.col("event_type") == "view").withColumn("k", _k())
-        return e.select(F.col("event_id").cast("bigint").alias("id"), F.col("ts").alias("created_at"),
-                        (1 + F.col("k") % 5).cast("int").alias("score"),
-                        F.when(F.col("k") == 99, F.col("ts")).alias("deleted_at"))
+        return with_k(raw("events").where("event_type = 'view'")).selectExpr(
+            "CAST(event_id AS BIGINT) AS id", "ts AS created_at", "CAST(1 + k % 5 AS INT) AS score",
+            "CASE WHEN k = 99 THEN ts END AS deleted_at")
 
     def client_complaints() -> DataFrame:
-        e = raw("events").where(F.col("event_type") == "error").withColumn("k", _k())
-        return e.select(F.col("event_id").cast("bigint").alias("id"), F.col("ts").alias("created_at"),
-                        F.when(F.col("k") % 4 == 0, F.lit(None).cast("timestamp"))
-                        .otherwise(_plus_minutes(F.col("ts"), F.col("k") * 37)).alias("answer_at"),
-                        F.when(F.col("k") == 99, F.col("ts")).alias("deleted_at"))
+        return with_k(raw("events").where("event_type = 'error'")).selectExpr(
+            "CAST(event_id AS BIGINT) AS id", "ts AS created_at",
+            "CASE WHEN k % 4 = 0 THEN CAST(NULL AS TIMESTAMP_NTZ) "
+            "ELSE timestampadd(MINUTE, CAST(k * 37 AS INT), ts) END AS answer_at",
+            "CASE WHEN k = 99 THEN ts END AS deleted_at")
 
     def user_area_availability_alert_logs() -> DataFrame:
-        e = raw("events").where(F.col("event_type") == "signup")
-        return e.select(F.col("event_id").cast("bigint").alias("id"), F.col("ts").alias("created_at"))
+        return raw("events").where("event_type = 'signup'").selectExpr(
+            "CAST(event_id AS BIGINT) AS id", "ts AS created_at")
 
     loaders = {f.__name__: f for f in (
         reservations, reservations_long, package_subscriptions, packages, clients, attendances,
