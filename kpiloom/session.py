@@ -20,6 +20,10 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # map-side partial aggregation is what makes hot keys cheap; keep it on
     "spark.sql.aggregate.skipPartialAggregate": "false",
+}
+
+# Static settings: only take effect when the session is built.
+_STATIC = {
     # per-call Python call-site capture for error messages costs several JVM round trips
     # per DataFrame/Column function; plans are built from many small expressions
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -29,7 +33,10 @@ _DEFAULTS = {
 def configure(spark: SparkSession) -> SparkSession:
     """Apply session defaults that the operators rely on (UTC, ANSI, AQE)."""
     for k, v in _DEFAULTS.items():
-        spark.conf.set(k, v)
+        try:
+            spark.conf.set(k, v)
+        except Exception:  # noqa: BLE001 - a platform may pin a setting; reports still run
+            pass
     return spark
 
 
@@ -56,7 +63,7 @@ def local_session(cores: int | None = None, shuffle_partitions: int | None = Non
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for k, v in _DEFAULTS.items():
+    for k, v in {**_DEFAULTS, **_STATIC}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
