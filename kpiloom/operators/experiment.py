@@ -35,7 +35,9 @@ def _orders(t: Tables, p: Params) -> DataFrame:
     return r.groupBy(day("created_at").alias("d")).agg(
         F.count(F.lit(1)).alias("total_orders"), bsum(F.col("use_package") == 0).alias("single_orders"),
         bsum(F.col("use_package") == 1).alias("package_orders"),
-        bsum(tod_wraps("created_at", *LATE_NIGHT)).alias("late_night"))
+        bsum(tod_wraps("created_at", *LATE_NIGHT)).alias("late_night"),
+        # cancelled orders (status 6) share the day key and filter: same pass
+        F.count(F.when(F.col("status") == 6, 1)).alias("wasted"))
 
 
 def _completed(t: Tables, p: Params) -> DataFrame:
@@ -44,11 +46,6 @@ def _completed(t: Tables, p: Params) -> DataFrame:
         F.count(F.lit(1)).alias("completed"), F.countDistinct("representative_id").alias("reps"))
 
 
-def _cancelled(t: Tables, p: Params) -> DataFrame:
-    r = _scope(t, p).where((F.col("status") == 6) & in_range("created_at", _lo(p)))
-    return r.groupBy(day("created_at").alias("d")).agg(F.count(F.lit(1)).alias("wasted"))
-
-
 def _transit(t: Tables, p: Params) -> DataFrame:
     """Minutes from a worker's previous job end to this job's start, same worker and day."""
     r = _scope(t, p).where((F.col("status") == 3) & in_range("representative_start_at", _lo(p))
@@ -69,8 +66,7 @@ def _spine(t: Tables, p: Params) -> DataFrame:
 def experiment_daily(t: Tables, p: Params) -> DataFrame:
     """M51"""
     s = _spine(t, p)
-    j = (s.join(_orders(t, p), "d", "left").join(_completed(t, p), "d", "left")
-         .join(_cancelled(t, p), "d", "left").join(_transit(t, p), "d", "left"))
+    j = s.join(_orders(t, p), "d", "left").join(_completed(t, p), "d", "left").join(_transit(t, p), "d", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return j.select(
         day_str("d").alias("day"), z("completed"), z("wasted"), F.col("avg_transit").alias("avg_transit_min"),
