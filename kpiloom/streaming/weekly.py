@@ -58,9 +58,14 @@ def daily_orders_stream(reservations: DataFrame, p: Params) -> DataFrame:
             .select(F.to_date(F.col("w.start")).alias("period"), "orders"))
 
 
-def run_available_now(spark: SparkSession, agg: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
-    """Run a streaming aggregate to completion over the data present now; return the result table."""
-    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/kpiloom-stream/{name}-{uuid.uuid4().hex[:12]}"
+def run_available_now(spark: SparkSession, agg: DataFrame, name: str, timeout_s: int = 600,
+                      location: str | None = None) -> DataFrame:
+    """Run a streaming aggregate to completion over the data present now; return the result table.
+
+    With a stable ``location`` (a folder in the shared checkpoint area) later runs only read
+    files that arrived since the previous run and update the kept state; without one, each
+    run starts from an empty state in a fresh folder."""
+    root = location or ensure_checkpoint_dir(spark).rstrip("/") + f"/kpiloom-stream/{name}-{uuid.uuid4().hex[:12]}"
     out, ckpt = f"{root}/result", f"{root}/checkpoint"
 
     def write(batch: DataFrame, _batch_id: int) -> None:
@@ -77,10 +82,10 @@ def run_available_now(spark: SparkSession, agg: DataFrame, name: str, timeout_s:
     return spark.read.parquet(out)
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table of a test directory as a file stream."""
-    return (spark.readStream.schema(RAW_SCHEMAS["events"]).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+def events_stream(spark: SparkSession, src: str, glob: str = "events.parquet") -> DataFrame:
+    """Event files of a folder as a file stream (new files are picked up by later runs)."""
+    return (spark.readStream.schema(RAW_SCHEMAS["events"]).option("pathGlobFilter", glob)
+            .option("maxFilesPerTrigger", 1).parquet(src))
 
 
 def stream_weekly_paid_washes(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
