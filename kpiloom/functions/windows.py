@@ -16,7 +16,7 @@ from kpiloom.functions.exprs import c, minutes_between, ratio, rnd
 
 __all__ = [
     "merge_on_key", "neighbor_in_time", "running", "running_ratio", "pop_pct", "pop_points", "share_of_total", "next_gap_minutes",
-    "prev_gap_minutes", "first_seen",
+    "prev_gap_minutes", "first_seen", "min_day_text",
 ]
 
 
@@ -110,3 +110,21 @@ def prev_gap_minutes(df: DataFrame, keys: list[str], start: str, end: str, out:
 def first_seen(df: DataFrame, key: str, ts: str, out: str = "first_at") -> DataFrame:
     """MIN(ts) per key: a partial (map-side) aggregate, so a hot key costs one row per task."""
     return df.groupBy(key).agg(F.min(ts).alias(out))
+
+
+def min_day_text(rows: DataFrame, key: str, text: str, out: str) -> DataFrame:
+    """MIN(text) per key over 'YYYY-MM-DD' day text, exact, as hash aggregates.
+
+    Spark has no fixed-width buffer for MIN over a string, so it plans a sort-based
+    aggregate: every input row is sorted before the map-side partial aggregate. A
+    canonical day string (one that round-trips through a DATE) orders exactly like that
+    date, so those rows are reduced as DATE in a hash aggregate. Any other text keeps the
+    lexical rule: it stays in the grouping key of that aggregate, and a second step takes
+    the lexical MIN over its output, which holds about one row per key, not per input row."""
+    s = F.col(text)
+    d = F.try_to_date(s, "yyyy-MM-dd")
+    canon = F.coalesce(F.date_format(d, "yyyy-MM-dd") == s, F.lit(False))
+    step = (rows.select(key, F.when(canon, d).alias("_d"), F.when(~canon, s).alias("_other"))
+            .groupBy(key, "_other").agg(F.min("_d").alias("_d")))
+    return step.groupBy(key).agg(
+        F.min(F.coalesce(F.col("_other"), F.date_format("_d", "yyyy-MM-dd"))).alias(out))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import (bsum, day_str, dec, in_range, live, pct, ratio, rnd, to_dbl, week_str)
-from kpiloom.functions.windows import merge_on_key, next_gap_minutes
+from kpiloom.functions.windows import merge_on_key, min_day_text, next_gap_minutes
 from kpiloom.operators.weekly import _package_breakdown, worker_load
 from kpiloom.params import Params
 from kpiloom.sources.tables import Tables
@@ -55,7 +55,8 @@ class Grain:
 
 
 def first_activity(t: Tables) -> DataFrame:
-    """Per client, first day (text) of a completed single order or a paid package, all time.
+    """Per client, first day (text) of a completed single order or a paid package, all time
+    (MIN over day text, planned as hash aggregates by ``min_day_text``).
     A materialized ``first_activity`` table (plans/materialize.py) is used when present."""
     if "first_activity" in t.names():
         return t.first_activity.select("client_id", "fa")
@@ -63,7 +64,7 @@ def first_activity(t: Tables) -> DataFrame:
          .where((F.col("status") == 3) & (F.col("use_package") == 0) & F.col("date").isNotNull() & (F.col("date") != ""))
          .select("client_id", F.col("date").alias("act")))
     s = live(t.package_subscriptions).where(F.col("status") == 1).select("client_id", day_str("created_at").alias("act"))
-    return r.unionByName(s).groupBy("client_id").agg(F.min("act").alias("fa"))
+    return min_day_text(r.unionByName(s), "client_id", "act", "fa")
 
 
 def service_units(t: Tables, g: Grain) -> DataFrame:

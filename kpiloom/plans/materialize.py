@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import day_str, in_range, live
+from kpiloom.functions.windows import min_day_text
 from kpiloom.session import ensure_checkpoint_dir
 from kpiloom.sources.tables import Tables
 
@@ -47,7 +48,7 @@ def refresh_first_activity(spark: SparkSession, t: Tables, previous: str | None
     rows = first_activity_rows(t, since if previous else None)
     if previous:
         rows = rows.unionByName(spark.read.parquet(previous).select("client_id", F.col("fa").alias("act")))
-    fa = rows.groupBy("client_id").agg(F.min("act").alias("fa"))
+    fa = min_day_text(rows, "client_id", "act", "fa")
     base = (root or ensure_checkpoint_dir(spark)).rstrip("/")
     path = f"{base}/kpiloom-first-activity/v-{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
     fa.write.parquet(path)

@@ -41,12 +41,17 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint dir; set a scratch one only when unset (tests)."""
+    """Return the cluster's checkpoint dir; set a scratch one only when unset in local mode (tests).
+
+    On a cluster a machine-local folder would be lost with its executor, so an unset
+    ``spark.checkpoint.dir`` is an error there instead of a silent fallback."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a shared folder for checkpoints and sinks")
         conf_dir = tempfile.mkdtemp(prefix="kpiloom-ckpt-")
     spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import bsum, dec, minutes_between, ratio, rnd, tod_wraps, week_start
-from kpiloom.functions.windows import merge_on_key, pop_pct, running
+from kpiloom.functions.windows import merge_on_key, min_day_text, pop_pct, running
 
 
 def one(df):
@@ -110,3 +110,39 @@ def test_neighbor_in_time_matches_plain_window_on_hot_key(spark):
     got_p = neighbor_in_time(df, ["k"], "s", "e", "prv", -1, bucket_seconds=600).select("id", "prv")
     got = got_n.join(got_p, "id")
     assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.select("id", "nxt", "prv").collect()))
+
+
+def test_min_day_text_is_the_lexical_min(spark):
+    """Hash-aggregated MIN over day text equals the plain (sort-based) string MIN,
+    including non-canonical text, impossible dates and keys whose texts are all NULL."""
+    vals = {
+        1: ["2024-01-05", "2023-12-31", "2024-01-05"],
+        2: ["2024-1-5", "2024-01-10"],            # non-canonical sorts after '2024-01-10'
+        3: ["2024-02-30", "2024-02-29"],          # impossible date: kept as text
+        4: [" 2024-01-01", "2024-01-01"],         # leading blank sorts first
+        5: [None, None],
+        6: ["abc", None],
+        7: ["0999-12-31", "2024-01-01", ""],      # '' is the lexical minimum
+        8: ["2024-01-02"],
+    }
+    rows = [(k, v) for k, vs in vals.items() for v in vs]
+    df = spark.createDataFrame(rows, "k int, t string")
+    got = {r.k: r.m for r in min_day_text(df, "k", "t", "m").collect()}
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.min("t").alias("m")).collect()}
+    assert got == want
+    assert got[2] == "2024-01-10" and got[3] == "2024-02-29" and got[5] is None and got[7] == ""
+
+
+def test_first_activity_plans_no_sort_of_fact_rows(spark):
+    """The all-time first activity (S02) is reduced by a hash aggregate, not a SortAggregate."""
+    from kpiloom.operators.scoreboard import first_activity
+    from kpiloom.sources.tables import derive_test_tables
+
+    plan = first_activity(derive_test_tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution() \
+        .executedPlan().toString()
+    lines = plan.splitlines()
+    first_sort_agg = next((i for i, ln in enumerate(lines) if "SortAggregate" in ln), None)
+    assert "HashAggregate" in plan
+    # the only sort-based step (lexical MIN) sits above the hash aggregates, i.e. after the reduction
+    if first_sort_agg is not None:
+        assert any("HashAggregate" in ln for ln in lines[first_sort_agg:])
