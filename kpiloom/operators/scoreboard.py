@@ -7,8 +7,9 @@ indicator matrix (M58, unpivot + pivot).
 Plan shape: every component (S02-S14) aggregates to one row per period on its
 own date column: service day (text ``date``), purchase time (``created_at``),
 attendance date. The only fact-sized shuffles are the all-time first-activity
-aggregate per client (S02, partial MIN) and one (period, client) aggregate that
-feeds orders, customers and washes (S03-S07) through a single join with it. The period
+aggregate per client (S02, hash-aggregated MIN over day text) and one (period, client)
+aggregate that feeds orders, customers, washes and purchases (S03-S07, S10, S12) through a
+single join with it; that aggregate reads each fact table once. The period
 spine (S15) and the outer merge of the components (S16) only touch per-period
 rows: they are one UNION ALL + GROUP BY period, not a chain of joins.
 """
@@ -68,31 +69,48 @@ def first_activity(t: Tables) -> DataFrame:
 
 
 def service_units(t: Tables, g: Grain) -> DataFrame:
-    """S03 inputs plus the completed washes of S07, as one (period, client) aggregate:
-    completed reservations by service day (``date`` text) and paid packages by purchase day.
-    n_done: completed washes; n_single: completed single orders (order units); n_pkg:
-    paid packages (order units); amount: order-unit value (single price / package cost)."""
+    """S03 inputs, the completed washes of S07 and the purchases of S10/S12, from one scan of
+    each fact table, as one (period, client) aggregate.
+
+    Completed reservations count by service day (``date`` text); single reservations of any
+    status count as purchases by creation day; paid packages count by purchase day in both
+    roles. A reservation can play both roles on different days, so each row emits up to two
+    tagged rows (``inline`` of a filtered array, no second scan). Purchase rows carry a NULL
+    client: they only add to ``n_bought`` of their day and never match first activity.
+    n_done: completed washes; n_single: completed single orders (order units); n_pkg: paid
+    packages (order units); amount: order-unit value (single price / package cost);
+    n_bought: single purchases."""
     single = F.col("use_package") == 0
-    r = (live(t.reservations).where((F.col("status") == 3) & g.text_in_range("date"))
-         .select(g.key_text("date").alias("day"), "client_id", F.lit(1).alias("done"),
-                 single.cast("int").alias("single"), F.lit(0).alias("pkg"),
-                 F.when(single, dec("total_price", 10, 2)).alias("amount")))
+    served = (F.col("status") == 3) & g.text_in_range("date")
+    bought = single & g.time_in_range()
+    price = dec("total_price", 10, 2)
+    as_served = F.struct(g.key_text("date").alias("day"), F.col("client_id"), F.lit(1).alias("done"),
+                         single.cast("int").alias("single"), F.when(single, price).alias("amount"),
+                         F.lit(0).alias("bought"))
+    as_bought = F.struct(g.key_time("created_at").alias("day"), F.lit(None).cast("bigint").alias("client_id"),
+                         F.lit(0).alias("done"), F.lit(0).alias("single"), F.lit(None).cast("decimal(10,2)").alias("amount"),
+                         F.lit(1).alias("bought"))
+    tagged = F.array(F.when(served, as_served), F.when(bought, as_bought))
+    r = (live(t.reservations).where(served | bought)
+         .select(F.inline(F.filter(tagged, lambda x: x.isNotNull())))
+         .withColumn("pkg", F.lit(0)))
     s = (live(t.package_subscriptions).where((F.col("status") == 1) & g.time_in_range())
          .select(g.key_time("created_at").alias("day"), "client_id", F.lit(0).alias("done"), F.lit(0).alias("single"),
-                 F.lit(1).alias("pkg"), F.col("cost").cast("decimal(10,2)").alias("amount")))
+                 F.col("cost").cast("decimal(10,2)").alias("amount"), F.lit(0).alias("bought"), F.lit(1).alias("pkg")))
     return r.unionByName(s).groupBy("day", "client_id").agg(
         F.sum("done").alias("n_done"), F.sum("single").alias("n_single"), F.sum("pkg").alias("n_pkg"),
-        F.sum("amount").alias("amount"))
+        F.sum("amount").alias("amount"), F.sum("bought").alias("n_bought"))
 
 
 def orders_customers_washes(t: Tables, fa: DataFrame, g: Grain) -> DataFrame:
-    """S04 orders, S05+S06 customers and S07 washes from one (period, client) aggregate
-    joined once to first activity (the only fact-sized join of the scoreboard; both sides
-    are one row per client or per (period, client)).
+    """S04 orders, S05+S06 customers, S07 washes and S10/S12 purchases from one (period,
+    client) aggregate joined once to first activity (the only fact-sized join of the
+    scoreboard; both sides are one row per client or per (period, client)).
 
     NULL semantics of the source are kept: a client absent from ``fa`` is not a customer
     (inner join there) but its washes count, with a NULL new/returning split (left join);
-    SUM over no non-NULL flag stays NULL until the final COALESCE."""
+    SUM over no non-NULL flag stays NULL until the final COALESCE. Purchase-only rows have
+    zero units and washes, so they add nothing to the other metrics."""
     u = service_units(t, g)
     j = u.join(fa.withColumn("in_fa", F.lit(True)), "client_id", "left")
     same = g.key_text(F.col("fa")) == F.col("day")
@@ -106,7 +124,8 @@ def orders_customers_washes(t: Tables, fa: DataFrame, g: Grain) -> DataFrame:
         F.sum("n_done").alias("completed_washes"), washes_new.alias("washes_new_cust"),
         (F.sum("n_done") - washes_new).alias("washes_returning_cust"),
         active.alias("active_customers"), new_cust.alias("new_customers"),
-        (active - new_cust).alias("returning_customers"))
+        (active - new_cust).alias("returning_customers"),
+        (F.sum("n_bought") + F.sum("n_pkg")).alias("purchased_orders"), F.sum("n_bought").alias("single_purchased"))
 
 
 def signups_component(t: Tables, g: Grain) -> DataFrame:
@@ -121,17 +140,6 @@ def attendance_component(t: Tables, g: Grain) -> DataFrame:
     return a.groupBy(g.key_time("date").alias("day")).agg(F.countDistinct("representative_id").alias("washers_available"))
 
 
-def purchases_component(t: Tables, g: Grain) -> DataFrame:
-    """S10 + S12: purchases by creation time: single reservations (any status) + paid
-    packages, and the single purchases alone, in one aggregate over the unioned rows."""
-    r = (live(t.reservations).where((F.col("use_package") == 0) & g.time_in_range())
-         .select(g.key_time("created_at").alias("day"), F.lit(1).alias("single")))
-    s = (live(t.package_subscriptions).where((F.col("status") == 1) & g.time_in_range())
-         .select(g.key_time("created_at").alias("day"), F.lit(0).alias("single")))
-    return r.unionByName(s).groupBy("day").agg(_n().alias("purchased_orders"),
-                                               F.sum("single").alias("single_purchased"))
-
-
 def between_component(t: Tables, g: Grain) -> DataFrame:
     """Mean idle minutes between consecutive jobs of a worker on a service day (0..max)."""
     r = live(t.reservations).where(
@@ -164,9 +172,9 @@ def scoreboard_base(t: Tables, p: Params, weekly: bool, breakdown: bool) -> Data
     """Period spine, left joins of every component, ratios."""
     g = Grain(p, weekly)
     fa = first_activity(t)
-    purch = purchases_component(t, g)
-    comps = [orders_customers_washes(t, fa, g), signups_component(t, g), attendance_component(t, g),
-             purch if breakdown and not weekly else purch.drop("single_purchased"), between_component(t, g)]
+    ocw = orders_customers_washes(t, fa, g)
+    comps = [ocw if breakdown and not weekly else ocw.drop("single_purchased"), signups_component(t, g),
+             attendance_component(t, g), between_component(t, g)]
     extra: list[str] = []
     if weekly:
         comps.append(efficiency_component(t, g))

@@ -62,3 +62,11 @@ def test_run_board_fans_out_one_params(spark, tmp_path):
     paths = write_board({"growth_orders": res["growth_orders"]}, str(tmp_path))
     back = spark.read.parquet(paths["growth_orders"])
     assert back.count() == res["growth_orders"].count()
+
+
+def test_scoreboard_reads_each_order_table_once_for_units_and_purchases(spark):
+    """S03-S07, S10 and S12 share one scan per fact table: package subscriptions (from `orders`)
+    are read twice in all, once there and once for all-time first activity (S02)."""
+    p = plan(QUERIES["okr_scoreboard_daily"].run(spark, SF_SMALL))
+    scans = [ln for ln in p.splitlines() if "FileScan parquet" in ln]
+    assert sum("o_orderkey" in ln for ln in scans) == 2, scans
