@@ -29,3 +29,41 @@ def test_incremental_weekly_stream_matches_batch(spark, tmp_path):
     third = run()  # no new files
     batch = sorted(map(tuple, weekly_paid_washes(derive_test_tables(spark, SF_SMALL), FIXTURE).collect()))
     assert second == batch and third == batch and first != batch
+
+
+class _Ctx:
+    def __init__(self, master, ckpt=None):
+        self.master, self._ckpt, self.set_to = master, ckpt, None
+
+    def getCheckpointDir(self):
+        return self._ckpt
+
+    def setCheckpointDir(self, d):
+        self.set_to = d
+
+
+class _Conf:
+    def __init__(self, values):
+        self.values = values
+
+    def get(self, k, default=None):
+        return self.values.get(k, default)
+
+
+class _Session:
+    def __init__(self, master, conf=None, ckpt=None):
+        self.sparkContext, self.conf = _Ctx(master, ckpt), _Conf(conf or {})
+
+
+def test_checkpoint_dir_comes_from_the_session_and_never_falls_back_on_a_cluster():
+    import pytest
+
+    from kpiloom.session import ensure_checkpoint_dir
+
+    assert ensure_checkpoint_dir(_Session("yarn", ckpt="hdfs://nn/ckpt")) == "hdfs://nn/ckpt"
+    s = _Session("k8s://api", {"spark.checkpoint.dir": "s3a://shared/ckpt"})
+    assert ensure_checkpoint_dir(s) == "s3a://shared/ckpt" and s.sparkContext.set_to == "s3a://shared/ckpt"
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(_Session("spark://master:7077"))
+    local = _Session("local[2]")
+    assert ensure_checkpoint_dir(local) == local.sparkContext.set_to  # scratch folder only in local mode
