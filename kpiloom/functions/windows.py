@@ -77,21 +77,24 @@ def neighbor_in_time(df: DataFrame, keys: list[str], ts: str, value: str, out: s
     A plain window sends each key group to one task, so a key holding a third of all
     rows becomes one straggler. Here the window runs per (keys, time bucket of ts):
     group size is bounded by rows per bucket, not per key. Rows at a bucket edge get
-    their neighbour from the adjacent non-empty bucket: a per-bucket first/last value
-    (partial aggregate) with a LEAD/LAG over buckets, i.e. one row per bucket. Both
-    sides are pure functions of the input, so recomputation after a lost executor
-    gives the same slices."""
+    their neighbour from the adjacent non-empty bucket: the same window marks the row
+    each bucket hands to its neighbour (its first row for LEAD, its last for LAG), and a
+    LEAD/LAG over those rows, one per bucket, passes it across. The hand-over rows come
+    from the window's own output, so when ``df`` holds only keys, ts and value (plus the
+    bucket), both branches share one exchange and the input is scanned and shuffled
+    once. Both sides are pure functions of the input, so recomputation after a lost
+    executor gives the same slices."""
     b = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).alias("_bucket")
-    x = df.withColumn("_bucket", b)
-    fn = F.lead if direction > 0 else F.lag
+    fn, back = (F.lead, F.lag) if direction > 0 else (F.lag, F.lead)
     w = Window.partitionBy(*keys, "_bucket").orderBy(ts)
-    x = x.withColumn(out, fn(F.col(value)).over(w)).withColumn("_edge_row", fn(F.lit(1)).over(w).isNull())
-    pick = F.min_by if direction > 0 else F.max_by
-    edges = x.groupBy(*keys, "_bucket").agg(pick(F.col(value), F.col(ts)).alias("_v"))
-    edges = edges.withColumn("_nv", fn("_v").over(Window.partitionBy(*keys).orderBy("_bucket"))).drop("_v")
+    x = df.withColumn("_bucket", b).select(
+        "*", fn(F.col(value)).over(w).alias(out), fn(F.lit(1)).over(w).isNull().alias("_edge_row"),
+        back(F.lit(1)).over(w).isNull().alias("_hand_over"))
+    edges = x.where(F.col("_hand_over")).select(
+        *keys, "_bucket", fn(F.col(value)).over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_nv"))
     j = x.join(edges, keys + ["_bucket"], "left")
     return j.withColumn(out, F.when(F.col("_edge_row"), F.col("_nv")).otherwise(F.col(out))).drop(
-        "_bucket", "_edge_row", "_nv")
+        "_bucket", "_edge_row", "_hand_over", "_nv")
 
 
 def next_gap_minutes(df: DataFrame, keys: list[str], start: str, end: str, out: str = "gap") -> DataFrame:

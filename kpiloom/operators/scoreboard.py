@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import (bsum, day_str, dec, in_range, live, pct, ratio, rnd, to_dbl, week_str)
-from kpiloom.functions.windows import merge_on_key, min_day_text, next_gap_minutes
+from kpiloom.functions.windows import merge_on_key, min_day_text, prev_gap_minutes
 from kpiloom.operators.weekly import _package_breakdown, worker_load
 from kpiloom.params import Params
 from kpiloom.sources.tables import Tables
@@ -144,9 +144,11 @@ def between_component(t: Tables, g: Grain) -> DataFrame:
     """Mean idle minutes between consecutive jobs of a worker on a service day (0..max)."""
     r = live(t.reservations).where(
         (F.col("status") == 3) & F.col("representative_id").isNotNull() & F.col("representative_start_at").isNotNull()
-        & F.col("representative_end_at").isNotNull() & g.text_in_range("date"))
+        & F.col("representative_end_at").isNotNull() & F.col("date").isNotNull() & g.text_in_range("date"))
     r = r.select("representative_id", "date", "representative_start_at", "representative_end_at")
-    x = next_gap_minutes(r, ["representative_id", "date"], "representative_start_at", "representative_end_at")
+    # LEAD(start) - end on each row gives the same consecutive pairs as start - LAG(end); the LAG
+    # form reads only the window's own columns, so the skew-safe lookup scans and shuffles once
+    x = prev_gap_minutes(r, ["representative_id", "date"], "representative_start_at", "representative_end_at")
     x = x.where(F.col("gap").between(0, g.p.max_gap_minutes))
     return x.groupBy(g.key_text("date").alias("day")).agg(
         rnd(ratio(F.sum("gap"), F.count("gap")), 1).alias("avg_min_between_washes"))
