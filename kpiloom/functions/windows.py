@@ -82,11 +82,13 @@ def neighbor_in_time(df: DataFrame, keys: list[str], ts: str, value: str, out: s
     LEAD/LAG over those rows, one per bucket, passes it across. The hand-over rows come
     from the window's own output, so when ``df`` holds only keys, ts and value (plus the
     bucket), both branches share one exchange and the input is scanned and shuffled
-    once. Both sides are pure functions of the input, so recomputation after a lost
-    executor gives the same slices."""
+    once. Ties in ``ts`` are ordered by ``value`` (any order of ties is a valid LEAD/LAG),
+    so a stage recomputed after a lost executor gives the same values."""
     b = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).alias("_bucket")
     fn, back = (F.lead, F.lag) if direction > 0 else (F.lag, F.lead)
-    w = Window.partitionBy(*keys, "_bucket").orderBy(ts)
+    # ``value`` breaks ties in ``ts``: rows tied on both carry the same values, so every aggregate
+    # of the result is the same on a rerun, whatever order a shuffle delivers tied rows in
+    w = Window.partitionBy(*keys, "_bucket").orderBy(ts, value)
     x = df.withColumn("_bucket", b).select(
         "*", fn(F.col(value)).over(w).alias(out), fn(F.lit(1)).over(w).isNull().alias("_edge_row"),
         back(F.lit(1)).over(w).isNull().alias("_hand_over"))

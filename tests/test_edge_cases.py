@@ -146,3 +146,23 @@ def test_first_activity_plans_no_sort_of_fact_rows(spark):
     # the only sort-based step (lexical MIN) sits above the hash aggregates, i.e. after the reduction
     if first_sort_agg is not None:
         assert any("HashAggregate" in ln for ln in lines[first_sort_agg:])
+
+
+def test_neighbor_in_time_with_tied_times_matches_ordered_window(spark):
+    """Tied start times: the bucketed LAG equals a plain window ordered by (start, end), and so
+    does the multiset of gaps whatever order a shuffle delivers tied rows in."""
+    import random
+
+    from kpiloom.functions.windows import neighbor_in_time
+
+    rnd_ = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(2000):
+        t = base + dt.timedelta(minutes=rnd_.randint(0, 90))  # about 22 rows per start minute
+        rows.append((i, i % 2, t, t + dt.timedelta(minutes=rnd_.randint(1, 5))))
+    df = spark.createDataFrame(rows, "id int, k int, s timestamp, e timestamp").repartition(7)
+    w = Window.partitionBy("k").orderBy("s", "e")
+    want = df.select("k", "s", "e", F.lag("e").over(w).alias("prv"))
+    got = neighbor_in_time(df, ["k"], "s", "e", "prv", -1, bucket_seconds=60).select("k", "s", "e", "prv")
+    assert sorted(map(tuple, want.collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
