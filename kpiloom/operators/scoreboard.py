@@ -69,48 +69,61 @@ def first_activity(t: Tables) -> DataFrame:
 
 
 def service_units(t: Tables, g: Grain) -> DataFrame:
-    """S03 inputs, the completed washes of S07 and the purchases of S10/S12, from one scan of
-    each fact table, as one (period, client) aggregate.
+    """S03 inputs, the completed washes of S07, the purchases of S10/S12 and (weekly) the
+    worker load of S14, from one scan of each fact table, as one (period, client, worker)
+    aggregate.
 
     Completed reservations count by service day (``date`` text); single reservations of any
     status count as purchases by creation day; paid packages count by purchase day in both
-    roles. A reservation can play both roles on different days, so each row emits up to two
-    tagged rows (``inline`` of a filtered array, no second scan). Purchase rows carry a NULL
-    client: they only add to ``n_bought`` of their day and never match first activity.
+    roles; on the weekly grain, every assigned reservation counts for its worker by service
+    day. A reservation can play several roles on different keys, so each row emits up to
+    three tagged rows (``inline`` of a filtered array, no second scan). Purchase and worker
+    rows carry a NULL client: they never match first activity. Worker rows carry the worker
+    id, so each (period, NULL, worker) group is one worker of the period.
     n_done: completed washes; n_single: completed single orders (order units); n_pkg: paid
     packages (order units); amount: order-unit value (single price / package cost);
-    n_bought: single purchases."""
+    n_bought: single purchases; n_assigned / n_exec: a worker's assigned / executed jobs."""
     single = F.col("use_package") == 0
     served = (F.col("status") == 3) & g.text_in_range("date")
     bought = single & g.time_in_range()
+    worked = F.col("representative_id").isNotNull() & g.text_in_range("date") if g.weekly else F.lit(False)
     price = dec("total_price", 10, 2)
-    as_served = F.struct(g.key_text("date").alias("day"), F.col("client_id"), F.lit(1).alias("done"),
+    no_client, no_rep = F.lit(None).cast("bigint").alias("client_id"), F.lit(None).cast("bigint").alias("rep")
+    no_amount = F.lit(None).cast("decimal(10,2)").alias("amount")
+    zero = lambda name: F.lit(0).alias(name)
+    as_served = F.struct(g.key_text("date").alias("day"), F.col("client_id"), no_rep, F.lit(1).alias("done"),
                          single.cast("int").alias("single"), F.when(single, price).alias("amount"),
-                         F.lit(0).alias("bought"))
-    as_bought = F.struct(g.key_time("created_at").alias("day"), F.lit(None).cast("bigint").alias("client_id"),
-                         F.lit(0).alias("done"), F.lit(0).alias("single"), F.lit(None).cast("decimal(10,2)").alias("amount"),
-                         F.lit(1).alias("bought"))
-    tagged = F.array(F.when(served, as_served), F.when(bought, as_bought))
-    r = (live(t.reservations).where(served | bought)
+                         zero("bought"), zero("assigned"), zero("executed"))
+    as_bought = F.struct(g.key_time("created_at").alias("day"), no_client, no_rep, zero("done"), zero("single"),
+                         no_amount, F.lit(1).alias("bought"), zero("assigned"), zero("executed"))
+    as_worker = F.struct(g.key_text("date").alias("day"), no_client, F.col("representative_id").alias("rep"),
+                         zero("done"), zero("single"), no_amount, zero("bought"), F.lit(1).alias("assigned"),
+                         (F.col("status") == 3).cast("int").alias("executed"))
+    tagged = F.array(F.when(served, as_served), F.when(bought, as_bought), F.when(worked, as_worker))
+    r = (live(t.reservations).where(served | bought | worked)
          .select(F.inline(F.filter(tagged, lambda x: x.isNotNull())))
          .withColumn("pkg", F.lit(0)))
     s = (live(t.package_subscriptions).where((F.col("status") == 1) & g.time_in_range())
-         .select(g.key_time("created_at").alias("day"), "client_id", F.lit(0).alias("done"), F.lit(0).alias("single"),
-                 F.col("cost").cast("decimal(10,2)").alias("amount"), F.lit(0).alias("bought"), F.lit(1).alias("pkg")))
-    return r.unionByName(s).groupBy("day", "client_id").agg(
+         .select(g.key_time("created_at").alias("day"), "client_id", no_rep, zero("done"), zero("single"),
+                 F.col("cost").cast("decimal(10,2)").alias("amount"), zero("bought"), zero("assigned"),
+                 zero("executed"), F.lit(1).alias("pkg")))
+    return r.unionByName(s).groupBy("day", "client_id", "rep").agg(
         F.sum("done").alias("n_done"), F.sum("single").alias("n_single"), F.sum("pkg").alias("n_pkg"),
-        F.sum("amount").alias("amount"), F.sum("bought").alias("n_bought"))
+        F.sum("amount").alias("amount"), F.sum("bought").alias("n_bought"),
+        F.sum("assigned").alias("n_assigned"), F.sum("executed").alias("n_exec"))
 
 
 def orders_customers_washes(t: Tables, fa: DataFrame, g: Grain) -> DataFrame:
-    """S04 orders, S05+S06 customers, S07 washes and S10/S12 purchases from one (period,
-    client) aggregate joined once to first activity (the only fact-sized join of the
-    scoreboard; both sides are one row per client or per (period, client)).
+    """S04 orders, S05+S06 customers, S07 washes, S10/S12 purchases and (weekly) S14 worker
+    load from one (period, client, worker) aggregate joined once to first activity (the only
+    fact-sized join of the scoreboard; both sides are one row per client or per (period,
+    client)).
 
     NULL semantics of the source are kept: a client absent from ``fa`` is not a customer
     (inner join there) but its washes count, with a NULL new/returning split (left join);
-    SUM over no non-NULL flag stays NULL until the final COALESCE. Purchase-only rows have
-    zero units and washes, so they add nothing to the other metrics."""
+    SUM over no non-NULL flag stays NULL until the final COALESCE. Purchase and worker rows
+    have zero units and washes, so they add nothing to the other metrics; a worker is a
+    (period, NULL, worker) group, so counting those groups counts distinct workers."""
     u = service_units(t, g)
     j = u.join(fa.withColumn("in_fa", F.lit(True)), "client_id", "left")
     same = g.key_text(F.col("fa")) == F.col("day")
@@ -125,7 +138,10 @@ def orders_customers_washes(t: Tables, fa: DataFrame, g: Grain) -> DataFrame:
         (F.sum("n_done") - washes_new).alias("washes_returning_cust"),
         active.alias("active_customers"), new_cust.alias("new_customers"),
         (active - new_cust).alias("returning_customers"),
-        (F.sum("n_bought") + F.sum("n_pkg")).alias("purchased_orders"), F.sum("n_bought").alias("single_purchased"))
+        (F.sum("n_bought") + F.sum("n_pkg")).alias("purchased_orders"), F.sum("n_bought").alias("single_purchased"),
+        *([F.sum("n_assigned").alias("assigned"), F.count(F.when(F.col("n_assigned") > 0, 1)).alias("asg_washers"),
+           F.sum("n_exec").alias("executed"), F.count(F.when(F.col("n_exec") > 0, 1)).alias("exec_washers")]
+          if g.weekly else []))
 
 
 def signups_component(t: Tables, g: Grain) -> DataFrame:
@@ -160,7 +176,8 @@ def package_breakdown_component(t: Tables, g: Grain) -> DataFrame:
 
 
 def efficiency_component(t: Tables, g: Grain) -> DataFrame:
-    """Assigned / executed jobs and the distinct workers behind each."""
+    """S14 on its own: assigned / executed jobs and the distinct workers behind each. The
+    weekly scoreboard takes the same numbers from the shared aggregate of ``service_units``."""
     r = live(t.reservations).where(F.col("representative_id").isNotNull() & g.text_in_range("date"))
     return worker_load(r, g.key_text("date").alias("day"), "day")
 
@@ -179,7 +196,7 @@ def scoreboard_base(t: Tables, p: Params, weekly: bool, breakdown: bool) -> Data
              attendance_component(t, g), between_component(t, g)]
     extra: list[str] = []
     if weekly:
-        comps.append(efficiency_component(t, g))
+        # S14 worker load rides in the (period, client, worker) aggregate of orders_customers_washes
         extra = ["assigned", "asg_washers", "executed", "exec_washers"]
     elif breakdown:
         comps.append(package_breakdown_component(t, g))

@@ -79,3 +79,13 @@ def test_worker_gap_rows_are_shuffled_once(spark):
     df.collect()
     final = plan(df)
     assert "ReusedExchange" in final and "_bucket" in final
+
+
+def test_weekly_scoreboard_reads_reservations_three_times(spark):
+    """Weekly scoreboard: one read for orders, customers, washes, purchases and worker load, one
+    for all-time first activity, one for worker gaps (its second branch reuses the exchange)."""
+    df = QUERIES["okr_scoreboard_weekly"].run(spark, SF_SMALL)
+    df.collect()
+    final = plan(df).split("Initial Plan")[0]
+    scans = [ln for ln in final.splitlines() if "FileScan parquet" in ln and "props" in ln]
+    assert len(scans) == 3, scans
