@@ -97,3 +97,21 @@ def test_incremental_first_activity_gives_same_scoreboard(spark, tmp_path):
     a = sorted(map(tuple, scoreboard.okr_scoreboard_daily(with_fa, FIXTURE).collect()))
     b = sorted(map(tuple, QUERIES["okr_scoreboard_daily"].run(spark, SF_ORACLE).collect()))
     assert a == b
+
+
+def test_weekly_worker_load_from_shared_pass_equals_standalone(spark):
+    """S14 in the weekly scoreboard comes from (period, NULL client, worker) groups of the shared
+    aggregate; it equals the standalone worker-load component, also with NULL statuses."""
+    from pyspark.sql import functions as F
+
+    from kpiloom.operators.scoreboard import Grain, efficiency_component, first_activity, orders_customers_washes
+
+    t = derive_test_tables(spark, SF_SMALL)
+    r = t.reservations.withColumn("status", F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("status")))
+    t = t.replace(reservations=r)
+    g = Grain(FIXTURE, weekly=True)
+    cols = ["day", "assigned", "asg_washers", "executed", "exec_washers"]
+    got = orders_customers_washes(t, first_activity(t), g).select(*cols).where(F.col("assigned") > 0)
+    want = efficiency_component(t, g).select(*cols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert want.count() > 0
