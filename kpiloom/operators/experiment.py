@@ -46,6 +46,36 @@ def _completed(t: Tables, p: Params) -> DataFrame:
         F.count(F.lit(1)).alias("completed"), F.countDistinct("representative_id").alias("reps"))
 
 
+def _orders_and_completed(t: Tables, p: Params) -> DataFrame:
+    """``_orders`` and ``_completed`` from one scan: each reservation emits an order row (keyed by
+    its creation day) and/or a completed row (keyed by its end day, with its worker). Fields of
+    the other role are NULL, so every per-day SUM keeps the NULL rule of its own rows. Completed
+    rows are first reduced per (day, worker), so counting those groups counts distinct workers
+    (a NULL worker is not counted, as in COUNT(DISTINCT))."""
+    lo = _lo(p)
+    ordered, done = in_range("created_at", lo), (F.col("status") == 3) & in_range("representative_end_at", lo)
+    null_int = lambda name: F.lit(None).cast("int").alias(name)
+    as_order = F.struct(day("created_at").alias("d"), F.lit(None).cast("bigint").alias("rep"), F.lit(1).alias("o"),
+                        (F.col("use_package") == 0).cast("int").alias("single"),
+                        (F.col("use_package") == 1).cast("int").alias("package"),
+                        tod_wraps("created_at", *LATE_NIGHT).cast("int").alias("late"),
+                        (F.col("status") == 6).cast("int").alias("wasted"), null_int("c"))
+    as_done = F.struct(day("representative_end_at").alias("d"), F.col("representative_id").alias("rep"),
+                       null_int("o"), null_int("single"), null_int("package"), null_int("late"), null_int("wasted"),
+                       F.lit(1).alias("c"))
+    tagged = F.array(F.when(ordered, as_order), F.when(done, as_done))
+    rows = _scope(t, p).where(ordered | done).select(F.inline(F.filter(tagged, lambda x: x.isNotNull())))
+    per_rep = rows.groupBy("d", "rep").agg(
+        F.sum("o").alias("o"), F.sum("single").alias("single"), F.sum("package").alias("package"),
+        F.sum("late").alias("late"), F.count(F.when(F.col("wasted") == 1, 1)).alias("wasted"),
+        F.sum("c").alias("c"))
+    return per_rep.groupBy("d").agg(
+        F.sum("o").alias("total_orders"), F.sum("single").alias("single_orders"),
+        F.sum("package").alias("package_orders"), F.sum("late").alias("late_night"),
+        F.sum("wasted").alias("wasted"), F.sum("c").alias("completed"),
+        F.count(F.when(F.col("rep").isNotNull() & (F.col("c") > 0), 1)).alias("reps"))
+
+
 def _transit(t: Tables, p: Params) -> DataFrame:
     """Minutes from a worker's previous job end to this job's start, same worker and day."""
     r = _scope(t, p).where((F.col("status") == 3) & in_range("representative_start_at", _lo(p))
@@ -66,7 +96,7 @@ def _spine(t: Tables, p: Params) -> DataFrame:
 def experiment_daily(t: Tables, p: Params) -> DataFrame:
     """M51"""
     s = _spine(t, p)
-    j = s.join(_orders(t, p), "d", "left").join(_completed(t, p), "d", "left").join(_transit(t, p), "d", "left")
+    j = s.join(_orders_and_completed(t, p), "d", "left").join(_transit(t, p), "d", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return j.select(
         day_str("d").alias("day"), z("completed"), z("wasted"), F.col("avg_transit").alias("avg_transit_min"),
