@@ -89,3 +89,13 @@ def test_weekly_scoreboard_reads_reservations_three_times(spark):
     final = plan(df).split("Initial Plan")[0]
     scans = [ln for ln in final.splitlines() if "FileScan parquet" in ln and "props" in ln]
     assert len(scans) == 3, scans
+
+
+def test_experiment_board_reads_reservations_twice(spark):
+    """One tagged pass for orders and completed jobs, one read for worker transit (whose
+    second branch reuses the exchange)."""
+    df = QUERIES["experiment_daily"].run(spark, SF_SMALL)
+    df.collect()
+    final = plan(df).split("Initial Plan")[0]
+    scans = [ln for ln in final.splitlines() if "FileScan parquet" in ln and "props" in ln]
+    assert len(scans) == 2 and "ReusedExchange" in final, scans
