@@ -99,3 +99,17 @@ def test_experiment_board_reads_reservations_twice(spark):
     final = plan(df).split("Initial Plan")[0]
     scans = [ln for ln in final.splitlines() if "FileScan parquet" in ln and "props" in ln]
     assert len(scans) == 2 and "ReusedExchange" in final, scans
+
+
+def test_no_registered_query_plans_pairs_or_python(spark):
+    """Plan audit of every batch query: no cartesian product or nested-loop join (no all-pairs
+    work), no Python UDF in the plan, and sort-based aggregation only in the lexical MIN step of
+    first activity (which runs over about one row per client)."""
+    forbidden = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+    for name, q in QUERIES.items():
+        if q.streaming:
+            continue
+        p = plan(q.run(spark, SF_SMALL))
+        assert not [f for f in forbidden if f in p], name
+        sort_aggs = [ln for ln in p.splitlines() if "SortAggregate" in ln]
+        assert all("_other" in ln or "min(coalesce" in ln for ln in sort_aggs), (name, sort_aggs)
