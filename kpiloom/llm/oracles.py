@@ -1,3 +1,37 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+#: Words as the contracts define them.
+_N_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+OP1 = f"""
+WITH sized AS (
+  SELECT doc_id, source, {_N_WORDS}::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix-1'), 1, 8))::BIGINT AS k
+  FROM documents),
+ranked AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM sized GROUP BY source),
+filling AS (  -- if all sources of a smaller cap for their weight are full, the level of the others
+  SELECT cap / w AS own, row_number() OVER (ORDER BY cap / w, source) AS k,
+         (1.5::DOUBLE * sum(source_size) OVER ()
+          - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM ranked),
+mix AS (
+  SELECT source, source_size,
+         least(cap, w * coalesce((SELECT arg_min(level, k) FROM filling WHERE level < own), 0))::DOUBLE AS target
+  FROM ranked),
+placed AS (
+  SELECT doc_id, source, size,
+         sum(size) OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, size
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size AS before
+  FROM sized)
+SELECT p.doc_id, p.size, m.source_size, m.target,
+       (CASE WHEN m.source_size = 0 THEN 0 ELSE floor(m.target)::BIGINT // m.source_size END * p.size
+        + greatest(0, least(p.size, (CASE WHEN m.source_size = 0 THEN 0
+                                     ELSE floor(m.target)::BIGINT % m.source_size END) - p.before)))::BIGINT AS taken
+FROM placed p JOIN mix m ON p.source IS NOT DISTINCT FROM m.source
+"""
+
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1}
