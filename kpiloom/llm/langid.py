@@ -241,11 +241,11 @@ def keep_known(docs: DataFrame, model: Model | None, *, least: float = 0.3, pena
     without a letter go. Without a model nothing is rejected."""
     if model is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(docs.columns.index("text"))],
+            told = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(at)],
                                               names=["doc_id", "text"])
             for out in _predict(iter([told]), shared.value, penalty):
                 yield batch.filter(pc.and_(pc.not_equal(out["lang_pred"], "und"), pc.greater_equal(out["score"], least)))
