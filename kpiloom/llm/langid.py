@@ -29,7 +29,7 @@ HASH_BITS = 16
 ORDERS = (2, 3, 4)
 PENALTY = 12.0
 LEAST_SHARE = 0.01
-_BLOCK_BYTES = 2 << 20
+_BLOCK_BYTES = 1 << 18
 
 #: First code points of the script ranges (Unicode blocks) and the script of each.
 SCRIPTS = (
@@ -131,7 +131,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+        labels = iter(batch.column("lang").to_pylist())
+        for text in (t for block in blocks(batch.column("text"), _BLOCK_BYTES) for t in block.to_pylist()):
+            lang = next(labels)
             points = code_points(text)
             starts, ends = words_of(points)
             if not len(starts):
