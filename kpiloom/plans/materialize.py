@@ -4,7 +4,8 @@ The scoreboards classify customers by their all-time first activity (S02). Recom
 it scans the whole order history on every run; at 100 TB that dominates a report that
 otherwise reads one month. ``refresh_first_activity`` keeps it as a Parquet table in the
 shared checkpoint folder: the first run aggregates all history, later runs fold in only
-rows created since the last watermark (MIN is associative, so the merge is exact).
+rows created since the last watermark. Rows created before it that are completed, paid or
+deleted later are missed: rebuild in full where that can happen.
 Reports pick it up through ``Tables.replace(first_activity=...)``.
 
 Writes go to a new versioned directory and are read back from it, which cuts the lineage
