@@ -18,6 +18,10 @@ __all__ = [
 ]
 
 
+# The number that a text starts with.
+LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+
+
 def c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -28,10 +32,17 @@ def live(df: DataFrame, col: str = "deleted_at") -> DataFrame:
 
 
 def dec(x: str | Column, precision: int = 12, scale: int = 2) -> Column:
-    """Text -> DECIMAL like the source database: NULL stays NULL, junk and '' become 0."""
+    """Text -> DECIMAL like the source database: NULL stays NULL, a leading number counts ('12.5abc' is
+    12.5), text without one is 0, and what the type cannot hold becomes its largest value of that sign."""
     x = c(x)
     t = f"decimal({precision},{scale})"
-    return F.when(x.isNotNull(), F.coalesce(x.try_cast(t), F.lit(Decimal(0)).cast(t)))
+    top = Decimal(10 ** precision - 1).scaleb(-scale)
+    lead = F.regexp_extract(x.cast("string"), LEADING_NUMBER, 1)
+    size = lead.try_cast("double")
+    clamped = (F.when(size >= float(top), F.lit(top)).when(size <= -float(top), F.lit(-top))
+               .otherwise(F.lit(Decimal(0))).cast(t))
+    # the first cast settles clean text; the rest is evaluated for other text only
+    return F.when(x.isNotNull(), F.coalesce(x.try_cast(t), lead.try_cast(t), clamped))
 
 
 def bsum(cond: Column) -> Column:

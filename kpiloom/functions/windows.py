@@ -70,7 +70,7 @@ def share_of_total(x: str | Column, scale: float = 1.0) -> Column:
 
 
 def neighbor_in_time(df: DataFrame, keys: list[str], ts: str, value: str, out: str, direction: int = 1,
-                     bucket_seconds: int = 60) -> DataFrame:
+                     bucket_seconds: int = 3600) -> DataFrame:
     """``LEAD(value)`` (direction=1) or ``LAG(value)`` (direction=-1) over
     ``PARTITION BY keys ORDER BY ts``, exact and skew-safe.
 

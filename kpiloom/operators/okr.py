@@ -18,6 +18,8 @@ from kpiloom.sources.tables import Tables
 
 
 def _key(p: Params, col: str = "created_at") -> tuple[Column, str]:
+    if p.effective_grain not in ("daily", "monthly"):
+        raise ValueError(f"OKR cards are daily or monthly, not {p.effective_grain}")
     if p.effective_grain == "monthly":
         return month_start(col).alias("month"), "month"
     return day(col).alias("day"), "day"

@@ -16,6 +16,8 @@ rows: they are one UNION ALL + GROUP BY period, not a chain of joins.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -287,13 +289,15 @@ MATRIX_INDICATORS = [
 ]
 
 
-def okr_scoreboard_weekly_matrix(t: Tables, p: Params, n_weeks: int = 13) -> DataFrame:
-    """Indicators as rows x weeks as columns (S19 unpivot, S20 pivot on a fixed week list)."""
+def okr_scoreboard_weekly_matrix(t: Tables, p: Params) -> DataFrame:
+    """Indicators as rows x weeks as columns (S19 unpivot, S20 pivot on a fixed week list): ``Params.n_weeks``
+    weeks from the anchor. Rows beyond the last of them are not read."""
+    p = p.with_(as_of=min(p.today, p.anchor + dt.timedelta(days=7 * p.n_weeks)))
     calc = scoreboard_base(t, p, weekly=True, breakdown=False)
     vals = [((F.col(m) * mult) if mult != 1 else F.col(m)).cast("decimal(12,2)").alias(label)
             for label, m, mult in MATRIX_INDICATORS]
     long = calc.select("period", *vals).unpivot("period", [lbl for lbl, _, _ in MATRIX_INDICATORS], "indicator", "val")
-    weeks = [w.isoformat() for w in p.weeks(n_weeks)]
+    weeks = [w.isoformat() for w in p.weeks()]
     wide = long.groupBy("indicator").pivot("period", weeks).agg(F.max("val"))
     return wide.select("indicator", *[F.col(w).cast("double").alias(w) for w in weeks]).orderBy("indicator")
 

@@ -3,9 +3,8 @@ and the daily segment split (M47-M49).
 
 The segment is a curated id list (``Params.b2b_ids``). B2B rows are selected with
 an IN-list that Parquet can push down; the account names come from ``clients``
-filtered to that list, whose size is bounded by the list (``id`` is the primary
-key), so broadcasting it is safe at any data size. Individuals are the
-complement (``NOT IN``, so a NULL client is in neither segment).
+filtered to that list; the planner broadcasts them if their measured size allows.
+Individuals are the complement (``NOT IN``, so a NULL client is in neither segment).
 """
 
 from __future__ import annotations
@@ -76,7 +75,7 @@ def b2b_rows(t: Tables, p: Params) -> DataFrame:
     name = F.collate(F.col("username"), "UTF8_LCASE") if p.ci_text else F.col("username")
     if p.account is not None:
         cl = cl.where(name == F.lit(p.account))
-    cl = F.broadcast(cl.select(F.col("id").alias("cid"), name.alias("username")))
+    cl = cl.select(F.col("id").alias("cid"), name.alias("username"))
     r = live(t.reservations).where(F.col("client_id").isin(ids))
     return r.join(cl, r["client_id"] == cl["cid"], "inner").drop("cid")
 
@@ -271,7 +270,7 @@ def daily_segment_orders(t: Tables, p: Params) -> DataFrame:
 
 def daily_segment_table(t: Tables, p: Params) -> DataFrame:
     """Last 60 days, newest first."""
-    r = with_segment_flag(_since(live(t.reservations), p, p.last_days or 60), t, p)
+    r = with_segment_flag(_since(live(t.reservations), p, 60 if p.last_days is None else p.last_days), t, p)
     b2b = F.col("is_b2b")
     return (r.groupBy(day("created_at").alias("day"))
             .agg(bsum(~b2b).alias("individual_orders"), bsum(b2b).alias("b2b_orders"),
@@ -281,7 +280,7 @@ def daily_segment_table(t: Tables, p: Params) -> DataFrame:
 
 def daily_completed_by_segment(t: Tables, p: Params) -> DataFrame:
     """Completed washes per day by segment plus all orders, last 90 days."""
-    r = with_segment_flag(_since(live(t.reservations), p, p.last_days or 90), t, p)
+    r = with_segment_flag(_since(live(t.reservations), p, 90 if p.last_days is None else p.last_days), t, p)
     done, b2b = F.col("status") == 3, F.col("is_b2b")
     return (r.groupBy(day("created_at").alias("day"))
             .agg(bsum(done & b2b).alias("b2b_completed"), bsum(done & ~b2b).alias("individual_completed"),

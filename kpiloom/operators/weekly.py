@@ -144,7 +144,7 @@ def monthly_paid_washes(t: Tables, p: Params) -> DataFrame:
 def daily_purchase_breakdown(t: Tables, p: Params) -> DataFrame:
     """By purchase day over the last 60 days before today: single purchases and
     package purchases (customised / not / offer); days with either kind are listed."""
-    n = p.last_days or 60
+    n = 60 if p.last_days is None else p.last_days
     lo, hi = p.today - dt.timedelta(days=n), p.today
     r = live(t.reservations).where((F.col("use_package") == 0) & in_range("created_at", lo, hi))
     sp = r.groupBy(day_str("created_at").alias("k")).agg(_n().alias("single_purchased"))

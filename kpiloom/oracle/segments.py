@@ -164,7 +164,7 @@ def daily_segment_orders(p):
 
 def daily_segment_table(p):
     b = ids(p.b2b_ids)
-    lo = p.today - dt.timedelta(days=p.last_days or 60)
+    lo = p.today - dt.timedelta(days=60 if p.last_days is None else p.last_days)
     return (f"SELECT cast(created_at AS DATE) AS day, "
             f"cast(SUM(CASE WHEN client_id NOT IN ({b}) THEN 1 WHEN client_id IN ({b}) THEN 0 END) AS BIGINT) AS individual_orders, "
             f"cast(SUM(CASE WHEN client_id IN ({b}) THEN 1 WHEN client_id NOT IN ({b}) THEN 0 END) AS BIGINT) AS b2b_orders, "
@@ -174,7 +174,7 @@ def daily_segment_table(p):
 
 def daily_completed_by_segment(p):
     b = ids(p.b2b_ids)
-    lo = p.today - dt.timedelta(days=p.last_days or 90)
+    lo = p.today - dt.timedelta(days=90 if p.last_days is None else p.last_days)
     return (f"SELECT cast(created_at AS DATE) AS day, "
             f"cast(SUM(CASE WHEN status = 3 AND client_id IN ({b}) THEN 1 WHEN status = 3 AND client_id IS NULL THEN NULL "
             f"ELSE 0 END) AS BIGINT) AS b2b_completed, "

@@ -90,7 +90,7 @@ def monthly_paid_washes(p):
 
 
 def daily_purchase_breakdown(p):
-    lo, hi = p.today - dt.timedelta(days=p.last_days or 60), p.today
+    lo, hi = p.today - dt.timedelta(days=60 if p.last_days is None else p.last_days), p.today
     rng = f"created_at >= {ts(lo)} AND created_at < {ts(hi)}"
     key = "strftime(ps.created_at, '%Y-%m-%d')"
     return f"""WITH sp AS (SELECT strftime(created_at, '%Y-%m-%d') AS d, COUNT(*) AS single_purchased FROM reservations

@@ -31,11 +31,13 @@ class Params:
     b2b_ids: tuple[int, ...] = (3, 7, 11, 14)
     city_id: int = 2
     area_ids: tuple[int, ...] = (2, 7, 12)
-    offer_package_ids: tuple[int, ...] = (162, 167, 168)
+    offer_package_ids: tuple[int, ...] = (15, 40, 120)
     # trailing windows (days) of the rolling reports
     last_days: int | None = None
     # idle gap kept by the between-jobs metric, in minutes
     max_gap_minutes: int = 180
+    # weeks of the indicator matrix, from the anchor on
+    n_weeks: int = 13
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
@@ -55,8 +57,8 @@ class Params:
     def effective_grain(self) -> str:
         return self.grain if self.grain in GRAINS else "daily"
 
-    def weeks(self, n: int = 13) -> list[dt.date]:
-        return [self.anchor + dt.timedelta(days=7 * i) for i in range(n)]
+    def weeks(self) -> list[dt.date]:
+        return [self.anchor + dt.timedelta(days=7 * i) for i in range(self.n_weeks)]
 
     def month_bounds(self) -> tuple[dt.date, dt.date] | None:
         if not self.month:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -204,6 +204,23 @@ def _streaming() -> None:
 _streaming()
 
 
+# ----------------------------------------------------------------------------- bounds that cut rows
+def _bounds() -> None:
+    """Parameters under which each bound removes rows of the test tables, so that a check fails without it."""
+    early = dict(as_of=dt.date(2024, 1, 20), anchor=dt.date(2024, 1, 10))
+    for name in ("okr_scoreboard_daily", "okr_scoreboard_daily_breakdown", "okr_scoreboard_weekly",
+                 "okr_scoreboard_weekly_matrix", "north_star_weighted", "north_star_per_week", "weekly_paid_washes",
+                 "weekly_purchase_breakdown", "weekly_worker_efficiency", "weekly_assignment_efficiency"):
+        register(replace(QUERIES[name], name=f"{name}_early", params=FIXTURE.with_(**early)))
+    for name in ("sales_last_n_days", "daily_segment_table", "daily_completed_by_segment", "daily_purchase_breakdown"):
+        register(replace(QUERIES[name], name=f"{name}_7", params=FIXTURE.with_(as_of=dt.date(2024, 1, 20), last_days=7)))
+    for name in ("experiment_daily", "experiment_orders", "experiment_completed", "experiment_per_rep"):
+        register(replace(QUERIES[name], name=f"{name}_span", params=FIXTURE.with_(as_of=dt.date(2024, 4, 10))))
+
+
+_bounds()
+
+
 # ----------------------------------------------------------------------------- SQL surface
 def _sql_surface() -> None:
     from kpiloom.oracle.growth import GROWTH_SQL

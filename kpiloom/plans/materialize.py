@@ -1,12 +1,9 @@
-"""Materialized helper tables for daily refreshes at scale.
+"""Materialized helper table of the scoreboards: all-time first activity per client.
 
-The scoreboards classify customers by their all-time first activity (S02). Recomputing
-it scans the whole order history on every run; at 100 TB that dominates a report that
-otherwise reads one month. ``refresh_first_activity`` keeps it as a Parquet table in the
-shared checkpoint folder: the first run aggregates all history, later runs fold in only
-rows created since the last watermark. Rows created before it that are completed, paid or
-deleted later are missed: rebuild in full where that can happen.
-Reports pick it up through ``Tables.replace(first_activity=...)``.
+``refresh_first_activity`` rebuilds it from all history, once for any number of reports; they pick it up
+through ``Tables.replace(first_activity=...)`` and then read one month of facts. It is always a full
+rebuild: a row counts from a change of its status, payment or deletion on, which can come long after its
+creation, and the source tables have no clock of changes that an increment could follow.
 
 Writes go to a new versioned directory and are read back from it, which cuts the lineage
 (the cluster can lose executors without recomputing history) and never overwrites the
@@ -21,35 +18,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.functions.exprs import day_str, in_range, live
+from kpiloom.functions.exprs import day_str, live
 from kpiloom.functions.windows import min_day_text
 from kpiloom.session import ensure_checkpoint_dir
 from kpiloom.sources.tables import Tables
 
 
-def first_activity_rows(t: Tables, since: dt.date | None = None) -> DataFrame:
-    """(client_id, act) rows of completed single orders (service day) and paid packages
-    (purchase day). ``since`` restricts to rows created on or after that date."""
+def first_activity_rows(t: Tables) -> DataFrame:
+    """(client_id, act) rows of completed single orders (service day) and paid packages (purchase day)."""
     r = live(t.reservations).where(
         (F.col("status") == 3) & (F.col("use_package") == 0) & F.col("date").isNotNull() & (F.col("date") != ""))
     s = live(t.package_subscriptions).where(F.col("status") == 1)
-    if since is not None:
-        r, s = r.where(in_range("created_at", since)), s.where(in_range("created_at", since))
     return r.select("client_id", F.col("date").alias("act")).unionByName(
         s.select("client_id", day_str("created_at").alias("act")))
 
 
-def refresh_first_activity(spark: SparkSession, t: Tables, previous: str | None = None,
-                           since: dt.date | None = None, root: str | None = None) -> str:
-    """Write first activity per client; with ``previous`` (path of the last version) only
-    rows created since ``since`` are scanned and merged in. Returns the new version's path.
-
-    Caveat of the incremental form: a row soft-deleted after it was folded in keeps its
-    contribution until the next full rebuild (call without ``previous``)."""
-    rows = first_activity_rows(t, since if previous else None)
-    if previous:
-        rows = rows.unionByName(spark.read.parquet(previous).select("client_id", F.col("fa").alias("act")))
-    fa = min_day_text(rows, "client_id", "act", "fa")
+def refresh_first_activity(spark: SparkSession, t: Tables, root: str | None = None) -> str:
+    """Write first activity per client; returns the new version's path."""
+    fa = min_day_text(first_activity_rows(t), "client_id", "act", "fa")
     base = (root or ensure_checkpoint_dir(spark)).rstrip("/")
     path = f"{base}/kpiloom-first-activity/v-{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
     fa.write.parquet(path)

@@ -1,8 +1,7 @@
 """Spark session defaults used by tests, bench and examples.
 
 On a cluster the session is created by the platform; ``configure`` only fills in
-settings that are unset, so cluster-wide choices (checkpoint dir, shuffle
-partitions) win.
+settings that are unset, so cluster-wide choices win. The time zone is the exception.
 """
 
 from __future__ import annotations
@@ -31,12 +30,12 @@ _STATIC = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply session defaults that the operators rely on (UTC, ANSI, AQE)."""
+    """Fill in the settings that the operators rely on where they are unset. The time zone is always UTC, as
+    another one would shift days; a session that does not allow that raises."""
+    chosen = spark.conf.getAll
     for k, v in _DEFAULTS.items():
-        try:
+        if k == "spark.sql.session.timeZone" or k not in chosen:
             spark.conf.set(k, v)
-        except Exception:  # noqa: BLE001 - a platform may pin a setting; reports still run
-            pass
     return spark
 
 

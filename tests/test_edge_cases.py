@@ -53,6 +53,14 @@ def test_junk_price_is_zero_and_null_stays_null(spark):
     assert got == [Decimal("0.00"), Decimal("0.00"), Decimal("12.50"), None]
 
 
+def test_price_takes_the_leading_number_and_clamps_overflow(spark):
+    texts = ["12.5abc", " -3.25 SAR", ".5x", "7.", "1e2z", "999999999999", "-999999999999", "1e999", "--5", "x9"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, p string")
+    got = [str(r.x) for r in df.select("i", dec("p", 10, 2).alias("x")).orderBy("i").collect()]
+    assert got == ["12.50", "-3.25", "0.50", "7.00", "100.00", "99999999.99", "-99999999.99", "99999999.99",
+                   "0.00", "0.00"]
+
+
 def test_half_rounding_via_decimal(spark):
     r = one(spark.range(1).select(rnd(F.lit(1.005), 2).alias("a"), rnd(F.lit(23.0) / F.lit(40.0), 2).alias("b"),
                                   rnd(F.lit(-2.5), 0).alias("c")))

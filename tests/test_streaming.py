@@ -17,20 +17,27 @@ def test_incremental_weekly_stream_matches_batch(spark, tmp_path):
     events = spark.read.schema(RAW_SCHEMAS["events"]).parquet(f"{SF_SMALL}/events.parquet")
     src, loc = str(tmp_path / "src"), str(tmp_path / "stream")
     cut = dt.datetime(2024, 1, 15)
-    events.where(F.col("ts") < F.lit(cut)).write.parquet(f"{src}/part=1")
+    events.where(F.col("ts") < F.lit(cut)).repartition(3).write.parquet(f"{src}/events.parquet")
 
     def run():
-        agg = weekly_paid_washes_stream(reservations_from_events(events_stream(spark, src, "*.parquet")), FIXTURE)
+        agg = weekly_paid_washes_stream(reservations_from_events(events_stream(spark, src)), FIXTURE)
         return sorted(map(tuple, run_available_now(spark, agg, "wk", location=loc).collect()))
 
     first = run()
-    events.where(F.col("ts") >= F.lit(cut)).write.parquet(f"{src}/part=2")
+    events.where(F.col("ts") >= F.lit(cut)).repartition(2).write.mode("append").parquet(f"{src}/events.parquet")
     second = run()
     third = run()  # no new files
     batch = sorted(map(tuple, weekly_paid_washes(derive_test_tables(spark, SF_SMALL), FIXTURE).collect()))
     assert second == batch and third == batch and first != batch
 
 
+def test_stream_of_an_empty_source_has_no_rows(spark, tmp_path):
+    (tmp_path / "events.parquet").mkdir()
+    agg = weekly_paid_washes_stream(reservations_from_events(events_stream(spark, str(tmp_path))), FIXTURE)
+    out = run_available_now(spark, agg, "wk", location=str(tmp_path / "stream"))
+    assert out.columns == agg.columns and out.count() == 0
+
+
 class _Ctx:
     def __init__(self, master, ckpt=None):
         self.master, self._ckpt, self.set_to = master, ckpt, None
