@@ -152,14 +152,10 @@ class TextEncoder:
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_word:
             return ragged([np.array(x, self.dtype).tobytes() for x in self.whole(texts.to_pylist())], self.dtype)
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        # in their own case: NFC comes before Lowercase, and some letters compose in lower case only
+        split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
         chunks = words.dictionary.to_pylist()
-        joined = " ".join(chunks)
-        if any(s.lower() in joined for s in self.special):  # special strings depend on the case
-            split = pc.ascii_split_whitespace(texts)
-            words = split.flatten().dictionary_encode()
-            chunks = words.dictionary.to_pylist()
         flat, ends = self._chunks(chunks)
         out, word_ends = take_ragged(flat, ends, words.indices.to_numpy().astype(np.int64))
         n = np.cumsum(pc.list_value_length(split).to_numpy())

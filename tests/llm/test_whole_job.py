@@ -1,0 +1,21 @@
+"""Cases that shortcuts, prefilters and samples once lost."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from kpiloom.llm import tokens
+
+
+def test_decomposed_upper_case_equals_the_library():
+    """NFC composes before Lowercase: some letters have a composed form in lower case only."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    marks = ["̈", "̱", "̊", "̌", "́", "̧"]
+    texts = [a + m for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks]
+    texts += [f"Plain words, {t}ext {t} I'LL É {t.lower()} ̈T" for t in texts] + ["", "ALL PLAIN Ñ", *texts]
+    for some in (texts, [t for t in texts if t.isascii()]):
+        got = [x.tolist() for x in tokens.encoder().each(pa.array(some))]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in some]
