@@ -5,6 +5,11 @@ languages that were seen to use that script; hashed letter n-grams score the wor
 The best path over a text's words, where every change of language costs a penalty, labels its spans;
 the label of the text is the language whose spans hold most letters.
 
+A word is recognised if some language uses its script and its score a place is no lower than halfway
+from the language's level in training to a background where every hash slot is as likely. The score
+of a text is the share of its visible characters in recognised words of its language, so letters of
+an unknown script or language, digits and symbols all count against it.
+
 A path without a change is the best one if no run of words gains more than the penalty in another
 language, which a few prefix sums tell; only the other texts take the step-by-step path.
 """
@@ -12,6 +17,7 @@ language, which a few prefix sums tell; only the other texts take the step-by-st
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +55,12 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+@functools.cache
+def _visible() -> np.ndarray:
+    """Neither blanks, control characters nor marks, which belong to the letter before them."""
+    return np.fromiter((unicodedata.category(chr(c))[0] not in "MZC" for c in range(0x110000)), bool, 0x110000)
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
 
@@ -78,17 +90,20 @@ def features(points: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """``scores[language, order, hash]``: log probability; ``uses[language, script]``."""
+    """``scores[language, order, hash]``: log probability; ``uses[language, script]``; ``least[language]``: the
+    lowest score a place of a recognised word."""
 
     languages: list[str]
     scores: np.ndarray
     uses: np.ndarray
+    least: np.ndarray
 
-    def word_scores(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """(words, languages); a language that does not use the word's script is far below the others."""
+    def word_scores(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, languages), and whether any language uses the word's script; one that does not is far below
+        those that do."""
         out = np.zeros((len(starts), len(self.languages)))
         if not len(starts):
-            return out
+            return out, np.zeros(0, bool)
         total = np.zeros((len(self.languages), len(points) + 1))
         for order, hashed in enumerate(features(points)):
             for lang in range(len(self.languages)):
@@ -98,7 +113,7 @@ class Model:
         uses = self.uses[:, _SCRIPT[np.searchsorted(_STARTS, points[starts], "right") - 1]].T
         narrowed = uses.any(axis=1)
         out[narrowed[:, None] & ~uses] -= 1e3
-        return out
+        return out, narrowed
 
 
 def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -174,28 +189,33 @@ def train(docs: DataFrame, *, where: Column | None = None, sample_rows: int = SA
     row = np.searchsorted(np.array(languages), np.array(counts["lang"].to_pylist()))
     flat[row, counts["slot"].to_numpy()] = counts["n"].to_numpy()
     grams = flat[:, :size].reshape(len(languages), len(ORDERS), -1) + 0.1
-    used = flat[:, size:]
-    return Model(languages, np.log(grams / grams.sum(axis=2, keepdims=True)).astype(np.float32),
-                 used >= LEAST_SHARE * used.sum(axis=1, keepdims=True))
+    grams /= grams.sum(axis=2, keepdims=True)
+    logs, used = np.log(grams), flat[:, size:]
+    level = (grams * logs).sum(axis=2).mean(axis=1)  # the mean score a place of what was learned
+    return Model(languages, logs.astype(np.float32), used >= LEAST_SHARE * used.sum(axis=1, keepdims=True),
+                 (level - HASH_BITS * np.log(2)) / 2)
 
 
 def label(text: str, model: Model, penalty: float = PENALTY) -> tuple[str, float, list[tuple[str, int, int]]]:
-    """Language of a text, its share of the letters, and the labelled spans (language, start, end in code points
-    of the lower-cased text). A text without letters, or a model of no language, gives ``und``."""
+    """Language of a text, the share of the visible characters in its recognised words, and the labelled spans
+    (language, start, end in code points of the lower-cased text). A text without letters of a learned script
+    gives ``und``."""
     points = code_points(text)
     starts, ends = words_of(points)
     if not len(starts):
         return "und", 0.0, []
-    return _label(model.word_scores(points, starts, ends), starts, ends, model, penalty)
+    return _label(*model.word_scores(points, starts, ends), starts, ends, int(_visible()[points].sum()), model, penalty)
 
 
-def _label(scores, starts, ends, model, penalty):
+def _label(scores, narrowed, starts, ends, n_visible, model, penalty):
+    if not narrowed.any():
+        return "und", 0.0, []
     path = best_path(scores, penalty)
-    letters = np.bincount(path, weights=ends - starts, minlength=len(model.languages))
-    best = int(letters.argmax())
+    best = int(np.bincount(path, weights=(ends - starts) * narrowed, minlength=len(model.languages)).argmax())
+    known = narrowed & (path == best) & (scores[:, best] >= model.least[best] * (ends - starts + 1))
     cuts = np.concatenate(([0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]))
     spans = [(model.languages[path[a]], int(starts[a]), int(ends[b - 1])) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return model.languages[best], float(letters[best] / letters.sum()), spans
+    return model.languages[best], float((ends - starts)[known].sum() / n_visible), spans
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, penalty: float) -> Iterator[pa.RecordBatch]:
@@ -207,12 +227,13 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, penalty: fl
             points = np.concatenate(texts)
             starts, ends = words_of(points)
             first = np.searchsorted(starts, np.cumsum([0, *map(len, texts)]))
-            scores = None if model is None else model.word_scores(points, starts, ends)
-            for a, b in zip(first, first[1:], strict=False):
+            scores, narrowed = (None, None) if model is None else model.word_scores(points, starts, ends)
+            visible = [int(_visible()[t].sum()) for t in texts]
+            for a, b, n in zip(first, first[1:], visible, strict=False):
                 if a == b or model is None:
                     lang, share, found = "und", 0.0, []
                 else:
-                    lang, share, found = _label(scores[a:b], starts[a:b], ends[a:b], model, penalty)
+                    lang, share, found = _label(scores[a:b], narrowed[a:b], starts[a:b], ends[a:b], n, model, penalty)
                 langs.append(lang)
                 shares.append(share)
                 spans.append(len(found))
@@ -223,10 +244,10 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, penalty: fl
 
 def predict(docs: DataFrame, model: Model | None, *, penalty: float = PENALTY) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, lang_pred, score (the share
-    of the text's letters in spans of that language), n_spans.
+    of the text's letters, digits and symbols in recognised words of that language), n_spans.
 
-    Null texts and texts without a letter are ``und`` with score 0; so is every text if there was nothing to
-    learn from. A null doc_id and repeated rows are kept; an empty table gives no rows. No shuffle."""
+    Null texts and texts without a letter of a learned script are ``und`` with score 0; so is every text if there
+    was nothing to learn from. A null doc_id and repeated rows are kept; an empty table gives no rows. No shuffle."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x orders x 2^16 scores
     return docs.select("doc_id", "text").mapInArrow(
@@ -239,8 +260,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def keep_known(docs: DataFrame, model: Model | None, *, least: float = 0.3, penalty: float = PENALTY) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with at least ``least`` of its letters. Null texts and texts
-    without a letter go. Without a model nothing is rejected."""
+    """The rows of ``docs`` whose text has a language that at least ``least`` of its letters, digits and symbols are
+    recognised in. Null texts, texts without a letter, and texts mostly in scripts or languages that were not
+    learned or of symbols go. Without a model nothing is rejected."""
     if model is None:
         return docs
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")

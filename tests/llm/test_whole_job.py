@@ -3,8 +3,9 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from kpiloom.llm import tokens
+from kpiloom.llm import langid, tokens
 
 
 def test_decomposed_upper_case_equals_the_library():
@@ -19,3 +20,25 @@ def test_decomposed_upper_case_equals_the_library():
     for some in (texts, [t for t in texts if t.isascii()]):
         got = [x.tolist() for x in tokens.encoder().each(pa.array(some))]
         assert got == [whole.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_unknown_scripts_languages_and_junk_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(7)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(60)]
+    extra = [(-1, "Съешь же ещё этих мягких французских булок да выпей чаю " * 3), (-2, "日本語の文章はここにあります" * 5),
+             (-3, "## 12 34 !! $$ 56 % 78 x 90 && ** 11 22"), (-4, "1 2 3 4 5 6 7 8 9 # $ % & a 1 2 3 4 5 6"),
+             (-5, " ".join(words))]
+    model = langid.train(docs, where=~langid.held_out())
+    some = docs.select("doc_id", "text").filter(langid.held_out()).union(spark.createDataFrame(extra, "doc_id long, text string"))
+    kept = {r.doc_id for r in langid.keep_known(some, model).select("doc_id").collect()}
+    assert not kept & {d for d, _ in extra}
+    own = {r.doc_id for r in docs.filter(langid.held_out() & F.col("lang").isNotNull()).select("doc_id").collect()}
+    assert len(own - kept) <= 0.01 * len(own)
+    assert langid.label(extra[0][1], model)[:2] == ("und", 0.0) == langid.label(extra[1][1], model)[:2]
+    # one of the four languages left out: most of its texts go
+    for lang in model.languages:
+        rest = langid.train(docs, where=~langid.held_out() & (F.col("lang") != lang))
+        theirs = docs.filter(langid.held_out() & (F.col("lang") == lang))
+        print(lang, langid.keep_known(theirs, rest).count(), theirs.count())
+        assert langid.keep_known(theirs, rest).count() < 0.5 * theirs.count()
