@@ -1,16 +1,18 @@
 """Secret scans with structural confirmation.
 
 Three base patterns mark spans by their form. Beyond them, candidates are confirmed by structure
-before they are reported: a base64 or hex run is decoded, and reported only if its bytes are a key
-encoding (a DER sequence whose nested lengths add up and whose members are those of a private key,
-or an OpenSSH key with its length-prefixed strings); a dotted token is reported only if its header
-decodes to JSON that names a signing algorithm.
+before they are reported: wherever base64 or hex could start a key encoding, line breaks left out, as
+much as its header declares is decoded, and reported only if the bytes are a key encoding (a DER
+sequence whose nested lengths add up and whose members are those of a private key, or an OpenSSH key
+with its length-prefixed strings); a dotted token is reported only if its header decodes to JSON that
+names a signing algorithm.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -29,12 +31,26 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "signed_token", "pem_key", "base64_key", "hex_key")
 
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9]+(?: [A-Z0-9]+)*)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEX_ANY = re.compile(r"[0-9A-Fa-f]{64,}")
+#: The first segment starts as "{" or white space before it does in base64.
+_DOTTED = re.compile(r"\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])((?:e[w-z0-9_-]|I[A-P]|C[Q-Za-v]|D[Q-Za-f])[A-Za-z0-9_-]++)"
+                    r"(?=\.[A-Za-z0-9_-]+\.([A-Za-z0-9_-]++))")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9]+(?: [A-Z0-9]+)*)-----([A-Za-z0-9+/=\s\\]++)-----END \1-----")
+#: Line breaks with the blanks after them, real or escaped as in JSON and source text, and the backslash of an
+#: escaped slash: what may stand inside a key. Other backslashes set the group.
+_BREAK = re.compile(r"[\r\n\x0b\x0c\\](?:(?<!\\)[ \t]*+|\\*+(?:(?:[\r\n\x0b\x0cnr]|u000[aAdD])[ \t]*+|(?=/)|()))")
+_PEM_SPACE = re.compile(r"\s++|(?<!\\)\\++(?:[nrt]|u000[9aAdD]|(?=[/\s]))")
+_LEAST_RUN, _LEAST_HEX = 40, 64  # letters of a key outside PEM
+#: A sequence tag with a length, or the OpenSSH magic.
+_BASE64_START = re.compile(r"M[A-I](?=[A-Za-z0-9+/_-]{%d})|b3BlbnNzaC1rZXktdjEA(?=[A-Za-z0-9+/_-]{%d})" % (_LEAST_RUN - 2, _LEAST_RUN - 20))
+_HEX_START = re.compile(r"30(?=[0-9A-Fa-f]{%d})|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100(?=[0-9A-Fa-f]{%d})" % (_LEAST_HEX - 2, _LEAST_HEX - 30))
+_BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]*+")
+_HEX_RUN = re.compile(r"(?:[0-9A-Fa-f]{2})*+")
 _OPENSSH = b"openssh-key-v1\x00"
 
+#: Object identifiers of password-based encryption: PKCS #5 and PKCS #12.
+_ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
 Span = tuple[str, int, int]
 
 
@@ -59,27 +75,65 @@ def der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
     return items
 
 
+def _openssh_end(data: bytes) -> int | None:
+    """Where an OpenSSH key ends: three strings, a count, so many public keys and the private part. None if
+    data is not one as far as its public keys; its own end if it breaks off later."""
+    if not data.startswith(_OPENSSH):
+        return None
+    at = len(_OPENSSH)
+    for _ in range(3):  # cipher, key derivation and its options are length-prefixed strings
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at:at + 4], "big")
+    if at + 4 > len(data) or not (n := int.from_bytes(data[at:at + 4], "big")):
+        return None
+    at += 4
+    for _ in range(n + 1):
+        if at + 4 > len(data):
+            return len(data)
+        at += 4 + int.from_bytes(data[at:at + 4], "big")
+    return min(at, len(data))
+
+
+def der_size(head: bytes) -> int | None:
+    """Bytes of the sequence that starts with ``head`` (10 bytes or more), if its first member is an integer or
+    a sequence, as in every key."""
+    if head[:1] != b"\x30" or len(head) < 2:
+        return None
+    size, at = head[1], 2
+    if size & 0x80:
+        width = size & 0x7F
+        if not 1 <= width <= 4 or at + width >= len(head):
+            return None
+        size, at = int.from_bytes(head[at:at + width], "big"), at + width
+    return at + size if at < len(head) and head[at] in (0x02, 0x30) else None
+
+
 def is_private_key(data: bytes) -> bool:
-    """PKCS #1 (nine integers), SEC 1 (version 1 and an octet string), PKCS #8 (version, algorithm
-    identifier, octet string) or OpenSSH."""
+    """PKCS #1 (nine integers), DSA (version 0 and five integers), SEC 1 (version 1 and an octet string),
+    PKCS #8 (version, algorithm identifier, octet string), encrypted PKCS #8 (password-based encryption,
+    octet string) or OpenSSH."""
     if data.startswith(_OPENSSH):
-        at = len(_OPENSSH)
-        for _ in range(3):  # cipher, key derivation and its options are length-prefixed strings
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at:at + 4], "big")
-        return at + 4 <= len(data) and int.from_bytes(data[at:at + 4], "big") >= 1
+        return _openssh_end(data) is not None
     if data[:1] != b"\x30":
         return False
     outer = der_items(data, 0, len(data))
     if not outer or len(outer) != 1:
         return False
     items = der_items(data, *outer[0][1:])
-    if not items or items[0][0] != 0x02:
+    if not items:
         return False
     tags, version = [t for t, _, _ in items], data[items[0][1]:items[0][2]]
+    if tags == [0x30, 0x04]:
+        algorithm = der_items(data, *items[0][1:])
+        return (bool(algorithm) and algorithm[0][0] == 0x06 and items[1][2] > items[1][1]
+                and data[algorithm[0][1]:algorithm[0][2]].startswith(_ENCRYPTION))
+    if tags[0] != 0x02:
+        return False
     if len(tags) >= 9 and set(tags[:9]) == {0x02}:
         return True
+    if tags == [0x02] * 6 and version == b"\x00":
+        return True
     if tags[:2] == [0x02, 0x04] and version == b"\x01":
         return True
     if tags[:3] == [0x02, 0x30, 0x04] and version in (b"\x00", b"\x01"):
@@ -118,23 +172,79 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def without_breaks(text: str) -> tuple[str, list[int], list[int]]:
+    """The text without line breaks, and where its parts start, in it and in the text."""
+    if not any(c in text for c in "\n\r\x0b\x0c\\"):
+        return text, [0], [0]
+    parts, starts, froms, at, n = [], [], [], 0, 0
+    for m in _BREAK.finditer(text):
+        if m.lastindex:
+            continue
+        start, end = m.span()
+        if text[end - 1] != "\\":
+            while start > at and text[start - 1] in " \t":  # blanks before a line break
+                start -= 1
+        if start > at:
+            parts.append(text[at:start])
+            starts.append(n)
+            froms.append(at)
+            n += start - at
+        at = end
+    return "".join([*parts, text[at:]]), [*starts, n], [*froms, at]
+
+
+def _keys(clean: str, starting: re.Pattern, run: re.Pattern, letters: int, size: int, decode) -> Iterator[tuple[int, int]]:
+    """Spans of key encodings, where ``letters`` letters stand for ``size`` bytes."""
+    at = 0
+    while m := starting.search(clean, at):
+        start, at, n = m.start(), m.end(), None
+        if m.end() - start > 2:  # the OpenSSH magic: the key ends with its private part, or with its run
+            end = run.match(clean, start).end()
+            end -= (end - start) % 4 == 1 and letters == 4
+            stop = _openssh_end(decode(clean[start:end]) or b"")
+            n = stop and -(-stop * letters // size)
+        elif total := der_size(decode(clean[start:start + 16]) or b""):
+            n = -(-total * letters // size)
+            data = n >= (_LEAST_RUN if letters == 4 else _LEAST_HEX) and run.match(clean, start, start + n).end() == start + n and decode(clean[start:start + n])
+            n = n if data and is_private_key(data) else None
+        if n:
+            at = start + n
+            yield start, at
+
+
+def _from_hex(run: str) -> bytes:
+    return bytes.fromhex(run)
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """The spans that the method adds."""
     found: list[Span] = []
-    if "eyJ" in text:
-        found += [("signed_token", *m.span()) for m in _TOKEN.finditer(text) if _is_signed_header(m[1])]
+    if _DOTTED.search(text):
+        at = 0
+        for m in _TOKEN.finditer(text):
+            if m.start() >= at and _is_signed_header(m[1]):
+                at = m.end(2)
+                found.append(("signed_token", m.start(), at))
+    blocks: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = _decode64("".join(m[2].split()))
+            data = _decode64(_PEM_SPACE.sub("", m[2]))
             if data and is_private_key(data):
-                found.append(("pem_key", *m.span()))
-    for m in _BASE64.finditer(text):
-        # a key encoding starts with a sequence tag or with the OpenSSH magic
-        if m[0][0] in "Mb" and (data := _decode64(m[0])) and is_private_key(data):
-            found.append(("base64_key", *m.span()))
-    for m in _HEX_ANY.finditer(text):
-        if len(m[0]) % 2 == 0 and m[0][:2] in ("30", "6f", "6F") and is_private_key(bytes.fromhex(m[0])):
-            found.append(("hex_key", *m.span()))
+                blocks.append(m.span())
+    found += [("pem_key", *x) for x in blocks]
+    clean, starts, froms = without_breaks(text)
+
+    def place(i: int) -> int:
+        part = bisect.bisect_right(starts, i) - 1
+        return froms[part] + i - starts[part]
+
+    for a, b in _keys(clean, _BASE64_START, _BASE64_RUN, 4, 3, _decode64):
+        b += len(clean[b:b + 2]) - len(clean[b:b + 2].lstrip("="))
+        start, end = place(a), place(b - 1) + 1
+        if not any(x <= start and end <= y for x, y in blocks):  # it is the body of one
+            found.append(("base64_key", start, end))
+    for a, b in _keys(clean, _HEX_START, _HEX_RUN, 2, 1, _from_hex):
+        found.append(("hex_key", place(a), place(b - 1) + 1))
     return found
 
 

@@ -1,11 +1,15 @@
 """Cases that shortcuts, prefilters and samples once lost."""
 
+import base64
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kpiloom.llm import langid, tokens
+from kpiloom.llm import langid, secrets, tokens
+from tests.llm.test_edges import _der
 
 
 def test_decomposed_upper_case_equals_the_library():
@@ -42,3 +46,65 @@ def test_unknown_scripts_languages_and_junk_are_rejected(spark):
         theirs = docs.filter(langid.held_out() & (F.col("lang") == lang))
         print(lang, langid.keep_known(theirs, rest).count(), theirs.count())
         assert langid.keep_known(theirs, rest).count() < 0.5 * theirs.count()
+
+
+_RNG = random.Random(11)
+_OID = {"pbes2": "2a864886f70d01050d", "pkcs12": "2a864886f70d010c0103", "rsa": "2a864886f70d010101", "sha256": "608648016503040201"}
+_ALGORITHM = {k: _der(0x30, _der(6, bytes.fromhex(v)) + _der(5, b"")) for k, v in _OID.items()}
+_NUMBER = lambda n: _der(2, b"\1" + _RNG.randbytes(n))
+_RSA = _der(0x30, _der(2, b"\0") + b"".join(_NUMBER(64) for _ in range(8)))
+_STRING = lambda b: len(b).to_bytes(4, "big") + b
+KEYS = {
+    "rsa": _RSA,
+    "pkcs8": _der(0x30, _der(2, b"\0") + _ALGORITHM["rsa"] + _der(4, _RSA)),
+    "dsa": _der(0x30, _der(2, b"\0") + b"".join(_NUMBER(n) for n in (128, 20, 128, 128, 20))),
+    "encrypted": _der(0x30, _ALGORITHM["pbes2"] + _der(4, _RNG.randbytes(320))),
+    "encrypted12": _der(0x30, _ALGORITHM["pkcs12"] + _der(4, _RNG.randbytes(320))),
+    "sec1": _der(0x30, _der(2, b"\1") + _der(4, _RNG.randbytes(32))),
+    "openssh": (b"openssh-key-v1\0" + _STRING(b"none") + _STRING(b"none") + _STRING(b"") + (1).to_bytes(4, "big")
+                + _STRING(_RNG.randbytes(51)) + _STRING(_RNG.randbytes(136))),
+}
+
+
+def _wrapped(text, width, end):
+    return end.join(text[i:i + width] for i in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_keys_in_every_form(name):
+    key = KEYS[name]
+    run, digits = base64.b64encode(key).decode(), key.hex()
+    for end in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n", " \n    ", "\\\n"):
+        for wide in (64, 76, 20, 7):
+            lines = _wrapped(run, wide, end)
+            pem = f"-----BEGIN PRIVATE KEY-----{end}{lines}{end}-----END PRIVATE KEY-----"
+            for before, after in (("", ""), ('{"key": "', f'{end}"}}'), ("é ", " end")):
+                at = len(before)
+                assert secrets.confirmed_spans(before + pem + after) == [("pem_key", at, at + len(pem))], (end, wide)
+                assert secrets.confirmed_spans(before + lines + after) == [("base64_key", at, at + len(lines))], (end, wide)
+                hexes = _wrapped(digits, wide, end)
+                assert secrets.confirmed_spans(before + hexes + after) == [("hex_key", at, at + len(hexes))], (end, wide)
+    for before in ("/", "n", "keys/", "abcXYZ", "AAAA" * 20, "MIIB", "\\n", "\\/"):
+        assert secrets.confirmed_spans(before + run) == [("base64_key", len(before), len(before) + len(run))], before
+    assert secrets.confirmed_spans("see\n" + run) == [("base64_key", 4, 4 + len(run))]
+    slashes = run.replace("/", "\\/")
+    assert secrets.confirmed_spans(slashes) == [("base64_key", 0, len(slashes))]
+    assert secrets.confirmed_spans("0xab" + digits) == [("hex_key", 4, 4 + len(digits))]
+    assert secrets.confirmed_spans(run[:-8]) == [] or name == "openssh"
+
+
+def test_what_is_like_a_key_is_not_one():
+    digest = _der(0x30, _ALGORITHM["sha256"] + _der(4, _RNG.randbytes(32)))
+    assert not secrets.is_private_key(digest)
+    assert not secrets.is_private_key(_der(0x30, _der(2, b"\1") + b"".join(_NUMBER(20) for _ in range(5))))
+    assert secrets.confirmed_spans("\n".join(["MIIB", "MAMA", "word", "b3Bl"] * 200) + " " * 5000 + "\\" * 5000) == []
+
+
+def test_tokens_with_any_header():
+    url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    for head in (b'{"alg":"HS256"}', b'{ "alg": "HS256"}', b'{\n "alg": "HS256"}', b'{\r\n"alg": "none"}', b'{\t"alg": "x"}',
+                 b' {"alg": "x"}', b'\n{"alg": "x"}', b'\t{"alg": "x"}', b'\r\n{"alg": "x"}'):
+        token = f"{url(head)}.{url(b'{}')}.c2ln"
+        for before in ("", "Bearer ", "example.com.", "extra."):
+            assert secrets.confirmed_spans(before + token) == [("signed_token", len(before), len(before) + len(token))], head
+    assert secrets.confirmed_spans(f"{url(b'{ }')}.{url(b'{}')}.c2ln, example.of.this, eyewitness.said.so") == []
