@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kpiloom.llm.components import components
 from kpiloom.llm.shared import materialize, run_folder
@@ -101,8 +102,9 @@ def anchors(values: np.ndarray, reach: int = RADIUS + 1) -> tuple[np.ndarray, np
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
+        rest = [name for name in batch.schema.names if name != "text"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(fingerprints(texts, words_each).view(np.int64))], names=["doc_id", "fp"])
+            [*map(batch.column, rest), pa.array(fingerprints(texts, words_each).view(np.int64))], names=[*rest, "fp"])
 
 
 def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +204,20 @@ def linked(distinct: DataFrame, folder: str, *, most_homes: int = 20_000, chunk:
     return edges.union(near.filter("v <> top").select(F.explode("us").alias("u"), "v").filter("u <> v"))
 
 
+def _marked(docs: DataFrame, folder: str, words_each: int) -> DataFrame:
+    """The columns of ``docs`` but the text, and fp; written once."""
+    rest = docs.drop("text")
+    return materialize(docs.mapInArrow(lambda b: _fingerprint_batches(b, words_each), T.StructType(
+        [*rest.schema.fields, T.StructField("fp", T.LongType())])), f"{folder}/fingerprints")
+
+
+def _rooted(points: DataFrame, folder: str, most_homes: int) -> DataFrame:
+    """``points`` (fp, distinct, and other columns) with the fingerprint that stands for the group."""
+    roots = components(linked(points.select("fp"), folder, most_homes=most_homes), f"{folder}/components")
+    return points.join(roots, points["fp"] == roots["node"], "left").select(
+        *points.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, *, words_each: int = SHINGLE_WORDS, most_homes: int = 20_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, fingerprint (16 hex
     digits), component_id (the smallest doc_id that links reach, itself included).
@@ -210,22 +226,34 @@ def simhash_groups(docs: DataFrame, *, words_each: int = SHINGLE_WORDS, most_hom
     fingerprint zero and are linked like any other. A null doc_id gets its group's smallest id; a
     group without any id has null. Repeated rows are kept; an empty table gives no rows."""
     folder = run_folder(docs.sparkSession, "simhash")
-    marked = materialize(docs.select("doc_id", "text").mapInArrow(
-        lambda b: _fingerprint_batches(b, words_each),
-        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long"), f"{folder}/fingerprints")
+    marked = _marked(docs.select("doc_id", "text"), folder, words_each)
     points = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{folder}/points")
-    roots = components(linked(points.select("fp"), folder, most_homes=most_homes), f"{folder}/components")
-    grouped = points.join(roots, points["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    grouped = _rooted(points, folder, most_homes)
     ids = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     of = materialize(grouped.join(ids, "root").select("fp", "component_id"), f"{folder}/groups")
     return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                         "component_id")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The documents that lead their group: their doc_id is its component_id. Of repeated rows with that
-    id one stays; rows without an id stay, as no id can stand for them."""
-    lead = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("lead_id")).distinct()
-    kept = docs.join(lead, docs["doc_id"] == F.col("lead_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.filter(F.col("doc_id").isNull()))
+def _row_digest(docs: DataFrame) -> Column:
+    """Rows with the same digest are equal in every column (a null differs from an empty value)."""
+    text = F.sha2("text", 256).alias("text")
+    return F.sha2(F.to_json(F.struct(*[text if c == "text" else F.col(c) for c in docs.columns])), 256)
+
+
+def keep_one(docs: DataFrame, *, words_each: int = SHINGLE_WORDS, most_homes: int = 20_000) -> DataFrame:
+    """One row of each group of ``docs``, whatever their ids: that of the smallest doc_id (null: after all
+    others), of these that of the smallest digest of the text (null: first), and then of the whole row.
+
+    Groups are those of fingerprints, so rows that share an id but no links each have their group, and rows
+    without an id are copies of each other or not like any others."""
+    folder = run_folder(docs.sparkSession, "simhash")
+    marked = _marked(docs.select("doc_id", "text", F.sha2("text", 256).alias("digest"), _row_digest(docs).alias("row")),
+                     folder, words_each)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "row")
+    points = materialize(marked.groupBy("fp").agg(F.min(order).alias("first")), f"{folder}/points")
+    lead = _rooted(points, folder, most_homes).groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    lead = materialize(lead, f"{folder}/lead")
+    # repeated rows are equal, so any of them will do; one row leads one group at most
+    return (docs.withColumn("_row", _row_digest(docs)).join(lead, F.col("_row") == lead["row"], "left_semi")
+            .dropDuplicates(["_row"]).drop("_row"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kpiloom.llm import langid, secrets, tokens
+from kpiloom.llm import langid, secrets, simhash, tokens
 from tests.llm.test_edges import _der
 
 
@@ -108,3 +108,16 @@ def test_tokens_with_any_header():
         for before in ("", "Bearer ", "example.com.", "extra."):
             assert secrets.confirmed_spans(before + token) == [("signed_token", len(before), len(before) + len(token))], head
     assert secrets.confirmed_spans(f"{url(b'{ }')}.{url(b'{}')}.c2ln, example.of.this, eyewitness.said.so") == []
+
+
+def test_one_row_of_each_group(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "x"), (5, b, None), (7, d, "x")]
+    rows += [(None, c, "x")] * 40 + [(None, a, "x"), (None, d, "y"), (None, "", "z"), (None, None, "z"), (9, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for _ in range(2):
+        got = sorted(map(tuple, simhash.keep_one(docs).collect()), key=str)
+        assert [r[:2] for r in got] == sorted([(1, a), (5, b), (7, d), (None, c), (9, "")], key=str)
+    assert simhash.keep_one(docs).columns == docs.columns
+    assert simhash.keep_one(docs.limit(0)).collect() == []
