@@ -10,8 +10,9 @@ from the language's level in training to a background where every hash slot is a
 of a text is the share of its visible characters in recognised words of its language, so letters of
 an unknown script or language, digits and symbols all count against it.
 
-A path without a change is the best one if no run of words gains more than the penalty in another
-language, which a few prefix sums tell; only the other texts take the step-by-step path.
+A path without a change is the best one if no run of words gains half the penalty in another language
+(a path of n other runs pays n - 1 changes at least, and one of one run is no better), which a few
+prefix sums tell; only the other texts take the step-by-step path.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     for other in range(k):
         if other != lead:
             sums = np.concatenate(([0.0], np.cumsum(scores[:, other] - scores[:, lead])))
-            if (sums - np.minimum.accumulate(sums)).max() > penalty:
+            if (sums - np.minimum.accumulate(sums)).max() >= penalty / 2:
                 break
     else:
         return np.full(n, lead)

@@ -1,6 +1,7 @@
 """Cases that shortcuts, prefilters and samples once lost."""
 
 import base64
+import itertools
 import random
 
 import numpy as np
@@ -121,3 +122,13 @@ def test_one_row_of_each_group(spark):
         assert [r[:2] for r in got] == sorted([(1, a), (5, b), (7, d), (None, c), (9, "")], key=str)
     assert simhash.keep_one(docs).columns == docs.columns
     assert simhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_viterbi_leaves_the_language_of_the_highest_total():
+    assert langid.best_path(np.array([[0.0, -100, -10], [-100, 0, -10]]), 12.0).tolist() == [0, 1]
+    rng = np.random.default_rng(9)
+    for _ in range(300):  # the last language is second best everywhere
+        scores = np.column_stack((rng.choice([0.0, -30], (5, 2)), rng.uniform(-9, -3, 5)))
+        value = lambda p: sum(scores[i, x] for i, x in enumerate(p)) - 8 * sum(a != b for a, b in zip(p, p[1:], strict=False))
+        best = max(map(value, itertools.product(range(3), repeat=5)))
+        assert abs(value(langid.best_path(scores, 8.0).tolist()) - best) < 1e-9
