@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from kpiloom.llm.tokens import blocks
 
-#: Parameters of the model. ``SAMPLE_ROWS`` bounds the labelled rows that it is fitted on.
+#: Parameters of the model. ``SAMPLE_ROWS`` bounds the labelled rows that it is fitted on, an equal part for
+#: each language.
 SAMPLE_ROWS = 20_000
 HASH_BITS = 16
 ORDERS = (2, 3, 4)
@@ -172,15 +173,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, *, where: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fit on the rows of ``docs`` (doc_id, text, lang) with text and language that ``where`` holds for: about
-    ``sample_rows`` of them, chosen by a hash of the id. None if there is no such row with a letter.
+    ``sample_rows`` of them, an equal part for each language (all of a language that has no more), chosen by a
+    hash of id and text. None if there is no such row with a letter.
 
     What reaches the driver is a count per language and hash slot, whatever the number of rows."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = rows if where is None else rows.filter(where)
-    n = rows.select("doc_id").count()
-    share = min(1.0, sample_rows / n) if n else 0.0
-    chosen = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)) < int(share * (1 << 30))
-    counts = (rows.filter(chosen).select("text", "lang").mapInArrow(_count, "lang string, slot long, n long")
+    sizes = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    part = sample_rows / max(1, len(sizes))
+    shares = docs.sparkSession.createDataFrame([(lang, int(min(1.0, part / n) * (1 << 30))) for lang, n in sizes],
+                                               "lang string, below int")
+    chosen = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) < F.col("below")
+    counts = (rows.join(F.broadcast(shares), "lang").filter(chosen).select("text", "lang")
+              .mapInArrow(_count, "lang string, slot long, n long")
               .groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow())
     languages = sorted(set(counts["lang"].to_pylist()))
     if not languages:

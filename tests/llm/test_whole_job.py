@@ -132,3 +132,22 @@ def test_viterbi_leaves_the_language_of_the_highest_total():
         value = lambda p: sum(scores[i, x] for i, x in enumerate(p)) - 8 * sum(a != b for a, b in zip(p, p[1:], strict=False))
         best = max(map(value, itertools.product(range(3), repeat=5)))
         assert abs(value(langid.best_path(scores, 8.0).tolist()) - best) < 1e-9
+
+
+def test_rare_languages_are_learned(spark):
+    en, de = "the cat sat on the mat with another hat", "der Hund lief über die Straße nach Hause"
+    rows = [(i if i % 3 else None, f"{en} {i}" + "x" * (i % 7), "en") for i in range(3000)] + [(None, de, "de")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, sample_rows=60)
+    assert model.languages == ["de", "en"]
+    assert langid.label(de, model)[0] == "de" and langid.label(en, model)[0] == "en"
+    count = langid._count
+    try:  # how many rows without an id are learned from: about 60, neither all 1000 nor none
+        langid._count = lambda batches: (pa.RecordBatch.from_pydict({"lang": b["lang"], "slot": pa.array([0] * len(b), pa.int64()),
+                                         "n": pa.array([1] * len(b), pa.int64())}) for b in batches)
+        few = langid.train(docs.filter("doc_id is null and lang = 'en'"), sample_rows=60)
+    finally:
+        langid._count = count
+    grams = np.exp(few.scores[0, 0].astype(float))
+    learned = grams[0] / grams[1] * 0.1 - 0.1
+    assert 25 <= learned <= 110
