@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kpiloom.llm.shared import materialize, run_folder
 from kpiloom.llm.tokens import blocks
 
 WINDOW_WORDS = 8
@@ -105,6 +106,12 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("failures", mask)
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of ``docs``, written once to the shared folder and read back: verdicts and ablations of any
+    policy come from it, and no text is measured again."""
+    return materialize(ledger(docs), f"{run_folder(docs.sparkSession, 'quality')}/ledger")
+
+
 def keeps(policy: str) -> Column:
     """Verdict of a policy over the ledger."""
     return F.col("failures").bitwiseAND(F.lit(bits(POLICIES[policy]))) == 0

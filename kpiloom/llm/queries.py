@@ -47,7 +47,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality.ledger(_table(spark, sf_dir, "documents"))
+    entries = quality.stored(_table(spark, sf_dir, "documents"))
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality.keeps("base-1")).alias("base_failed"), quality.keeps("clean-1").alias("kept"), "failures")

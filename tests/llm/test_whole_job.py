@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kpiloom.llm import langid, secrets, simhash, tokens
+from kpiloom.llm import langid, quality, secrets, simhash, tokencount, tokenfile, tokens
 from tests.llm.test_edges import _der
 
 
@@ -151,3 +151,40 @@ def test_rare_languages_are_learned(spark):
     grams = np.exp(few.scores[0, 0].astype(float))
     learned = grams[0] / grams[1] * 0.1 - 0.1
     assert 25 <= learned <= 110
+
+
+def test_ledger_is_measured_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "word " * 19), (2, " ".join(f"word{i}" for i in range(40))), (None, None)],
+                                 "doc_id long, text string")
+    entries = quality.stored(docs)
+    assert "MapInArrow" not in entries._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, entries.collect())) == sorted(map(str, quality.ledger(docs).collect()))
+    from kpiloom.llm import queries
+
+    monkeypatch.setattr(queries, "_table", lambda *_: docs)
+    assert "MapInArrow" not in queries.op8_quality_rules(spark, "")._jdf.queryExecution().executedPlan().toString()
+    for policy, rules in quality.POLICIES.items():
+        bits = [[r for r in rules if e.failures & quality.bits((r,))] for e in entries.collect()]
+        got = {r.rule: (r.n_failed, r.n_only, r.n_rejected) for r in quality.ablations(entries, policy).collect()}
+        assert got == {r: (sum(r in b for b in bits), sum(b == [r] for b in bits), sum(map(bool, bits))) for r in rules}
+
+
+def test_second_call_finds_every_count(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two"), (2, "one  two "), (3, None), (4, "three")], "doc_id long, text string")
+    cache = str(tmp_path / "cache")
+    first = sorted(map(tuple, tokencount.token_counts(docs, cache=cache).collect()))
+    n = spark.read.parquet(cache).count()
+    assert n == 3 and sorted(map(tuple, tokencount.token_counts(docs, cache=cache).collect())) == first
+    assert spark.read.parquet(cache).count() == n
+    tokencount.token_counts(docs.union(spark.createDataFrame([(5, "four")], docs.schema)), cache=cache).collect()
+    assert spark.read.parquet(cache).count() == n + 1
+
+
+def test_select_equals_cumulated_lengths():
+    rng = np.random.default_rng(1)
+    for lengths in (rng.integers(0, 900, 3000), np.zeros(1100, np.int64), rng.integers(0, 2, 2000), np.array([7])):
+        ends = np.cumsum(lengths)
+        packed = tokenfile.EliasFano.of(ends)
+        assert [packed.select(i) for i in range(len(ends))] == ends.tolist()
+        with pytest.raises(IndexError):
+            packed.select(len(ends))
