@@ -50,4 +50,45 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1, "op6_top_k": OP6}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH RECURSIVE steps AS (  -- the CRC-32 of each byte value, one bit at a time
+  SELECT b AS byte, b::BIGINT AS c, 0 AS k FROM range(256) r(b)
+  UNION ALL
+  SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+bytes AS (SELECT list(c ORDER BY byte) AS crcs FROM steps WHERE k = 8),
+words AS (
+  SELECT doc_id, true AS raw, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL
+  SELECT item_id, false, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+counts AS (SELECT doc_id, raw, word, count(*)::BIGINT AS n FROM words GROUP BY ALL),
+spelt AS (
+  SELECT word, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS code
+  FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM counts)),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, code),
+                               lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM spelt, bytes),
+buckets AS (
+  SELECT bucket, coalesce(sum(n) FILTER (raw), 0)::BIGINT AS s, coalesce(sum(n) FILTER (NOT raw), 0)::BIGINT AS t
+  FROM counts JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::BIGINT AS raws, coalesce(sum(t), 0)::BIGINT AS targets FROM buckets),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (raws + 10000))::DOUBLE / ((s + 1) * (targets + 10000))::DOUBLE))::BIGINT AS gain
+  FROM buckets, totals),
+weights AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+  FROM counts JOIN hashed USING (word) JOIN gains USING (bucket) WHERE raw GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                     / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM documents d LEFT JOIN weights USING (doc_id)),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored s LEFT JOIN placed USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1, "op6_top_k": OP6, "op11_resample": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import (covertree, langid, mixing, oracles, packing, quality, secrets, simhash, tokencount,
+from kpiloom.llm import (covertree, langid, mixing, oracles, packing, quality, resample, secrets, simhash, tokencount,
                          tokenfile, warc)
 
 
@@ -62,10 +62,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_token_files, op3_simhash_groups, op4_pack_sequences, op5_secret_scan, op6_top_k,
-        op7_language_id, op8_quality_rules, op9_warc_archives, op10_token_counts)
+        op7_language_id, op8_quality_rules, op9_warc_archives, op10_token_counts, op11_resample)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
