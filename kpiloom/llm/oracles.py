@@ -91,4 +91,25 @@ SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN place <= 10 * n // 1
 FROM scored s LEFT JOIN placed USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1, "op6_top_k": OP6, "op11_resample": OP11}
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+sized AS (SELECT doc_id, {_TERMS} AS terms, len({_TERMS})::BIGINT AS n FROM documents),
+totals AS (SELECT count(*) FILTER (n > 0) AS docs, coalesce(sum(n), 0)::BIGINT AS words FROM sized),
+entries AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM sized)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM entries, totals GROUP BY term, docs),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN entries USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id),
+placed AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1, "op6_top_k": OP6, "op11_resample": OP11, "op13_lexical_search": OP13}
