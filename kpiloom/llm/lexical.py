@@ -2,10 +2,12 @@
 
 A document is a sparse vector over the queries' terms: a term's weight times its saturated frequency, an
 integer. A query is the 0/1 vector of its terms, so a score is an inner product and a sum of integers.
-Documents are gathered into shards, and each shard is a ball tree: a node has the mean of its documents and
-the largest distance from it. No document of a node scores more than
+Documents are gathered into shards, and each shard is a ball tree. A node's centre is the mean of its
+documents. One ball over all terms is loose, as most of a document's terms are not the query's; so the space is
+the product of small ones, one for the terms that only one query has and one for each term that several have,
+and a node has a radius in each: the largest distance from the centre there. No document of a node scores more than
 
-    sum of the mean over the query's terms  +  sqrt(number of the query's terms) * radius,
+    sum of the centre over the query's terms  +  sum over the spaces of sqrt(the query's terms there) * radius,
 
 rounded up. Nodes are visited best bound first; a subtree whose bound is below the query's kth score so far is
 pruned, and the documents of a leaf are scored in integers. Each task keeps k documents a query.
@@ -110,6 +112,36 @@ class Shard:
         return np.add.reduceat(entries, self.ends[a:b] - self.ends[a])
 
 
+@dataclass
+class Queries:
+    """The terms of each query; ``spaces[i]`` to ``spaces[i + 1]`` are the terms of space i."""
+
+    names: list[int]
+    terms: list[np.ndarray]
+    spaces: np.ndarray
+
+    @classmethod
+    def of(cls, names: np.ndarray, words: pa.Array) -> tuple[Queries, list[bytes]]:
+        """From (query, word) rows sorted by query, each once. Words are numbered by their space: those of a single
+        query by query, then the others."""
+        coded = words.dictionary_encode()
+        code, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        uses = np.bincount(code, minlength=n)
+        query, owner = np.zeros(n, np.int64), np.unique(names, return_inverse=True)[1]
+        query[code] = owner
+        space = np.where(uses == 1, query, owner.max() + 1 + np.arange(n))
+        order = np.argsort(space, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        starts = np.flatnonzero(np.diff(space[order], prepend=-1))
+        each = np.split(place[code], np.flatnonzero(np.diff(names)) + 1)
+        return (cls(names[np.flatnonzero(np.diff(names, prepend=names[0] - 1))].tolist(), [np.sort(x) for x in each],
+                    np.append(starts, n)), coded.dictionary.take(pa.array(order)).to_pylist())
+
+    def space_of(self, terms: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.spaces, terms, "right") - 1
+
+
 @dataclass
 class BallTree:
     """Nodes over rows ``starts`` to ``stops`` of an ordered shard; children are at ``left`` and ``left`` + 1, 0 for leaves."""
@@ -119,11 +151,24 @@ class BallTree:
     stops: list[int] = field(default_factory=list)
     left: list[int] = field(default_factory=list)
     centres: list[np.ndarray] = field(default_factory=list)
-    radii: list[float] = field(default_factory=list)
+    radii: list[np.ndarray] = field(default_factory=list)
 
 
-def ball_tree(shard: Shard, n_terms: int, leaf_rows: int = LEAF_ROWS) -> BallTree:
+def _radii(rows: Shard, values: np.ndarray, centre: np.ndarray, queries: Queries) -> np.ndarray:
+    """In each space the largest distance of a row from the centre, never below the true one."""
+    size = np.add.reduceat(centre * centre, queries.spaces[:-1])
+    space = queries.space_of(rows.terms)
+    run = np.flatnonzero((np.diff(space, prepend=-1) != 0) | np.isin(np.arange(len(space)), rows.ends[:-1]))
+    norm, space = np.add.reduceat(values * values, run), space[run]
+    exact = norm - 2 * np.add.reduceat(values * centre[rows.terms], run) + size[space]
+    out = size * (1 + ROUNDING)  # rows without a term there
+    np.maximum.at(out, space, np.maximum(exact, 0) + ROUNDING * (norm + size[space]))
+    return np.sqrt(out) * (1 + ROUNDING)
+
+
+def ball_tree(shard: Shard, queries: Queries, leaf_rows: int = LEAF_ROWS) -> BallTree:
     """A node is split between two far documents, at the median of the difference of the squared distances."""
+    n_terms = int(queries.spaces[-1])
     order = np.arange(len(shard.ids))
     tree = BallTree(shard)
     todo = [(0, len(order))]
@@ -134,16 +179,13 @@ def ball_tree(shard: Shard, n_terms: int, leaf_rows: int = LEAF_ROWS) -> BallTre
         norms = own.sums(values * values, 0, b - a)
 
         def squares(point: np.ndarray, own=own, values=values, norms=norms) -> np.ndarray:
-            """Squared distances to a dense point, never below the true ones."""
-            size = float(point @ point)
-            exact = norms - 2 * own.sums(values * point[own.terms], 0, len(own.ids)) + size
-            return np.maximum(exact, 0) + ROUNDING * (norms + size)
+            """Squared distances to a dense point."""
+            return norms - 2 * own.sums(values * point[own.terms], 0, len(own.ids)) + float(point @ point)
 
         centre = np.bincount(own.terms, values, n_terms) / (b - a)
-        far = squares(centre)
         left = 0
         if b - a > leaf_rows:
-            ends = []
+            ends, far = [], squares(centre)
             for _ in range(2):  # a document far from the centre, and one far from that
                 i = int(far.argmax())
                 point = np.bincount(own.terms[own.ends[i]:own.ends[i + 1]], values[own.ends[i]:own.ends[i + 1]], n_terms)
@@ -155,7 +197,7 @@ def ball_tree(shard: Shard, n_terms: int, leaf_rows: int = LEAF_ROWS) -> BallTre
         tree.stops.append(b)
         tree.left.append(left)
         tree.centres.append(centre)
-        tree.radii.append(math.sqrt(float(squares(centre).max())) * (1 + ROUNDING))
+        tree.radii.append(_radii(own, values, centre, queries))
     tree.shard = shard.take(order)
     return tree
 
@@ -177,15 +219,19 @@ class Best:
             self.rows = sorted(self.rows + new, key=lambda r: (-r[0], r[1] is None, r[1] or 0))[:self.k]
 
 
-def search(tree: BallTree, queries: list[np.ndarray], best: list[Best], n_terms: int) -> int:
-    """Show a tree's documents to the queries (their terms); the number of documents scored."""
-    sizes = np.array([len(q) for q in queries])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    middle = np.add.reduceat(np.array(tree.centres)[:, np.concatenate(queries)], starts, axis=1)
-    bounds = (middle + np.sqrt(sizes) * np.array(tree.radii)[:, None]) * (1 + ROUNDING) + 1
+def search(tree: BallTree, queries: Queries, best: list[Best]) -> int:
+    """Show a tree's documents to the queries; the number of documents scored."""
+    def total(of_node: list[np.ndarray], places: list[np.ndarray], factors: list[np.ndarray] | None = None) -> np.ndarray:
+        starts = np.concatenate(([0], np.cumsum([len(p) for p in places])[:-1]))
+        each = np.array(of_node)[:, np.concatenate(places)]
+        return np.add.reduceat(each if factors is None else each * np.concatenate(factors), starts, axis=1)
+
+    spaces = [np.unique(queries.space_of(q), return_counts=True) for q in queries.terms]
+    bounds = total(tree.centres, queries.terms) + total(tree.radii, [s for s, _ in spaces], [np.sqrt(n) for _, n in spaces])
+    bounds = bounds * (1 + ROUNDING) + 1
     shard, scored = tree.shard, 0
-    inside = np.zeros(n_terms, bool)
-    for q, terms in enumerate(queries):
+    inside = np.zeros(int(queries.spaces[-1]), bool)
+    for q, terms in enumerate(queries.terms):
         inside[terms] = True
         mine, bound = best[q], bounds[:, q].tolist()
         heap = [(-bound[0], 0)]
@@ -204,9 +250,9 @@ def search(tree: BallTree, queries: list[np.ndarray], best: list[Best], n_terms:
     return scored
 
 
-def _search(batches: Iterator[pa.RecordBatch], statistics: Statistics, names: list[int], queries: list[np.ndarray],
-            k: int, shard_rows: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    best, held, size = [Best(k) for _ in names], [], 0
+def _search(batches: Iterator[pa.RecordBatch], statistics: Statistics, queries: Queries, k: int, shard_rows: int,
+            id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    best, held, size = [Best(k) for _ in queries.names], [], 0
 
     def visit() -> None:
         rows = pa.Table.from_batches(held).combine_chunks()
@@ -215,7 +261,7 @@ def _search(batches: Iterator[pa.RecordBatch], statistics: Statistics, names: li
         values = statistics.entries(rows["n"].to_numpy(), sizes, terms, rows["tfs"].combine_chunks().flatten().to_numpy())
         ids = np.array([*rows["doc_id"].to_pylist(), None], object)[:-1]
         shard = Shard(ids, np.concatenate(([0], np.cumsum(sizes))), terms, values)
-        search(ball_tree(shard, len(statistics.weights)), queries, best, len(statistics.weights))
+        search(ball_tree(shard, queries), queries, best)
 
     for batch in batches:
         filled = batch.filter(pc.greater(pc.list_value_length(batch.column("terms")), 0))
@@ -229,7 +275,7 @@ def _search(batches: Iterator[pa.RecordBatch], statistics: Statistics, names: li
                 held, size = [], 0
     if held:
         visit()
-    rows = [(name, doc, score) for name, b in zip(names, best, strict=True) for score, doc in b.rows]
+    rows = [(name, doc, score) for name, b in zip(queries.names, best, strict=True) for score, doc in b.rows]
     if rows:
         query, doc, score = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(doc, id_type), pa.array(score, pa.int64())],
@@ -258,10 +304,8 @@ def lexical_search(docs: DataFrame, items: DataFrame, *, k: int = TOP, length_pe
         mine = terms.filter(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == i).orderBy("query", "term").toArrow()
         if not len(mine):
             continue
-        coded = mine["term"].combine_chunks().dictionary_encode()
-        places = {w: p for p, w in enumerate(coded.dictionary.to_pylist())}
-        names, starts = np.unique(mine["query"].to_numpy(), return_index=True)
-        queries = np.split(coded.indices.to_numpy().astype(np.int64), starts[1:])
+        queries, words = Queries.of(mine["query"].to_numpy(), mine["term"].combine_chunks())
+        places = {w: p for p, w in enumerate(words)}
         vectors = materialize(
             docs.select("doc_id", "text").mapInArrow(
                 lambda b, places=places: _vectors(b, places),
@@ -272,7 +316,7 @@ def lexical_search(docs: DataFrame, items: DataFrame, *, k: int = TOP, length_pe
         df = np.zeros(len(places), np.int64)
         df[held["term"].to_numpy()] = held["df"].to_numpy()
         weights = np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df + 1))).astype(np.int64)
-        shared = spark.sparkContext.broadcast((Statistics(n_docs, n_terms, weights, length_percent), names.tolist(), queries))
+        shared = spark.sparkContext.broadcast((Statistics(n_docs, n_terms, weights, length_percent), queries))
         arrow_id = _arrow_type(id_type)
         part = vectors.mapInArrow(lambda b, s=shared: _search(b, *s.value, k, shard_rows, arrow_id),
                                   f"query long, doc_id {id_type.simpleString()}, score long")
