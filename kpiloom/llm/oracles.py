@@ -91,6 +91,30 @@ SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN place <= 10 * n // 1
 FROM scored s LEFT JOIN placed USING (doc_id)
 """
 
+OP12 = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN []
+                      WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS s
+  FROM worded),
+sets AS (SELECT s, len(s) AS n, min(doc_id) AS first FROM (SELECT doc_id, list_sort(s) AS s FROM shingled) WHERE len(s) > 0 GROUP BY s),
+entries AS (SELECT first, n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT x.first AS a, y.first AS b FROM entries x JOIN entries y ON x.shingle = y.shingle AND x.first <> y.first
+    AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+  GROUP BY x.first, x.n, y.first, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (
+  SELECT first AS a, first AS b FROM sets
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
+classes AS (SELECT list_sort(s) AS s, doc_id, len(s)::BIGINT AS n FROM shingled)
+SELECT c.doc_id, c.n AS n_shingles, CASE WHEN c.n = 0 THEN c.doc_id ELSE root END AS component_id
+FROM classes c LEFT JOIN sets USING (s) LEFT JOIN roots ON first = a
+"""
+
 _TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP13 = f"""
@@ -112,4 +136,5 @@ placed AS (
 SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1, "op6_top_k": OP6, "op11_resample": OP11, "op13_lexical_search": OP13}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1, "op6_top_k": OP6, "op11_resample": OP11, "op12_jaccard_groups": OP12,
+                           "op13_lexical_search": OP13}

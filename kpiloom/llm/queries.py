@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import (covertree, langid, lexical, mixing, oracles, packing, quality, resample, secrets, simhash,
-                         tokencount, tokenfile, warc)
+from kpiloom.llm import (covertree, jaccard, langid, lexical, mixing, oracles, packing, quality, resample, secrets,
+                         simhash, tokencount, tokenfile, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -73,7 +77,8 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_token_files, op3_simhash_groups, op4_pack_sequences, op5_secret_scan, op6_top_k,
-        op7_language_id, op8_quality_rules, op9_warc_archives, op10_token_counts, op11_resample, op13_lexical_search)
+        op7_language_id, op8_quality_rules, op9_warc_archives, op10_token_counts, op11_resample, op12_jaccard_groups,
+        op13_lexical_search)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
