@@ -43,7 +43,7 @@ SMALL_SET = 32
 PAIR_ROWS = 64
 #: Rows on either side of a block of the product.
 BLOCK_ROWS = 2048
-CENTRES = 4
+CENTRES = 3
 FILTER_BITS = 1 << 26
 _GOLDEN, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -326,32 +326,25 @@ class Product:
         return materialize(found.select(F.col("node").alias("row"), F.col("root").alias("label")), f"{self.folder}/{self.step}-labels")
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, row) of the keys that more than one component shares, with their labels."""
+def _star(members: DataFrame, centres: int) -> DataFrame:
+    """Pairs (a, b) of the members (key, row) of each key with a few of its rows: the one that meets most others, and
+    others by a hash, so that keys of the same rows choose the same."""
+    sized = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
+    met = sized.groupBy("row").agg(F.sum("size").alias("met"))
+    orders = [F.struct("met", "row"), *(F.xxhash64("row", F.lit(i)) for i in range(1, centres))]
+    chosen = members.join(met, "row").groupBy("key").agg(*(F.max_by("row", x).alias(f"c{i}") for i, x in enumerate(orders)))
+    centre = F.explode(F.array_distinct(F.array(*(f"c{i}" for i in range(centres)))))
+    return members.join(chosen.select("key", centre.alias("centre")), "key").filter("row <> centre").select(
+        F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b"))
+
+
+def _rest(product: Product, members: DataFrame, labels: DataFrame, block_rows: int) -> DataFrame:
+    """Pairs (a, b) of rows outside the largest component of a key and all rows of other components there that may be
+    linked."""
+    percent = product.percent
     rows = members.join(labels, "row", "left").select("key", "row", F.coalesce("label", "row").alias("label"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"))
-    return rows.join(mixed.filter("x < y").select("key", "size"), "key")
-
-
-def _resolve(product: Product, members: DataFrame, block_rows: int, centres: int) -> None:
-    """Add all links among the members (key, row) of large keys that components need."""
-    folder, percent, used = f"{product.folder}/keys", product.percent, None
-    for i in range(centres):
-        rows = materialize(_open(members, product.labels()), f"{folder}-{i}")
-        # the central row of a key: the one that meets most others
-        weight = rows.groupBy("row").agg(F.sum("size").alias("met"))
-        if used is not None:
-            weight = weight.join(used, "row", "left_anti")
-        centre = materialize(rows.join(weight, "row").groupBy("key").agg(
-            F.max_by("row", F.struct("met", "row")).alias("centre"), F.max_by("label", F.struct("met", "row")).alias("its")),
-            f"{folder}-{i}-centres")
-        pairs = rows.join(centre, "key").filter("label <> its").select(
-            F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b")).distinct()
-        if not product.add(pairs):
-            break
-        own = centre.select(F.col("centre").alias("row")).distinct()
-        used = own if used is None else used.union(own)
-    rows = materialize(_open(members, product.labels()), f"{folder}-rest")
+    rows = materialize(rows.join(mixed.filter("x < y").select("key", "size"), "key"), f"{product.folder}/rest")
     counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"),
                                      (F.sum("n") - F.max("n")).alias("others"))
@@ -365,9 +358,8 @@ def _resolve(product: Product, members: DataFrame, block_rows: int, centres: int
     inner = rows.withColumn("i", each("outer_parts")).withColumn("j", part("inner_parts"))
     both = outer.withColumn("outer", F.lit(True)).union(inner.withColumn("outer", F.lit(False))).select(
         F.xxhash64("key", "i", "j").alias("block"), "outer", "row", "n", "label", "bits")
-    pairs = both.repartition("block").sortWithinPartitions("block").mapInArrow(
+    return both.repartition("block").sortWithinPartitions("block").mapInArrow(
         lambda b: _cross(b, percent), "a long, b long").distinct()
-    product.add(pairs)
 
 
 def jaccard_groups(docs: DataFrame, *, words_each: int = SHINGLE_WORDS, percent: int = PERCENT, pair_rows: int = PAIR_ROWS,
@@ -389,21 +381,25 @@ def jaccard_groups(docs: DataFrame, *, words_each: int = SHINGLE_WORDS, percent:
     met = materialize(marked.select(F.explode("keys").alias("key"), "row").repartition("key").sortWithinPartitions("key", "row")
                       .mapInArrow(lambda b: _meet(b, pair_rows), "key long, a long, b long"), f"{folder}/met")
     members = met.filter("key is not null").select("key", F.col("a").alias("row"))
-    pairs = materialize(met.filter("key is null").select("a", "b").distinct(), f"{folder}/pairs")
+    pairs = met.filter("key is null").select("a", "b")
 
     wanted = docs.sparkSession.sparkContext.broadcast(  # of fixed size
         _row_filter(
-        members.select(F.col("row").alias("a")).union(pairs.select("a")).union(pairs.select("b"))))
+        met.select("a").union(pairs.select("b"))))
     sets = materialize(texts.select("text").mapInArrow(
         lambda b: _sets(b, words_each, wanted.value), "row long, n long, bits binary, hashes binary").dropDuplicates(["row"]),
         f"{folder}/sets")
     product = Product(sets, f"{folder}/product", percent)
-    product.add(pairs)
-    if not members.isEmpty():
-        _resolve(product, members, block_rows, centres)
+    large = not members.isEmpty()
+    if large:
+        pairs = pairs.union(_star(members, centres))
+    product.add(pairs.distinct())
+    labels = product.labels()
+    if large and product.add(_rest(product, members, labels, block_rows)):
+        labels = product.labels()
 
     first = marked.filter("row is not null").groupBy("row").agg(F.min("doc_id").alias("first"))
-    rooted = materialize(first.join(product.labels(), "row", "left").select("row", "first", F.coalesce("label", "row").alias("label")),
+    rooted = materialize(first.join(labels, "row", "left").select("row", "first", F.coalesce("label", "row").alias("label")),
                          f"{folder}/rooted")
     ids = rooted.groupBy("label").agg(F.min("first").alias("component_id"))
     of = materialize(rooted.join(ids, "label").select("row", "component_id"), f"{folder}/components")

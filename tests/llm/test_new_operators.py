@@ -135,7 +135,7 @@ def corpus(rng):
     return [(i if i % 9 else None, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("percent, pair_rows, block_rows, centres", [(85, 64, 2048, 4), (85, 2, 3, 0), (85, 3, 5, 2), (60, 4, 8, 1)])
+@pytest.mark.parametrize("percent, pair_rows, block_rows, centres", [(85, 64, 2048, 3), (85, 2, 3, 1), (85, 3, 5, 2), (60, 4, 8, 1)])
 def test_jaccard_groups_equal_plain(spark, percent, pair_rows, block_rows, centres):
     docs = corpus(random.Random(percent + pair_rows))
     got = jaccard.jaccard_groups(table(spark, docs), percent=percent, pair_rows=pair_rows, block_rows=block_rows, centres=centres)
