@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import (bsum, day_str, dec, in_range, live, pct, ratio, rnd, to_dbl, week_str)
 from kpiloom.functions.windows import merge_on_key, min_day_text, prev_gap_minutes
+from kpiloom.operators.activity import first_activity_rows
 from kpiloom.operators.weekly import _package_breakdown, worker_load
 from kpiloom.params import Params
 from kpiloom.sources.tables import Tables
@@ -60,14 +61,10 @@ class Grain:
 def first_activity(t: Tables) -> DataFrame:
     """Per client, first day (text) of a completed single order or a paid package, all time
     (MIN over day text, planned as hash aggregates by ``min_day_text``).
-    A materialized ``first_activity`` table (plans/materialize.py) is used when present."""
+    A ``first_activity`` table (plans/activity_store.py, plans/materialize.py) is used when present."""
     if "first_activity" in t.names():
         return t.first_activity.select("client_id", "fa")
-    r = (live(t.reservations)
-         .where((F.col("status") == 3) & (F.col("use_package") == 0) & F.col("date").isNotNull() & (F.col("date") != ""))
-         .select("client_id", F.col("date").alias("act")))
-    s = live(t.package_subscriptions).where(F.col("status") == 1).select("client_id", day_str("created_at").alias("act"))
-    return min_day_text(r.unionByName(s), "client_id", "act", "fa")
+    return min_day_text(first_activity_rows(t), "client_id", "act", "fa")
 
 
 def service_units(t: Tables, g: Grain) -> DataFrame:
@@ -127,7 +124,12 @@ def orders_customers_washes(t: Tables, fa: DataFrame, g: Grain) -> DataFrame:
     have zero units and washes, so they add nothing to the other metrics; a worker is a
     (period, NULL, worker) group, so counting those groups counts distinct workers."""
     u = service_units(t, g)
-    j = u.join(fa.withColumn("in_fa", F.lit(True)), "client_id", "left")
+    # purchase and worker rows have no client: a key of their own each deals them out over all tasks of the join
+    keyed = u.withColumn("_none", F.col("client_id").isNull()).withColumn(
+        "_key", F.when(F.col("client_id").isNull(), F.xxhash64("day", "rep")).otherwise(F.col("client_id")))
+    known = fa.where(F.col("client_id").isNotNull()).select(
+        F.col("client_id").alias("_key"), F.lit(False).alias("_none"), "fa", F.lit(True).alias("in_fa"))
+    j = keyed.join(known, ["_key", "_none"], "left")
     same = g.key_text(F.col("fa")) == F.col("day")
     washed, unit = F.col("n_done") > 0, (F.col("n_single") + F.col("n_pkg") > 0) & F.col("in_fa").isNotNull()
     washes_new = F.sum(F.when(washed & same, F.col("n_done")).when(washed & ~same, F.lit(0)))

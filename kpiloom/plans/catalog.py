@@ -221,6 +221,20 @@ def _bounds() -> None:
 _bounds()
 
 
+# ----------------------------------------------------------------------------- first activity by increments
+def _activity() -> None:
+    from kpiloom.oracle.activity import first_activity
+    from kpiloom.oracle.scoreboard import SCOREBOARD_SQL
+    from kpiloom.plans.activity_queries import FROM_STORE, first_activity_incremental
+
+    register(Query("first_activity_incremental", first_activity_incremental, FIXTURE, False, first_activity, ("activity",)))
+    for name, op in FROM_STORE.items():
+        register(Query(name, op, FIXTURE, False, SCOREBOARD_SQL[name.removesuffix("_incremental")], ("scoreboard",)))
+
+
+_activity()
+
+
 # ----------------------------------------------------------------------------- SQL surface
 def _sql_surface() -> None:
     from kpiloom.oracle.growth import GROWTH_SQL

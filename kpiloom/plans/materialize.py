@@ -1,9 +1,8 @@
 """Materialized helper table of the scoreboards: all-time first activity per client.
 
 ``refresh_first_activity`` rebuilds it from all history, once for any number of reports; they pick it up
-through ``Tables.replace(first_activity=...)`` and then read one month of facts. It is always a full
-rebuild: a row counts from a change of its status, payment or deletion on, which can come long after its
-creation, and the source tables have no clock of changes that an increment could follow.
+through ``Tables.replace(first_activity=...)`` and then read one month of facts. Where two states of the
+tables (or the rows that changed) are at hand, ``plans/activity_store.py`` keeps it by exact increments.
 
 Writes go to a new versioned directory and are read back from it, which cuts the lineage
 (the cluster can lose executors without recomputing history) and never overwrites the
@@ -15,24 +14,14 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-from kpiloom.functions.exprs import day_str, live
 from kpiloom.functions.windows import min_day_text
+from kpiloom.operators.activity import first_activity_rows
 from kpiloom.session import ensure_checkpoint_dir
 from kpiloom.sources.tables import Tables
 
 
-def first_activity_rows(t: Tables) -> DataFrame:
-    """(client_id, act) rows of completed single orders (service day) and paid packages (purchase day)."""
-    r = live(t.reservations).where(
-        (F.col("status") == 3) & (F.col("use_package") == 0) & F.col("date").isNotNull() & (F.col("date") != ""))
-    s = live(t.package_subscriptions).where(F.col("status") == 1)
-    return r.select("client_id", F.col("date").alias("act")).unionByName(
-        s.select("client_id", day_str("created_at").alias("act")))
-
-
 def refresh_first_activity(spark: SparkSession, t: Tables, root: str | None = None) -> str:
     """Write first activity per client; returns the new version's path."""
     fa = min_day_text(first_activity_rows(t), "client_id", "act", "fa")
