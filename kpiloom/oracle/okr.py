@@ -122,3 +122,23 @@ OKR_SQL = {
     "okr_complaints": complaints,
     "sales_last_n_days": last_n_days,
 }
+
+
+#: Value columns of the cards on a board.
+CARD_METRICS = {
+    "okr_sales": ("sales",), "okr_orders": ("orders",), "okr_package_share": ("package_orders", "package_pct"),
+    "okr_single_share": ("single_orders", "single_pct"), "okr_aov": ("aov",), "okr_completed": ("completed",),
+    "okr_new_companies": ("new_companies",), "okr_leads": ("leads", "contacted"),
+    "okr_per_washer_per_day": ("per_washer_per_day",), "okr_per_washer_daily": ("per_washer",),
+    "okr_completed_from_packages": ("completed_from_packages",), "okr_csat": ("avg_score", "csat_pct"),
+    "okr_complaint_resolution_hours": ("avg_hours",), "okr_complaints": ("issues",),
+}
+
+
+def board(p):
+    """Every card's own query, one after the other, as long rows."""
+    skip = "okr_per_washer_per_day" if p.effective_grain == "daily" else "okr_per_washer_daily"
+    key = "month" if p.effective_grain == "monthly" else "day"
+    rows = [f"SELECT '{card}' AS card, {key} AS period, '{m}' AS metric, cast({m} AS DOUBLE) AS value FROM ({OKR_SQL[card](p)}) t"
+            for card, metrics in CARD_METRICS.items() if card != skip for m in metrics]
+    return "SELECT * FROM (" + " UNION ALL ".join(rows) + ") ORDER BY card, period, metric"

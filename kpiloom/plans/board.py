@@ -1,18 +1,21 @@
 """Dashboards: one parameter object fanned out to many reports (P5), and the result sink.
 
 ``run_board`` only builds lazy DataFrames; nothing runs until a result is written or
-collected. Reports of one board read the same source tables, so Spark reuses
-identical exchanges inside each plan; across reports each plan scans its own
-columns with its own pushed-down date range.
+collected, and each report scans its own columns with its own pushed-down date range.
+``run_fused`` takes the cards' parts from one scan of each source table instead
+(plans/fused.py).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 
 from kpiloom.params import Params
+from kpiloom.plans.fused import Card, FusedBoard
+from kpiloom.session import ensure_checkpoint_dir
 from kpiloom.sources.tables import Tables
 
 Operator = Callable[[Tables, Params], DataFrame]
@@ -24,6 +27,16 @@ def run_board(ops: dict[str, Operator] | Iterable[Operator], t: Tables, p: Param
     return {name: op(t, p) for name, op in items}
 
 
+def run_fused(cards: Iterable[Card], t: Tables, p: Params, root: str | None = None) -> dict[str, DataFrame]:
+    """The cards of a board from one scan of each table: what ``run_board`` returns for them. The scans run here, once;
+    their results, a row for each period, are written to a new folder under ``root`` (default: the shared checkpoint
+    folder)."""
+    board = FusedBoard(cards, t, p)
+    spark = next(iter(board.frames.values())).sparkSession
+    base = (root or ensure_checkpoint_dir(spark)).rstrip("/")
+    return board.store(f"{base}/kpiloom-board-{uuid.uuid4().hex}").results()
+
+
 def write_board(results: dict[str, DataFrame], root: str, mode: str = "overwrite") -> dict[str, str]:
     """Persist each report result as Parquet under ``root/<report>`` (a shared folder on a cluster)."""
     paths = {}
@@ -46,3 +59,10 @@ def okr_board() -> dict[str, Operator]:
     from kpiloom.operators.okr import OKR
 
     return {k: v for k, v in OKR.items() if k != "sales_last_n_days"}
+
+
+def okr_board_long(t: Tables, p: Params) -> DataFrame:
+    """M11 to M24 as (card, period, metric, value), from one scan of each source table."""
+    from kpiloom.operators.okr_cards import OKR_CARDS
+
+    return FusedBoard(OKR_CARDS, t, p).long().orderBy("card", "period", "metric")

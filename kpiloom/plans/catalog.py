@@ -111,6 +111,19 @@ def _okr() -> None:
 _okr()
 
 
+# ----------------------------------------------------------------------------- boards
+def _boards() -> None:
+    from kpiloom.oracle.okr import board
+    from kpiloom.plans.board import okr_board_long
+
+    rng = dict(date_from=dt.date(2024, 1, 5), date_to=dt.date(2024, 1, 26))
+    register(Query("okr_board_monthly", okr_board_long, FIXTURE.with_(grain="monthly"), False, board, ("board",)))
+    register(Query("okr_board_daily", okr_board_long, FIXTURE.with_(grain="daily", **rng), False, board, ("board",)))
+
+
+_boards()
+
+
 # ----------------------------------------------------------------------------- segments
 def _segments() -> None:
     from kpiloom.operators.segments import SEGMENTS
