@@ -73,14 +73,22 @@ def growth_single_orders(t: Tables, p: Params) -> DataFrame:
     return _series(g, p, {"single_orders": "sgl"}, {"single_pct": ("sgl", "tot", 100, 1)})
 
 
+def _lines(t: Tables, r: DataFrame, p: Params) -> DataFrame:
+    """The order lines that M05 aggregates: under a date filter those of its orders ``r``."""
+    if p.date_from is None and p.date_to is None:
+        return t.reservation_service
+    return t.reservation_service.join(r.select(F.col("id").alias("reservation_id")), "reservation_id", "left_semi")
+
+
 def growth_washes_per_order(t: Tables, p: Params) -> DataFrame:
     """Service lines (not product, not deleted) per order; an order without any line
     counts as one wash. Lines are pre-aggregated per order, so the join has no fan-out
-    (reservations.id is the primary key)."""
-    lines = t.reservation_service.groupBy("reservation_id").agg(
+    (reservations.id is the primary key). Under a date filter only the lines of its orders are
+    aggregated: a semi join on the order id, whose layout the aggregate and the join then share."""
+    r = _orders(t, p).select("id", "created_at")
+    lines = _lines(t, r, p).groupBy("reservation_id").agg(
         F.sum(F.when((F.coalesce("is_product", F.lit(0)) == 0) & (F.coalesce("is_deleted", F.lit(0)) == 0), 1)
               .otherwise(0)).alias("w"))
-    r = _orders(t, p).select("id", "created_at")
     j = r.join(lines, r["id"] == lines["reservation_id"], "left")
     g = j.groupBy(_period(p)).agg(F.sum(F.coalesce("w", F.lit(1))).alias("washes"),
                                    F.count(F.lit(1)).alias("orders"))
@@ -113,37 +121,38 @@ def growth_completed(t: Tables, p: Params) -> DataFrame:
     return _series(g, p, {"completed": "n"}, {})
 
 
-def _first_order_per_period(r: DataFrame, p: Params) -> DataFrame:
-    """Clients whose first order (within the filtered rows) falls in each period.
-    MIN per client is a partial aggregate: no client-partitioned window, so a client
-    holding a third of all orders costs one row per map task."""
-    firsts = r.groupBy("client_id").agg(F.min("created_at").alias("fc"))
-    return firsts.groupBy(period("fc", p.effective_grain, p.anchor).alias("period")).agg(
-        F.count(F.lit(1)).alias("newu"))
+def client_periods(r: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+    """From one scan of (client_id, created_at): per period orders and distinct users, and per period the clients whose
+    first order (within the rows) falls into it.
+
+    Both come from one aggregate by (client, period), whose shuffle they share. A client has a row for each of its
+    periods at most, and no client is gathered: a client holding a third of all orders costs one row for each
+    period and map task. The first period is that of the first order, as periods follow time."""
+    pairs = r.groupBy("client_id", key.alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    totals = pairs.groupBy("period").agg(F.sum("n").alias("orders"), F.count("client_id").alias("users"))
+    # the filter holds for all; it keeps the column, so that both branches read the same exchange
+    firsts = pairs.where("n > 0").groupBy("client_id").agg(F.min("period").alias("period"))
+    return totals, firsts.groupBy("period").agg(F.count(F.lit(1)).alias("newu"))
+
+
+def _with_first_orders(t: Tables, p: Params) -> DataFrame:
+    r = _orders(t, p).select("client_id", "created_at")
+    totals, firsts = client_periods(r, period("created_at", p.effective_grain, p.anchor))
+    return totals.join(firsts, "period", "left")
 
 
 def growth_repeat(t: Tables, p: Params) -> DataFrame:
     """Orders that are not the client's first in the filtered range, and their share.
     Equal to ROW_NUMBER() OVER (PARTITION BY client ORDER BY created_at) > 1, computed as
     orders - first orders per period."""
-    r = _orders(t, p).select("client_id", "created_at")
-    g = r.groupBy(_period(p)).agg(F.count(F.lit(1)).alias("tot"))
-    nf = _first_order_per_period(r, p)
-    j = g.join(nf, "period", "left").withColumn("rep", F.col("tot") - F.coalesce("newu", F.lit(0)))
-    return _series(j, p, {"repeat_orders": "rep"}, {"repeat_rate_pct": ("rep", "tot", 100, 1)})
+    j = _with_first_orders(t, p).withColumn("rep", F.col("orders") - F.coalesce("newu", F.lit(0)))
+    return _series(j, p, {"repeat_orders": "rep"}, {"repeat_rate_pct": ("rep", "orders", 100, 1)})
 
 
 def growth_aopu(t: Tables, p: Params) -> DataFrame:
     """Orders per user; cumulative = running orders / running first-seen users."""
-    r = _orders(t, p).select("client_id", "created_at")
-    pa = r.groupBy(_period(p)).agg(F.count(F.lit(1)).alias("orders"),
-                                   F.countDistinct("client_id").alias("users"))
-    nu = _first_order_per_period(r, p)
-    j = pa.join(nu, "period", "left")
-    if _cum(p):
-        v = running_ratio("orders", "newu")
-    else:
-        v = ratio("orders", "users")
+    j = _with_first_orders(t, p)
+    v = running_ratio("orders", "newu") if _cum(p) else ratio("orders", "users")
     return j.select("period", rnd(v, 2).alias("aopu")).orderBy("period")
 
 

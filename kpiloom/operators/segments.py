@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions.exprs import (bsum, day, dec, in_range, json_text, live, month_start, pct, ratio, rnd,
                                      rnd_dec)
+from kpiloom.operators.growth import client_periods
 from kpiloom.params import Params
 from kpiloom.sources.tables import Tables
 
@@ -207,30 +208,21 @@ def indiv_monthly_revenue(t: Tables, p: Params) -> DataFrame:
     return _monthly_revenue(indiv_rows(t, p))
 
 
-def _firsts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("client_id").agg(F.min("created_at").alias("fc"))
-
-
 def indiv_new_vs_returning(t: Tables, p: Params) -> DataFrame:
-    """Per month, distinct clients whose first-ever month is / is not this month.
-    (month, client) pairs are deduplicated before the join with the per-client first order."""
-    rows = indiv_rows(t, p)
-    active = rows.select(month_start("created_at").alias("month"), "client_id").distinct()
-    f = _firsts(rows).select("client_id", month_start("fc").alias("fm"))
-    j = active.join(f, "client_id", "inner")
-    return (j.groupBy("month")
-            .agg(F.count(F.when(F.col("fm") == F.col("month"), 1)).alias("new_customers"),
-                 F.count(F.when(F.col("fm") != F.col("month"), 1)).alias("returning_customers"))
-            .orderBy("month"))
+    """Per month, distinct clients whose first-ever month is / is not this month: active clients, and those of
+    them whose first month it is, from one scan."""
+    totals, firsts = client_periods(indiv_rows(t, p), month_start("created_at"))
+    new = F.coalesce("newu", F.lit(0))
+    return totals.join(firsts, "period", "left").select(
+        F.col("period").alias("month"), new.alias("new_customers"), (F.col("users") - new).alias("returning_customers")).orderBy("month")
 
 
 def indiv_repeat_trend(t: Tables, p: Params) -> DataFrame:
     """Monthly % of orders that are not the client's first (all-time order)."""
-    rows = indiv_rows(t, p)
-    n = rows.groupBy(month_start("created_at").alias("month")).agg(_n().alias("n"))
-    nf = _firsts(rows).groupBy(month_start("fc").alias("month")).agg(_n().alias("nf"))
-    j = n.join(nf, "month", "left")
-    return j.select("month", pct(F.col("n") - F.coalesce("nf", F.lit(0)), "n").alias("repeat_rate_pct")).orderBy("month")
+    totals, firsts = client_periods(indiv_rows(t, p), month_start("created_at"))
+    repeated = F.col("orders") - F.coalesce("newu", F.lit(0))
+    return totals.join(firsts, "period", "left").select(
+        F.col("period").alias("month"), pct(repeated, "orders").alias("repeat_rate_pct")).orderBy("month")
 
 
 def indiv_order_histogram(t: Tables, p: Params) -> DataFrame:

@@ -77,6 +77,12 @@ def _growth() -> None:
             register(Query(f"{name}_{grain}", op, FIXTURE.with_(grain=grain), long_history,
                            GROWTH_SQL[name], ("growth",)))
     rng = dict(date_from=dt.date(2024, 1, 8), date_to=dt.date(2024, 1, 22))
+    for name in ("growth_package_orders", "growth_single_orders", "growth_washes_per_order", "growth_aov", "growth_completed",
+                 "growth_orders"):
+        register(Query(f"{name}_daily_range", GROWTH[name], FIXTURE.with_(grain="daily", **rng),
+                       False, GROWTH_SQL[name], ("growth",)))
+    register(Query("growth_washes_per_order_cumulative_range", GROWTH["growth_washes_per_order"],
+                   FIXTURE.with_(grain="cumulative", **rng), False, GROWTH_SQL["growth_washes_per_order"], ("growth",)))
     for name in ("growth_sales", "growth_repeat", "growth_aopu", "growth_time_to_consume"):
         register(Query(f"{name}_cumulative_range", GROWTH[name], FIXTURE.with_(grain="cumulative", **rng),
                        False, GROWTH_SQL[name], ("growth",)))
@@ -248,6 +254,23 @@ def _activity() -> None:
 _activity()
 
 
+# ----------------------------------------------------------------------------- bucketed layout
+def _layout() -> None:
+    from kpiloom.oracle.activity import customers
+    from kpiloom.oracle.growth import GROWTH_SQL
+    from kpiloom.plans.layout import BUCKETED
+
+    register(Query("washes_per_order_bucketed", BUCKETED["washes_per_order_bucketed"], FIXTURE, False,
+                   GROWTH_SQL["growth_washes_per_order"], ("layout",)))
+    register(Query("customers_daily_bucketed", BUCKETED["customers_daily_bucketed"], FIXTURE, False,
+                   lambda p: customers(p, False), ("layout",)))
+    register(Query("customers_weekly_bucketed", BUCKETED["customers_weekly_bucketed"], FIXTURE, False,
+                   lambda p: customers(p, True), ("layout",)))
+
+
+_layout()
+
+
 # ----------------------------------------------------------------------------- SQL surface
 def _sql_surface() -> None:
     from kpiloom.oracle.growth import GROWTH_SQL
