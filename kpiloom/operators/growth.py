@@ -128,10 +128,10 @@ def client_periods(r: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
     Both come from one aggregate by (client, period), whose shuffle they share. A client has a row for each of its
     periods at most, and no client is gathered: a client holding a third of all orders costs one row for each
     period and map task. The first period is that of the first order, as periods follow time."""
-    pairs = r.groupBy("client_id", key.alias("period")).agg(F.count(F.lit(1)).alias("n"))
-    totals = pairs.groupBy("period").agg(F.sum("n").alias("orders"), F.count("client_id").alias("users"))
     # the filter holds for all; it keeps the column, so that both branches read the same exchange
-    firsts = pairs.where("n > 0").groupBy("client_id").agg(F.min("period").alias("period"))
+    pairs = r.groupBy("client_id", key.alias("period")).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    totals = pairs.groupBy("period").agg(F.sum("n").alias("orders"), F.count("client_id").alias("users"))
+    firsts = pairs.groupBy("client_id").agg(F.min("period").alias("period"))
     return totals, firsts.groupBy("period").agg(F.count(F.lit(1)).alias("newu"))
 
 

@@ -88,4 +88,5 @@ def test_washes_aggregate_lines_of_filtered_orders_only(spark):
 def test_orders_and_first_orders_from_one_scan(spark, op, grain):
     t = derive_test_tables(spark, SF_SMALL)
     p = final(op(t, FIXTURE.with_(grain=grain)))
-    assert p.count("FileScan parquet") == 1 and "ReusedExchange" in p
+    # where first orders are not asked for, Spark drops their side of the join
+    assert p.count("FileScan parquet") == 1 and ("ReusedExchange" in p) == ("Join" in p)
