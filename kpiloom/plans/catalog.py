@@ -271,6 +271,29 @@ def _layout() -> None:
 _layout()
 
 
+# ----------------------------------------------------------------------------- distinct counts from stored days
+def _distinct() -> None:
+    from kpiloom.oracle import distinct
+    from kpiloom.oracle.okr import OKR_SQL
+    from kpiloom.oracle.segments import SEGMENTS_SQL
+    from kpiloom.oracle.weekly import WEEKLY_SQL
+    from kpiloom.plans.distinct_store import FROM_SETS
+
+    rng = FIXTURE.with_(grain="daily", date_from=dt.date(2024, 1, 5), date_to=dt.date(2024, 1, 26))
+    for name, params, long_history, sql in (
+            ("workers_present_bitmap", FIXTURE, False, distinct.workers_present),
+            ("workers_present_weekly_bitmap", FIXTURE, False, distinct.workers_present_weekly),
+            ("per_washer_daily_bitmap", rng, False, OKR_SQL["okr_per_washer_daily"]),
+            ("per_washer_per_day_bitmap", FIXTURE.with_(grain="monthly"), False, OKR_SQL["okr_per_washer_per_day"]),
+            ("north_star_per_week_bitmap", FIXTURE, False, WEEKLY_SQL["north_star_per_week"]),
+            ("active_customers_weekly_bitmap", FIXTURE, False, distinct.active_customers_weekly),
+            ("indiv_new_vs_returning_sketch", FIXTURE, True, SEGMENTS_SQL["indiv_new_vs_returning"])):
+        register(Query(name, FROM_SETS[name], params, long_history, sql, ("distinct",)))
+
+
+_distinct()
+
+
 # ----------------------------------------------------------------------------- SQL surface
 def _sql_surface() -> None:
     from kpiloom.oracle.growth import GROWTH_SQL
