@@ -51,4 +51,9 @@ SELECT st."column", st.kind, fr.distinct_count, fr.nil_pct, st.earliest, st.late
 FROM st JOIN fr ON fr."column" = st."column" ORDER BY st."column\""""
 
 
-PROFILE_SQL = {"profile_columns": profile_columns}
+def profile_columns_sketch(p):
+    """A sketch gives values that occur: quartiles without interpolation."""
+    return profile_columns(p).replace("quantile_cont", "quantile_disc")
+
+
+PROFILE_SQL = {"profile_columns": profile_columns, "profile_columns_sketch": profile_columns_sketch}

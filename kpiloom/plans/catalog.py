@@ -203,6 +203,10 @@ def _profile() -> None:
 
     register(Query("profile_columns", PROFILE["profile_columns"], FIXTURE, True, PROFILE_SQL["profile_columns"],
                    ("profile",)))
+    register(Query("profile_columns_sketch", PROFILE["profile_columns_sketch"], FIXTURE, True,
+                   PROFILE_SQL["profile_columns_sketch"], ("profile",)))
+    # approximate by design: tests/test_profile.py holds it against the exact profile within the stated errors
+    register(Query("profile_reservations_sketch", PROFILE["profile_reservations_sketch"], FIXTURE, False, None, ("profile",)))
 
 
 _profile()
