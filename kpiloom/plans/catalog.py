@@ -222,6 +222,18 @@ def _streaming() -> None:
                    WEEKLY_SQL["weekly_paid_washes"], ("streaming",), streaming=True))
     register(Query("stream_growth_orders_daily", stream_daily_orders, FIXTURE.with_(grain="daily"), False,
                    GROWTH_SQL["growth_orders"], ("streaming",), streaming=True))
+    from kpiloom.oracle.common import d
+    from kpiloom.streaming.event_time import stream_daily_orders_final, stream_weekly_washes_final
+
+    def closed(sql: str, key: str, days: int, lo: str) -> str:
+        """The periods that end at least a day before the newest row that is read."""
+        return (f"SELECT * FROM ({sql}) t WHERE {key} + {days} <= "
+                f"(SELECT max(created_at) - INTERVAL 1 DAY FROM reservations WHERE deleted_at IS NULL AND created_at >= {lo}) ORDER BY {key}")
+
+    register(Query("stream_weekly_washes_final", stream_weekly_washes_final, FIXTURE, False,
+                   lambda p: closed(WEEKLY_SQL["weekly_paid_washes"](p), "week_start", 7, d(p.anchor)), ("streaming",), streaming=True))
+    register(Query("stream_daily_orders_final", stream_daily_orders_final, FIXTURE.with_(grain="daily"), False,
+                   lambda p: closed(GROWTH_SQL["growth_orders"](p), "period", 1, "DATE '1900-01-01'"), ("streaming",), streaming=True))
 
 
 _streaming()
