@@ -6,6 +6,8 @@ import datetime as dt
 from dataclasses import dataclass, replace
 from zoneinfo import ZoneInfo
 
+from kpiloom.dates import date_range
+
 GRAINS = ("daily", "monthly", "cumulative", "weekly")
 
 
@@ -49,6 +51,11 @@ class Params:
             return self.as_of
         return dt.datetime.now(ZoneInfo(self.tz)).date()
 
+    def dated(self, option: str | None, first_weekday: int = 0) -> "Params":
+        """With the date filter of an option such as 'past 30 days', relative to ``today`` (see dates.py)."""
+        lo, hi = date_range(option, self.today, first_weekday)
+        return replace(self, date_from=lo, date_to=hi)
+
     @property
     def month_start(self) -> dt.date:
         return self.today.replace(day=1)

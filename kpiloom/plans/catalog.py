@@ -323,3 +323,46 @@ def _sql_surface() -> None:
 
 
 _sql_surface()
+
+
+# ----------------------------------------------------------------------------- SQL table functions
+def _sql_functions() -> None:
+    from kpiloom.oracle.growth import GROWTH_SQL
+    from kpiloom.oracle.segments import SEGMENTS_SQL
+    from kpiloom.plans.sql_functions import ACCOUNTS, GROWTH, call
+
+    rng = dict(date_from=dt.date(2024, 1, 3), date_to=dt.date(2024, 1, 27))
+    for name in GROWTH:
+        for suffix, params in (("cumulative", FIXTURE.with_(grain="cumulative")),
+                               ("weekly_range", FIXTURE.with_(grain="weekly", **rng))):
+            if f"sql_{name}_{suffix}" not in QUERIES:
+                register(Query(f"sql_{name}_{suffix}", call(name), params, False, GROWTH_SQL[name], ("sql",)))
+        if name != "growth_washes_per_order" and name != "growth_time_to_consume":
+            register(Query(f"sql_{name}_monthly", call(name), FIXTURE.with_(grain="monthly"), False, GROWTH_SQL[name], ("sql",)))
+    for name in ACCOUNTS:
+        register(Query(f"sql_{name}", call(name), FIXTURE, False, SEGMENTS_SQL[name], ("sql",)))
+        register(Query(f"sql_{name}_account", call(name), FIXTURE.with_(account="Customer#000000007"), False,
+                       SEGMENTS_SQL[name], ("sql",)))
+
+
+_sql_functions()
+
+
+# ----------------------------------------------------------------------------- relative dates
+def _dates() -> None:
+    from kpiloom.operators.growth import GROWTH
+    from kpiloom.operators.okr import OKR
+    from kpiloom.oracle.growth import GROWTH_SQL
+    from kpiloom.oracle.okr import OKR_SQL
+
+    clock = FIXTURE.with_(as_of=dt.date(2024, 1, 24))
+    for name, op, sql, option in (("growth_orders", GROWTH, GROWTH_SQL, "past 10 days"),
+                                  ("growth_repeat", GROWTH, GROWTH_SQL, "past 2 weeks including this week"),
+                                  ("growth_sales", GROWTH, GROWTH_SQL, "until 2024-01-15"),
+                                  ("okr_sales", OKR, OKR_SQL, "previous week"),
+                                  ("okr_csat", OKR, OKR_SQL, "since 2024-01-20"),
+                                  ("okr_completed", OKR, OKR_SQL, "this quarter")):
+        register(Query(f"{name}_{option.replace(' ', '_').replace('-', '_')}", op[name], clock.dated(option), False, sql[name], ("dates",)))
+
+
+_dates()
