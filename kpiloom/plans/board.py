@@ -66,3 +66,17 @@ def okr_board_long(t: Tables, p: Params) -> DataFrame:
     from kpiloom.operators.okr_cards import OKR_CARDS
 
     return FusedBoard(OKR_CARDS, t, p).long().orderBy("card", "period", "metric")
+
+
+def growth_orders_stored(t: Tables, p: Params) -> DataFrame:
+    """M02 read back from a report store: the board is published, one month of it is published again, and the newest
+    version is read."""
+    from kpiloom.operators.growth import GROWTH
+    from kpiloom.plans.report_store import ReportStore
+
+    spark = t.reservations.sparkSession
+    store = ReportStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/kpiloom-reports-{uuid.uuid4().hex}")
+    cards = {name: GROWTH[name] for name in ("growth_orders", "growth_sales")}
+    store.publish(run_board(cards, t, p))
+    store.publish(run_board(cards, t, p), months=[f"{p.today:%Y-%m}"])
+    return store.read("growth_orders").orderBy("period")

@@ -366,3 +366,19 @@ def _dates() -> None:
 
 
 _dates()
+
+
+# ----------------------------------------------------------------------------- stored reports, bounds as a table
+def _stored() -> None:
+    from kpiloom.oracle.growth import GROWTH_SQL
+    from kpiloom.oracle.okr import OKR_SQL
+    from kpiloom.plans.board import growth_orders_stored
+    from kpiloom.plans.monthly import orders_within_bounds, sales_within_bounds
+
+    register(Query("growth_orders_stored", growth_orders_stored, FIXTURE.with_(grain="daily"), True, GROWTH_SQL["growth_orders"], ("stored",)))
+    rng = dict(date_from=dt.date(1995, 5, 20), date_to=dt.date(1996, 2, 3))
+    register(Query("orders_within_bounds", orders_within_bounds, FIXTURE.with_(grain="daily", **rng), True, OKR_SQL["okr_orders"], ("bounds",)))
+    register(Query("sales_within_bounds", sales_within_bounds, FIXTURE.with_(grain="monthly", **rng), True, OKR_SQL["okr_sales"], ("bounds",)))
+
+
+_stored()

@@ -13,6 +13,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMAS: dict[str, str] = {
     "reservations": (
@@ -43,6 +45,32 @@ SCHEMAS: dict[str, str] = {
 }
 
 
+def typed(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the column types of ``SCHEMAS[name]``. A column that is missing, or of a type that would change values
+    on the way (text for a time, a double for a key), raises ValueError, instead of a report that is silently wrong; whole
+    numbers are widened or narrowed (an overflow is an error under ANSI), timestamps and decimals cast."""
+    if name not in SCHEMAS:
+        return rows
+    whole, times = ("tinyint", "smallint", "int", "bigint", "boolean"), ("timestamp", "timestamp_ntz")
+    have = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    out, wrong = [], []
+    for f in T.StructType.fromDDL(SCHEMAS[name]).fields:
+        want, got = f.dataType.simpleString(), have.get(f.name)
+        if got == want:
+            out.append(F.col(f.name))
+        elif got is not None and ((want in whole and got in whole) or (want in times and got in times)
+                                  or (want == "date" and got in times)
+                                  or (want.startswith("decimal") and (got.startswith("decimal") or got in whole))
+                                  or (f.name == "total_price" and (got.startswith("decimal") or got in ("double", *whole)))):
+            out.append(F.col(f.name).cast(f.dataType).alias(f.name))
+        else:
+            wrong.append(f"{f.name} is {got or 'missing'}, not {want}")
+    if wrong:
+        raise ValueError(f"table {name}: {'; '.join(wrong)}")
+    fixed = {f.name for f in T.StructType.fromDDL(SCHEMAS[name]).fields}
+    return rows.select(*out, *[c for c in rows.columns if c not in fixed])
+
+
 class Tables:
     """Lazily resolved source tables. ``t.reservations`` or ``t["reservations"]``."""
 
@@ -81,9 +109,10 @@ class Tables:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, names: list[str] | None = None) -> "Tables":
-        """One Parquet dataset per table under ``root`` (``root/<table>``)."""
+        """One Parquet dataset per table under ``root`` (``root/<table>``), checked against ``SCHEMAS`` when it is first
+        used. Columns beyond the schema, such as partition columns, stay."""
         names = names or list(SCHEMAS)
-        return cls({n: (lambda n=n: spark.read.parquet(f"{root}/{n}")) for n in names})
+        return cls({n: (lambda n=n: typed(spark.read.parquet(f"{root}/{n}"), n)) for n in names})
 
     @classmethod
     def from_jdbc(cls, spark: SparkSession, url: str, props: dict, partitioning: dict | None = None) -> "Tables":
@@ -94,9 +123,9 @@ class Tables:
         def load(n: str) -> DataFrame:
             if n in partitioning:
                 col, lo, hi, k = partitioning[n]
-                return spark.read.jdbc(url, n, column=col, lowerBound=lo, upperBound=hi,
-                                       numPartitions=k, properties=props)
-            return spark.read.jdbc(url, n, properties=props)
+                return typed(spark.read.jdbc(url, n, column=col, lowerBound=lo, upperBound=hi,
+                                             numPartitions=k, properties=props), n)
+            return typed(spark.read.jdbc(url, n, properties=props), n)
 
         return cls({n: (lambda n=n: load(n)) for n in SCHEMAS})
 
