@@ -63,9 +63,12 @@ SETS: dict[str, Callable[[Tables, Params], DataFrame]] = {
 
 def day_bitmaps(rows: DataFrame) -> DataFrame:
     """(day, bucket, n, bits): rows and the bitmap of ids of each day and bucket. Rows without an id count in ``n`` under
-    a NULL bucket; rows without a day are left out."""
-    return rows.where(F.col("day").isNotNull()).groupBy(F.col("day").cast("date").alias("day"), F.bitmap_bucket_number("id").alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    a NULL bucket; rows without a day are left out.
+
+    Spark sorts the input of bitmap aggregates, so equal (day, id) rows are counted first, in a hash aggregate."""
+    pairs = rows.where(F.col("day").isNotNull()).groupBy(F.col("day").cast("date").alias("day"), "id").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("day", F.bitmap_bucket_number("id").alias("bucket")).agg(
+        F.sum("n").alias("n"), F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
 
 
 def day_sketches(rows: DataFrame, lg_entries: int = LG_ENTRIES) -> DataFrame:
