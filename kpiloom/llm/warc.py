@@ -46,6 +46,7 @@ def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
 
 
 def dechunked(body: bytes) -> bytes:
+    """The payload of a chunked body. Trailer fields after the last chunk are passed over."""
     out, at = [], 0
     while True:
         line = body.index(b"\r\n", at)
@@ -54,7 +55,8 @@ def dechunked(body: bytes) -> bytes:
         if body[at + size:at + size + 2] != b"\r\n" and size:
             raise ValueError("chunk of another length than its frame says")
         if not size:
-            if body[at:] != b"\r\n":
+            trailer = body[at:]
+            if trailer != b"\r\n" and (not trailer.endswith(b"\r\n\r\n") or any(b":" not in x for x in trailer[:-4].split(b"\r\n"))):
                 raise ValueError("trailing bytes after the last chunk")
             return b"".join(out)
         out.append(body[at:at + size])
@@ -147,24 +149,37 @@ def write_archives(pages: DataFrame, folder: str, *, least: int = 0, segment_byt
     """Write ``pages`` (page_id, url, html; other columns are ignored) as archives in ``folder``; returns the
     manifest (uri, n_records, n_bytes).
 
-    Null html is empty, a null url is left out. Of equal payloads of at least ``least`` bytes, the page of smallest
-    id (null last) is the response and the others are revisits of it. Rows that repeat an id with its
-    payload are written alike. An empty table gives archives without records.
+    Null html is empty, a null url is left out. Of records with equal payloads of at least ``least`` bytes that of the
+    smallest page id (null last) is the response, of rows that repeat this id one of smallest url (null last);
+    all others are revisits of it. An empty table gives archives without records.
 
-    The payloads are moved once, by (digest, id), which no group of copies makes hot; groups of equal payloads
-    are met as digests only, with partial aggregates before the shuffle."""
+    Revisits need no payload: they come from counts of equal (id, url, digest) rows. Payloads are moved once, by the
+    same key and after copies in a task are one, so no group of copies is hot."""
     payload = F.coalesce("html", F.lit(""))
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    sha = F.when(F.octet_length(payload) >= least, F.sha1(payload)).otherwise(F.concat(F.sha1(payload), F.lit(":"), page))
-    narrow = pages.select("page_id", sha.alias("sha"))
-    first = narrow.groupBy("sha").agg(F.min("page_id").alias("first"))
-    told = (narrow.distinct().join(first, "sha")
-            .select(F.col("page_id").alias("id"), F.col("sha").alias("of"), F.col("first").alias("refers_to"),
-                    F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)).alias("revisit")))
-    rows = pages.select("page_id", "url", "html", sha.alias("sha"), F.octet_length(payload).cast("long").alias("n_bytes"))
-    rows = rows.join(told, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("of")))
-    rows = rows.select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), "n_bytes", "revisit",
-                       "refers_to", F.substring("sha", 1, 40).alias("sha"))
+    size = F.octet_length(payload).cast("long")
+    grouped = pages.filter(size >= least).select("page_id", "url", F.sha1(payload).alias("sha"), size.alias("n_bytes"), "html")
+    alike = grouped.groupBy("page_id", "url", "sha", "n_bytes").agg(F.count("*").alias("copies"))
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")
+    lead = alike.groupBy("sha").agg(F.min(order).alias("lead"))
+    told = alike.join(lead, "sha").withColumn(
+        "leads", F.col("page_id").eqNullSafe(F.col("lead.page_id")) & F.col("url").eqNullSafe(F.col("lead.url")))
+    told = materialize(told.select("page_id", "url", "sha", "n_bytes", "copies", "leads", F.col("lead.page_id").alias("refers_to")),
+                       f"{folder}/told")
+    more = F.col("copies") - F.col("leads").cast("long")
+    block = 10_000  # copies are written out in two steps, so no array grows with them
+    revisits = (told.withColumn("more", more).filter("more > 0")
+                .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(more - 1) div {block}"))))
+                .withColumn("copy", F.explode(F.sequence(F.col("block") * block, F.least(F.col("more") - 1, F.col("block") * block + block - 1)))))
+    leads = told.filter("leads").select(F.col("page_id").alias("id"), F.col("url").alias("at"), F.col("sha").alias("of"), "n_bytes", "refers_to")
+    texts = grouped.groupBy("page_id", "url", "sha").agg(F.first("html").alias("html"))
+    responses = texts.join(leads, (F.col("sha") == F.col("of")) & F.col("page_id").eqNullSafe(F.col("id")) & F.col("url").eqNullSafe(F.col("at")))
+    columns = ["page_id", "url", "html", "n_bytes", "revisit", "refers_to", "sha"]
+    rows = responses.withColumn("revisit", F.lit(False)).select(columns).unionByName(
+        revisits.withColumns({"revisit": F.lit(True), "html": F.lit(None).cast("string")}).select(columns))
+    if least > 0:
+        small = pages.filter(size < least).select(
+            "page_id", "url", "html", size.alias("n_bytes"), F.lit(False).alias("revisit"), F.col("page_id").alias("refers_to"), F.sha1(payload).alias("sha"))
+        rows = rows.unionByName(small)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def named():
@@ -233,11 +248,17 @@ def _join_segments(table: pa.Table) -> pa.Table:
                      "refers_to": pa.array([first["refers_to"]], pa.string())})
 
 
+def spread(manifest: DataFrame) -> DataFrame:
+    """The uris of a manifest, each in a partition of its own."""
+    return manifest.select("uri").repartitionByRange(max(1, manifest.count()), "uri")
+
+
 def read_archives(manifest: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
     """One row per page of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to. Only the
-    blocks of segmented records are moved, each to the group of its own origin."""
-    uris = manifest.select("uri").repartition("uri")
-    records = materialize(uris.mapInArrow(_read, _RECORD), f"{folder}/records")
+    blocks of segmented records are moved, each to the group of its own origin. Every archive is read by a task of its
+    own: ranges of so many uris are not merged as small hash partitions would be. Archives without records, or no
+    archives, give no rows; a record that is cut, or differs from its digest, raises ValueError."""
+    records = materialize(spread(manifest).mapInArrow(_read, _RECORD), f"{folder}/records")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     whole = records.filter("segment = 0").select(*columns)
     split = records.filter("segment > 0").groupBy("origin").applyInArrow(

@@ -184,6 +184,25 @@ def test_archives_in_segments(spark):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_repeated_pages_have_one_response(spark):
+    """Of rows alike in id and payload one is the response; ids and urls may be null or differ."""
+    rows = [(1, "u", "x" * 50)] * 3 + [(2, "u", "x" * 50), (1, "a", "x" * 50), (None, None, "x" * 50), (1, "u", "other"),
+                                       (None, "n", "nobody's"), (None, None, "nobody's"), (5, "s", ""), (5, "s", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()), key=str)
+    assert got == sorted([(1, 50, "response", None), *[(1, 50, "revisit", 1)] * 3, (2, 50, "revisit", 1), (None, 50, "revisit", 1),
+                          (1, 5, "response", None), (None, 8, "response", None), (None, 8, "revisit", None),
+                          (5, 0, "response", None), (5, 0, "revisit", 5)], key=str)
+    small = warc.round_trip(pages, least=6).collect()
+    assert len(small) == len(rows)
+    assert sorted((r.page_id, r.record_type) for r in small if r.payload_bytes < 6) == [(1, "response"), (5, "response"), (5, "response")]
+
+
+def test_every_archive_is_read_by_a_task_of_its_own(spark):
+    manifest = spark.createDataFrame([(f"file:///none/part-{i:06d}.warc.gz",) for i in range(20)], "uri string")
+    assert warc.spread(manifest).select(F.spark_partition_id()).distinct().count() == 20
+
+
 def test_broken_segments_are_found():
     part = lambda n, block, total=None: {"segment": n, "block": block, "total": total, "origin": "o"}
     assert warc.reassembled([part(2, b"b", 2), part(1, b"a"), part(1, b"a")]) == b"ab"
@@ -193,6 +212,9 @@ def test_broken_segments_are_found():
     assert warc.dechunked(warc.chunked(b"abc" * 9, 4)) == b"abc" * 9
     with pytest.raises(ValueError):
         warc.dechunked(b"3\r\nabcd\r\n0\r\n\r\n")
+    assert warc.dechunked(b"3;x=y\r\nabc\r\n0\r\nEtag: z\r\nA: b\r\n\r\n") == b"abc"
+    with pytest.raises(ValueError):
+        warc.dechunked(b"3\r\nabc\r\n0\r\n\r\nmore\r\n\r\n")
 
 
 def test_random_windows_of_other_lengths():
