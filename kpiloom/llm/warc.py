@@ -170,9 +170,10 @@ def write_archives(pages: DataFrame, folder: str, *, least: int = 0, segment_byt
     revisits = (told.withColumn("more", more).filter("more > 0")
                 .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(more - 1) div {block}"))))
                 .withColumn("copy", F.explode(F.sequence(F.col("block") * block, F.least(F.col("more") - 1, F.col("block") * block + block - 1)))))
-    leads = told.filter("leads").select(F.col("page_id").alias("id"), F.col("url").alias("at"), F.col("sha").alias("of"), "n_bytes", "refers_to")
-    texts = grouped.groupBy("page_id", "url", "sha").agg(F.first("html").alias("html"))
-    responses = texts.join(leads, (F.col("sha") == F.col("of")) & F.col("page_id").eqNullSafe(F.col("id")) & F.col("url").eqNullSafe(F.col("at")))
+    # one key without nulls, so that the join finds payloads where the aggregate has put them
+    alike_key = F.sha1(F.to_json(F.struct("page_id", "url", "sha")))
+    texts = grouped.groupBy(alike_key.alias("alike")).agg(F.first("html").alias("html"))
+    responses = texts.join(told.filter("leads").withColumn("alike", alike_key), "alike")
     columns = ["page_id", "url", "html", "n_bytes", "revisit", "refers_to", "sha"]
     rows = responses.withColumn("revisit", F.lit(False)).select(columns).unionByName(
         revisits.withColumns({"revisit": F.lit(True), "html": F.lit(None).cast("string")}).select(columns))
