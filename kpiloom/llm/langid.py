@@ -1,7 +1,8 @@
 """Language ID: script ranges, per-word scores, and a Viterbi path over the words.
 
 A word is a run of letters. The script ranges of its first letter narrow the candidates to the
-languages that were seen to use that script; hashed letter n-grams score the word for each of them.
+languages that were seen to use that script, and hashed letter n-grams score the word for these only
+(for all languages, if none uses the script; such words never count as recognised).
 The best path over a text's words, where every change of language costs a penalty, labels its spans;
 the label of the text is the language whose spans hold most letters.
 
@@ -92,7 +93,7 @@ def features(points: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """``scores[language, order, hash]``: log probability; ``uses[language, script]``; ``least[language]``: the
+    """``scores[order, hash, language]``: log probability; ``uses[language, script]``; ``least[language]``: the
     lowest score a place of a recognised word."""
 
     languages: list[str]
@@ -106,16 +107,29 @@ class Model:
         out = np.zeros((len(starts), len(self.languages)))
         if not len(starts):
             return out, np.zeros(0, bool)
-        total = np.zeros((len(self.languages), len(points) + 1))
-        for order, hashed in enumerate(features(points)):
-            for lang in range(len(self.languages)):
-                total[lang, 1:] += self.scores[lang, order][hashed]
-        np.cumsum(total, axis=1, out=total)
-        out = (total[:, np.minimum(ends + 1, len(points))] - total[:, starts]).T / len(ORDERS)
-        uses = self.uses[:, _SCRIPT[np.searchsorted(_STARTS, points[starts], "right") - 1]].T
-        narrowed = uses.any(axis=1)
-        out[narrowed[:, None] & ~uses] -= 1e3
-        return out, narrowed
+        hashed = features(points)
+        script = _SCRIPT[np.searchsorted(_STARTS, points[starts], "right") - 1]
+        stops = np.minimum(ends + 1, len(points))  # with the place after the word
+        for s in np.unique(script):
+            some, langs = np.flatnonzero(script == s), np.flatnonzero(self.uses[:, s])
+            langs = langs if len(langs) else np.arange(len(self.languages))
+            if len(some) == len(starts):
+                places, first, last = hashed, starts, stops
+            else:
+                sizes = (stops - starts)[some]
+                last = np.cumsum(sizes)
+                first = last - sizes
+                at = np.arange(last[-1]) + np.repeat(starts[some] - first, sizes)
+                places = [h[at] for h in hashed]
+            table = self.scores if len(langs) == len(self.languages) else self.scores[:, :, langs]
+            total = np.zeros((len(places[0]) + 1, len(langs)))
+            for order, h in enumerate(places):
+                total[1:] += table[order][h]
+            np.cumsum(total, axis=0, out=total)
+            found = (total[last] - total[first]) / len(ORDERS)
+            out[some] = found.min(axis=1, keepdims=True) - 1e3
+            out[some[:, None], langs] = found
+        return out, self.uses.any(axis=0)[script]
 
 
 def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -198,14 +212,14 @@ def train(docs: DataFrame, *, where: Column | None = None, sample_rows: int = SA
     grams /= grams.sum(axis=2, keepdims=True)
     logs, used = np.log(grams), flat[:, size:]
     level = (grams * logs).sum(axis=2).mean(axis=1)  # the mean score a place of what was learned
-    return Model(languages, logs.astype(np.float32), used >= LEAST_SHARE * used.sum(axis=1, keepdims=True),
+    return Model(languages, np.ascontiguousarray(np.moveaxis(logs, 0, 2)).astype(np.float32), used >= LEAST_SHARE * used.sum(axis=1, keepdims=True),
                  (level - HASH_BITS * np.log(2)) / 2)
 
 
 def label(text: str, model: Model, penalty: float = PENALTY) -> tuple[str, float, list[tuple[str, int, int]]]:
     """Language of a text, the share of the visible characters in its recognised words, and the labelled spans
-    (language, start, end in code points of the lower-cased text). A text without letters of a learned script
-    gives ``und``."""
+    (language, start, end in code points of the lower-cased text). A text without letters gives ``und``; one
+    without letters of a learned script the language of highest score, recognised in nothing: score 0."""
     points = code_points(text)
     starts, ends = words_of(points)
     if not len(starts):
@@ -214,10 +228,10 @@ def label(text: str, model: Model, penalty: float = PENALTY) -> tuple[str, float
 
 
 def _label(scores, narrowed, starts, ends, n_visible, model, penalty):
-    if not narrowed.any():
-        return "und", 0.0, []
     path = best_path(scores, penalty)
-    best = int(np.bincount(path, weights=(ends - starts) * narrowed, minlength=len(model.languages)).argmax())
+    # letters of unknown scripts have a say only where there are no others
+    weights = (ends - starts) * (narrowed if narrowed.any() else 1)
+    best = int(np.bincount(path, weights=weights, minlength=len(model.languages)).argmax())
     known = narrowed & (path == best) & (scores[:, best] >= model.least[best] * (ends - starts + 1))
     cuts = np.concatenate(([0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]))
     spans = [(model.languages[path[a]], int(starts[a]), int(ends[b - 1])) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -252,8 +266,8 @@ def predict(docs: DataFrame, model: Model | None, *, penalty: float = PENALTY) -
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, lang_pred, score (the share
     of the text's letters, digits and symbols in recognised words of that language), n_spans.
 
-    Null texts and texts without a letter of a learned script are ``und`` with score 0; so is every text if there
-    was nothing to learn from. A null doc_id and repeated rows are kept; an empty table gives no rows. No shuffle."""
+    Null texts and texts without a letter are ``und`` with score 0; so is every text if there was nothing to learn
+    from. A text with letters always gets a learned language, with score 0 if none of its scripts was learned. A null doc_id and repeated rows are kept; an empty table gives no rows. No shuffle."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x orders x 2^16 scores
     return docs.select("doc_id", "text").mapInArrow(

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kpiloom.llm.shared import materialize, run_folder
+from kpiloom.llm.shared import materialize, row_digest, run_folder
 
 #: Weights by the source's rank, repeating, and the limits of the mix.
 WEIGHTS = (5, 2, 1)
@@ -105,7 +105,9 @@ def mix(docs: DataFrame, *, size: Column | None = None, seed: str = "mix-1", sha
              .rowsBetween(Window.unboundedPreceding, -1))
     placed = (keyed.withColumn("inside", F.coalesce(F.sum(words).over(inner), F.lit(0)))
               .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-              .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))))
+              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(copies - 1) div 10000"))))
+              .withColumn("copy", F.explode(F.sequence(F.col("block") * 10_000, F.least(
+                  F.col("copies") - 1, F.col("block") * 10_000 + 9_999)))))  # no array grows with the copies
     epochs = F.expr("floor(target) div greatest(source_size, 1L)")
     rest = F.floor("target") - epochs * F.col("source_size")
     before = F.col("before_range") + F.col("inside") + F.col("copy") * F.col("size")
@@ -114,29 +116,43 @@ def mix(docs: DataFrame, *, size: Column | None = None, seed: str = "mix-1", sha
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mixed documents, with the columns of ``docs`` (doc_id, text, source, n_chars, ...): a row for
-    each whole epoch, and for the document that the cut goes through its first words. Rows alike in id,
-    source and size share their takes: each is matched to one of them in any order.
-
-    Rows of ``docs`` and ``mixed`` are matched by (doc_id, source, size) and an ordinal among alike rows."""
-    alike = Window.partitionBy("doc_id", "source", "size").orderBy("tie")
-    left = docs.withColumn("size", n_words(F.col("text"))).withColumn("tie", F.xxhash64("text"))
-    left = left.withColumn("nth", F.row_number().over(alike)).drop("tie")
-    right = (mixed.filter("taken > 0").withColumn("tie", -F.col("taken"))
-             .withColumn("nth", F.row_number().over(alike))
-             .select(*[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "size", "nth", "taken")]))
-    on = [F.col(c).eqNullSafe(F.col(f"mix_{c}")) for c in ("doc_id", "source", "size", "nth")]
-    joined = left.join(right, on)
-    whole, part = F.floor(F.col("mix_taken") / F.col("size")), F.col("mix_taken") % F.col("size")
-    takes = F.concat(F.when(whole > 0, F.array_repeat(F.lit(0).cast("long"), whole.cast("int")))
-                     .otherwise(F.array().cast("array<bigint>")),
-                     F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = joined.withColumn("mix_cut", F.explode(takes))
+    """The mixed documents, with the columns of ``docs`` (doc_id, text, source, n_chars, ...) whatever their names: a row
+    for each whole epoch, and for the document that the cut goes through its first words. ``n_chars``, if there, is that
+    of the new text.
+
+    ``mixed`` is what ``mix`` returns for ``docs``. Rows alike in id, source and size share their takes: the largest go
+    to the rows of smallest digest. Null and empty texts have size 0 and are not taken; null ids and sources are values
+    like any other; repeated rows take what is due to each. An empty table, or a mix that takes nothing, gives no rows.
+
+    Takes are dealt out over digests and counts of equal rows; texts are joined to them at the end, once for each group
+    of equal rows."""
+    folder = run_folder(docs.sparkSession, "applied")
+    key = F.sha1(F.to_json(F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n"))))
+    # what stands beside the user's columns is in two structs, so no name can clash
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_digest(docs).alias("row"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_digest(docs).alias("row")).filter("size > 0")
+    equal = sized.select(key.alias("key"), "size", "row").groupBy("key", "size", "row").agg(F.count("*").alias("copies"))
+    takes = mixed.filter("taken > 0").select(key.alias("key"), "taken").groupBy("key", "taken").agg(F.count("*").alias("copies"))
+    before = lambda *order: F.coalesce(F.sum("copies").over(
+        Window.partitionBy("key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # equal rows, and takes of one size, are stretches of the rows alike; a stretch of each meets where they overlap
+    left = equal.withColumn("a", before("row")).withColumn("b", F.col("a") + F.col("copies")).drop("copies")
+    right = takes.withColumn("c", before(F.col("taken").desc())).withColumn("d", F.col("c") + F.col("copies")).drop("copies")
+    met = left.join(right, "key").withColumn("n", F.least("b", "d") - F.greatest("a", "c")).filter("n > 0")
+    whole, part = F.expr("taken div size"), F.col("taken") % F.col("size")
+    dealt = met.select("row", F.explode(F.array(F.struct((F.col("n") * whole).alias("n"), F.lit(0).cast("long").alias("cut")),
+                                                F.struct(F.when(part > 0, F.col("n")).otherwise(0).alias("n"), part.alias("cut")))).alias("x"))
+    dealt = materialize(dealt.select("row", "x.n", "x.cut").filter("n > 0").groupBy("row", "cut").agg(F.sum("n").alias("n")), f"{folder}/takes")
+    # one of the equal rows, and it as often as it is taken, in blocks so that no array grows with that
+    one = held.join(dealt.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    block = 10_000
+    rows = (one.join(dealt, "row").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {block}"))))
+            .withColumn("copy", F.explode(F.sequence(F.col("block") * block, F.least(F.col("n") - 1, F.col("block") * block + block - 1)))))
     # the first words with the white space before each
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)),
-                               1, F.col("mix_cut").cast("int")), "")
-    text = F.when(F.col("mix_cut") == 0, F.col("text")).otherwise(cut)
-    out = rows.withColumn("text", text)
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)),
+                               1, F.col("cut").cast("int")), "")
+    out = rows.select("doc", F.when(F.col("cut") == 0, F.col("doc.text")).otherwise(cut).alias("words"))
+    new = {"text": F.col("words")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.length("words").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])

@@ -45,27 +45,57 @@ _LEAST_RUN, _LEAST_HEX = 40, 64  # letters of a key outside PEM
 _BASE64_START = re.compile(r"M[A-I](?=[A-Za-z0-9+/_-]{%d})|b3BlbnNzaC1rZXktdjEA(?=[A-Za-z0-9+/_-]{%d})" % (_LEAST_RUN - 2, _LEAST_RUN - 20))
 _HEX_START = re.compile(r"30(?=[0-9A-Fa-f]{%d})|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100(?=[0-9A-Fa-f]{%d})" % (_LEAST_HEX - 2, _LEAST_HEX - 30))
 _BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]*+")
-_HEX_RUN = re.compile(r"(?:[0-9A-Fa-f]{2})*+")
+_HEX_RUN = re.compile(r"[0-9A-Fa-f]*+")
 _OPENSSH = b"openssh-key-v1\x00"
 
 #: Object identifiers of password-based encryption: PKCS #5 and PKCS #12.
 _ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
+#: Members of a key's sequences: nine integers and the other primes of PKCS #1 are the most.
+_MOST_MEMBERS = 10
+
 Span = tuple[str, int, int]
 
 
-def der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end of content) of the definite-length DER values that fill data[start:end] exactly."""
+class Encoded:
+    """The bytes that text[start:stop] encodes, decoded where they are looked at: a check of nested lengths reads a few
+    bytes for each member, however long the candidate is. ``letters`` letters stand for ``size`` bytes."""
+
+    def __init__(self, text: str, start: int, stop: int, letters: int, size: int, decode):
+        self.text, self.start, self.letters, self.size, self.decode = text, start, letters, size, decode
+        self.length = (stop - start) * size // letters
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, at):
+        if isinstance(at, int):
+            return self[at:at + 1][0]
+        first, last, _ = at.indices(self.length)
+        if last <= first:
+            return b""
+        group, groups = first // self.size, -(-last // self.size)
+        data = self.decode(self.text[self.start + group * self.letters:self.start + groups * self.letters]) or b""
+        return data[first - group * self.size:last - group * self.size]
+
+    def startswith(self, head: bytes) -> bool:
+        return self[:len(head)] == head
+
+
+def der_items(data: bytes | Encoded, start: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end of content) of the definite-length DER values that fill data[start:end] exactly; None also for
+    more members than a key has."""
     items = []
     while start < end:
-        if start + 2 > end:
+        if start + 2 > end or len(items) == _MOST_MEMBERS:
             return None
-        tag, size, at = data[start], data[start + 1], start + 2
+        head = data[start:start + 6]
+        tag, size, at = head[0], head[1], start + 2
         if size & 0x80:
             width = size & 0x7F
-            if not 1 <= width <= 4 or at + width > end or data[at] == 0:
+            if not 1 <= width <= 4 or at + width > end or head[2] == 0:
                 return None
-            size, at = int.from_bytes(data[at:at + width], "big"), at + width
+            size, at = int.from_bytes(head[2:2 + width], "big"), at + width
             if size < 0x80:
                 return None
         if at + size > end:
@@ -75,7 +105,7 @@ def der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
     return items
 
 
-def _openssh_end(data: bytes) -> int | None:
+def _openssh_end(data: bytes | Encoded) -> int | None:
     """Where an OpenSSH key ends: three strings, a count, so many public keys and the private part. None if
     data is not one as far as its public keys; its own end if it breaks off later."""
     if not data.startswith(_OPENSSH):
@@ -109,7 +139,7 @@ def der_size(head: bytes) -> int | None:
     return at + size if at < len(head) and head[at] in (0x02, 0x30) else None
 
 
-def is_private_key(data: bytes) -> bool:
+def is_private_key(data: bytes | Encoded) -> bool:
     """PKCS #1 (nine integers), DSA (version 0 and five integers), SEC 1 (version 1 and an octet string),
     PKCS #8 (version, algorithm identifier, octet string), encrypted PKCS #8 (password-based encryption,
     octet string) or OpenSSH."""
@@ -194,19 +224,21 @@ def without_breaks(text: str) -> tuple[str, list[int], list[int]]:
 
 
 def _keys(clean: str, starting: re.Pattern, run: re.Pattern, letters: int, size: int, decode) -> Iterator[tuple[int, int]]:
-    """Spans of key encodings, where ``letters`` letters stand for ``size`` bytes."""
-    at = 0
+    """Spans of key encodings, where ``letters`` letters stand for ``size`` bytes. Every run of letters is walked once,
+    and a start in it only looks at the lengths that it declares."""
+    at = ended = 0
     while m := starting.search(clean, at):
         start, at, n = m.start(), m.end(), None
+        if start >= ended:
+            ended = run.match(clean, start).end()
         if m.end() - start > 2:  # the OpenSSH magic: the key ends with its private part, or with its run
-            end = run.match(clean, start).end()
-            end -= (end - start) % 4 == 1 and letters == 4
-            stop = _openssh_end(decode(clean[start:end]) or b"")
+            end = ended - ((ended - start) % 4 == 1 if letters == 4 else (ended - start) % 2)
+            stop = _openssh_end(Encoded(clean, start, end, letters, size, decode))
             n = stop and -(-stop * letters // size)
         elif total := der_size(decode(clean[start:start + 16]) or b""):
             n = -(-total * letters // size)
-            data = n >= (_LEAST_RUN if letters == 4 else _LEAST_HEX) and run.match(clean, start, start + n).end() == start + n and decode(clean[start:start + n])
-            n = n if data and is_private_key(data) else None
+            fits = n >= (_LEAST_RUN if letters == 4 else _LEAST_HEX) and start + n <= ended
+            n = n if fits and is_private_key(Encoded(clean, start, start + n, letters, size, decode)) else None
         if n:
             at = start + n
             yield start, at
@@ -241,7 +273,8 @@ def confirmed_spans(text: str) -> list[Span]:
     for a, b in _keys(clean, _BASE64_START, _BASE64_RUN, 4, 3, _decode64):
         b += len(clean[b:b + 2]) - len(clean[b:b + 2].lstrip("="))
         start, end = place(a), place(b - 1) + 1
-        if not any(x <= start and end <= y for x, y in blocks):  # it is the body of one
+        block = bisect.bisect_right(blocks, (start, len(text))) - 1
+        if block < 0 or end > blocks[block][1]:  # else it is the body of one
             found.append(("base64_key", start, end))
     for a, b in _keys(clean, _HEX_START, _HEX_RUN, 2, 1, _from_hex):
         found.append(("hex_key", place(a), place(b - 1) + 1))

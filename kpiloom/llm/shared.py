@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from typing import IO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kpiloom.session import ensure_checkpoint_dir
 
@@ -29,6 +30,12 @@ def materialize(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def row_digest(docs: DataFrame) -> Column:
+    """Rows with the same digest are equal in every column (a null differs from an empty value)."""
+    columns = [F.sha2("text", 256).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
 def _split(uri: str):
     from pyarrow import fs
 

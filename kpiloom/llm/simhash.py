@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiloom.llm.components import components
-from kpiloom.llm.shared import materialize, run_folder
+from kpiloom.llm.shared import materialize, row_digest, run_folder
 
 #: The contract's seed, shingle length and distance; block widths; the generator
 #: polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the binary Golay code of length 23.
@@ -235,12 +235,6 @@ def simhash_groups(docs: DataFrame, *, words_each: int = SHINGLE_WORDS, most_hom
                                         "component_id")
 
 
-def _row_digest(docs: DataFrame) -> Column:
-    """Rows with the same digest are equal in every column (a null differs from an empty value)."""
-    text = F.sha2("text", 256).alias("text")
-    return F.sha2(F.to_json(F.struct(*[text if c == "text" else F.col(c) for c in docs.columns])), 256)
-
-
 def keep_one(docs: DataFrame, *, words_each: int = SHINGLE_WORDS, most_homes: int = 20_000) -> DataFrame:
     """One row of each group of ``docs``, whatever their ids: that of the smallest doc_id (null: after all
     others), of these that of the smallest digest of the text (null: first), and then of the whole row.
@@ -248,12 +242,12 @@ def keep_one(docs: DataFrame, *, words_each: int = SHINGLE_WORDS, most_homes: in
     Groups are those of fingerprints, so rows that share an id but no links each have their group, and rows
     without an id are copies of each other or not like any others."""
     folder = run_folder(docs.sparkSession, "simhash")
-    marked = _marked(docs.select("doc_id", "text", F.sha2("text", 256).alias("digest"), _row_digest(docs).alias("row")),
+    marked = _marked(docs.select("doc_id", "text", F.sha2("text", 256).alias("digest"), row_digest(docs).alias("row")),
                      folder, words_each)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "row")
     points = materialize(marked.groupBy("fp").agg(F.min(order).alias("first")), f"{folder}/points")
     lead = _rooted(points, folder, most_homes).groupBy("root").agg(F.min("first").alias("first")).select("first.row")
     lead = materialize(lead, f"{folder}/lead")
     # repeated rows are equal, so any of them will do; one row leads one group at most
-    return (docs.withColumn("_row", _row_digest(docs)).join(lead, F.col("_row") == lead["row"], "left_semi")
+    return (docs.withColumn("_row", row_digest(docs)).join(lead, F.col("_row") == lead["row"], "left_semi")
             .dropDuplicates(["_row"]).drop("_row"))

@@ -27,7 +27,7 @@ OVER_DOCS = {
     "langid": lambda d: langid.predict(d, langid.train(d)), "quality": quality.ledger,
     "tokencount": tokencount.token_counts,
     "redact": secrets.redact, "keep_known": lambda d: langid.keep_known(d, langid.train(d)),
-    "apply_mix": lambda d: mixing.apply_mix(d.drop("size", "key", "fp"), mixing.mix(d)),
+    "apply_mix": lambda d: mixing.apply_mix(d, mixing.mix(d)),
 }
 
 
@@ -43,6 +43,45 @@ def test_empty_tables(spark, name):
     assert OVER_DOCS[name](spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_applied_mix_equals_plain_python(spark):
+    """Ids, sources and sizes may be shared, null or repeated; columns may have the names of working columns."""
+    from collections import Counter
+
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice(["a b c", "d  e\tf", " g h i j", "k", "", None, "a b c"]), rng.choice([None, "x", "y"]),
+             777, 888, "t", "r") for _ in range(300)] + [(9, "same words here", "z", 777, 888, "t", "r")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, nth long, tie string, row string")
+    mixed = mixing.mix(docs)
+    got = mixing.apply_mix(docs, mixed).collect()
+    assert {(r["size"], r["nth"], r["tie"], r["row"]) for r in got} == {(777, 888, "t", "r")}
+
+    def key(doc_id, source, text):
+        return doc_id, source, len((text or "").split())
+
+    takes, texts = {}, {}
+    for r in mixed.collect():
+        takes.setdefault((r.doc_id, r.source, r["size"]), []).append(r.taken)
+    for doc_id, text, source, *_ in rows:
+        texts.setdefault(key(doc_id, source, text), []).append(text)
+    assert {k: len(v) for k, v in takes.items()} == {k: len(v) for k, v in texts.items()}
+    words = lambda t: len((t or "").split())
+    by_key = {}
+    for r in got:
+        whole = next((t for k, ts in texts.items() if k[:2] == (r.doc_id, r.source) for t in ts if t and t.startswith(r.text)), None)
+        assert whole is not None  # a text, or its first words
+        by_key[r.doc_id, r.source] = by_key.get((r.doc_id, r.source), 0) + words(r.text)
+    want = {}
+    for k, v in takes.items():
+        want[k[:2]] = want.get(k[:2], 0) + sum(v)
+    assert by_key == {k: n for k, n in want.items() if n}
+    full = Counter((r.doc_id, r.source, r.text) for r in got)
+    for k, ts in texts.items():  # every text at least as often as the least take of its key has whole epochs
+        if k[2]:
+            for t, n in Counter(ts).items():
+                assert full[k[0], k[1], t] >= n * (min(takes[k]) // k[2])
+    assert sum(full.values()) == sum(t // k[2] + (t % k[2] > 0) for k, v in takes.items() for t in v if k[2])
+
+
 def test_simhash_of_edges(spark):
     rows = simhash.simhash_groups(spark.createDataFrame(ROWS, SCHEMA)).collect()
     by_id = {r.doc_id: (r.fingerprint, r.component_id) for r in rows}
