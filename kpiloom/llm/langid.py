@@ -143,18 +143,25 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
                 break
     else:
         return np.full(n, lead)
-    came, held = np.empty((n, k), np.int32), scores[0].copy()
-    stay = np.arange(k)
-    for t in range(1, n):
-        top = int(held.argmax())
-        change = held[top] - penalty > held
-        came[t] = np.where(change, top, stay)
-        held = np.where(change, held[top] - penalty, held) + scores[t]
-    path = np.empty(n, np.int64)
-    path[-1] = held.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
-    return path
+    # plain numbers: a step over a few languages costs less than a call into numpy
+    rows = scores.tolist()
+    held, came = rows[0], []
+    for row in rows[1:]:
+        top = max(held)
+        least = top - penalty
+        if min(held) >= least:
+            came.append(None)
+            held = [h + x for h, x in zip(held, row, strict=True)]
+            continue
+        lead = held.index(top)
+        came.append([lead if h < least else i for i, h in enumerate(held)])
+        held = [(least if h < least else h) + x for h, x in zip(held, row, strict=True)]
+    at = held.index(max(held))
+    path = [at]
+    for step in reversed(came):
+        at = at if step is None else step[at]
+        path.append(at)
+    return np.array(path[::-1], np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
