@@ -1,38 +1,42 @@
-"""Oracle SQL for the growth series (M01-M10), written the way the source reports are:
-ROW_NUMBER for repeats, LEFT JOIN + COUNT(DISTINCT) for washes per order."""
+"""Oracle SQL for the growth series (M01-M10), from the definitions of the metrics.
+
+A series is made of rows (moment, a, b): what happened when, with a numerator and a denominator. They are summed by period; a
+cumulative figure sums all periods up to its own by a join of the periods with themselves.
+"""
 
 from __future__ import annotations
 
 from kpiloom.oracle.common import date_filter, dec, div, period, rdec, rnd
 
 
-def _p(p, col="created_at"):
-    return period(col, p.effective_grain, p.anchor)
+def _orders(p, columns: str, more: str = "") -> str:
+    return f"SELECT created_at AS moment, {columns} FROM reservations WHERE deleted_at IS NULL{more}{date_filter('created_at', p)}"
+
 
+def _series(p, rows: str, columns: dict[str, str]) -> str:
+    """``columns``: name -> expression over the period's sums a and b, and c, the number of rows."""
+    upto = "<=" if p.effective_grain == "cumulative" else "="
+    listed = ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
+    return f"""WITH happened AS ({rows}),
+sums AS (SELECT {period('moment', p.effective_grain, p.anchor)} AS period, sum(a) AS a, sum(b) AS b, count(*) AS c FROM happened GROUP BY ALL),
+totals AS (SELECT x.period, sum(y.a) AS a, sum(y.b) AS b, sum(y.c) AS c FROM sums x JOIN sums y ON y.period {upto} x.period GROUP BY x.period)
+SELECT period, {listed} FROM totals ORDER BY period"""
 
-def _run(p, x, win="ORDER BY period"):
-    return f"SUM({x}) OVER ({win})" if p.effective_grain == "cumulative" else x
+
+def _flag(condition: str) -> str:
+    return f"({condition})::INTEGER"
 
 
 def sales(p):
-    return f"""WITH g AS (SELECT {_p(p)} AS period, SUM({dec('total_price')}) AS n FROM reservations
-WHERE deleted_at IS NULL{date_filter('created_at', p)} GROUP BY 1)
-SELECT period, {rdec(_run(p, 'n'), 2)} AS sales FROM g ORDER BY period"""
+    return _series(p, _orders(p, f"{dec('total_price')} AS a, 0 AS b"), {"sales": rdec("a", 2)})
 
 
 def orders(p):
-    return f"""WITH g AS (SELECT {_p(p)} AS period, COUNT(*) AS n FROM reservations
-WHERE deleted_at IS NULL{date_filter('created_at', p)} GROUP BY 1)
-SELECT period, cast({_run(p, 'n')} AS BIGINT) AS orders FROM g ORDER BY period"""
+    return _series(p, _orders(p, "0 AS a, 0 AS b"), {"orders": "c::BIGINT"})
 
 
-def _share(p, flag, cnt_name, pct_name):
-    cum = p.effective_grain == "cumulative"
-    share = (div("100 * SUM(x) OVER (ORDER BY period)", "SUM(tot) OVER (ORDER BY period)") if cum
-             else div("100 * x", "tot"))
-    return f"""WITH g AS (SELECT {_p(p)} AS period, cast(SUM(CASE WHEN {flag} THEN 1 ELSE 0 END) AS BIGINT) AS x, COUNT(*) AS tot
-FROM reservations WHERE deleted_at IS NULL{date_filter('created_at', p)} GROUP BY 1)
-SELECT period, cast({_run(p, 'x')} AS BIGINT) AS {cnt_name}, {rnd(share, 1)} AS {pct_name} FROM g ORDER BY period"""
+def _share(p, condition: str, name: str, share: str) -> str:
+    return _series(p, _orders(p, f"{_flag(condition)} AS a, 1 AS b"), {name: "a::BIGINT", share: rnd(div("100 * a", "b"), 1)})
 
 
 def package_orders(p):
@@ -43,65 +47,48 @@ def single_orders(p):
     return _share(p, "use_package = 0", "single_orders", "single_pct")
 
 
-def _ratio_series(p, g_sql, num, den, name, digits):
-    cum = p.effective_grain == "cumulative"
-    v = div(f"SUM({num}) OVER (ORDER BY period)", f"SUM({den}) OVER (ORDER BY period)") if cum else div(num, den)
-    return f"WITH g AS ({g_sql})\nSELECT period, {rnd(v, digits)} AS {name} FROM g ORDER BY period"
-
-
 def washes_per_order(p):
-    g = f"""SELECT {_p(p, 'r.created_at')} AS period,
-  cast(SUM(CASE WHEN coalesce(rs.is_product, 0) = 0 AND coalesce(rs.is_deleted, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS washes,
-  COUNT(DISTINCT r.id) AS orders
-FROM reservations r LEFT JOIN reservation_service rs ON rs.reservation_id = r.id
-WHERE r.deleted_at IS NULL{date_filter('r.created_at', p)} GROUP BY 1"""
-    return _ratio_series(p, g, "washes", "orders", "washes_per_order", 2)
+    """An order has as many washes as lines that are neither products nor deleted, or one if it has no line at all."""
+    washes = """coalesce((SELECT count(*) FILTER (coalesce(is_product, 0) = 0 AND coalesce(is_deleted, 0) = 0)
+  FROM reservation_service WHERE reservation_id = reservations.id HAVING count(*) > 0), 1)"""
+    return _series(p, _orders(p, f"{washes} AS a, 1 AS b"), {"washes_per_order": rnd(div("a", "b"), 2)})
 
 
 def time_to_consume(p):
-    g = f"""SELECT {_p(p, 'sc')} AS period, SUM(date_diff('day', cast(sc AS DATE), cast(lu AS DATE))) AS sum_days,
-  COUNT(*) AS cnt
-FROM (SELECT ps.id, ps.created_at AS sc, MAX(r.created_at) AS lu
-      FROM package_subscriptions ps JOIN reservations r ON r.subscription_id = ps.id AND r.deleted_at IS NULL
-      WHERE ps.deleted_at IS NULL{date_filter('ps.created_at', p)} GROUP BY ps.id, ps.created_at) s
-WHERE lu IS NOT NULL GROUP BY 1"""
-    return _ratio_series(p, g, "sum_days", "cnt", "avg_days_to_consume", 1)
+    """Days from the purchase of a package to its last use, by purchase."""
+    rows = f"""SELECT bought.created_at AS moment, date_diff('day', bought.created_at::DATE, last_use::DATE) AS a, 1 AS b
+FROM package_subscriptions bought
+JOIN (SELECT DISTINCT ON (subscription_id) subscription_id, created_at AS last_use FROM reservations
+      WHERE deleted_at IS NULL AND subscription_id IS NOT NULL ORDER BY subscription_id, created_at DESC NULLS LAST) used
+  ON used.subscription_id = bought.id
+WHERE bought.deleted_at IS NULL AND last_use IS NOT NULL{date_filter('bought.created_at', p)}"""
+    return _series(p, rows, {"avg_days_to_consume": rnd(div("a", "b"), 1)})
 
 
 def aov(p):
-    g = f"""SELECT {_p(p)} AS period, SUM({dec('total_price')}) AS rev, COUNT(*) AS orders FROM reservations
-WHERE deleted_at IS NULL AND use_package = 0{date_filter('created_at', p)} GROUP BY 1"""
-    return _ratio_series(p, g, "rev", "orders", "aov", 2)
+    return _series(p, _orders(p, f"{dec('total_price')} AS a, 1 AS b", " AND use_package = 0"), {"aov": rnd(div("a", "b"), 2)})
 
 
 def completed(p):
-    return f"""WITH g AS (SELECT {_p(p)} AS period, COUNT(*) AS n FROM reservations
-WHERE deleted_at IS NULL AND status = 3{date_filter('created_at', p)} GROUP BY 1)
-SELECT period, cast({_run(p, 'n')} AS BIGINT) AS completed FROM g ORDER BY period"""
+    return _series(p, _orders(p, "0 AS a, 0 AS b", " AND status = 3"), {"completed": "c::BIGINT"})
+
+
+#: An order has an earlier one of its client (of the same time: the one of smaller id) in the range.
+REPEATED = "lag(id) OVER (PARTITION BY client_id ORDER BY created_at, id) IS NOT NULL"
 
 
 def repeat(p):
-    cum = p.effective_grain == "cumulative"
-    share = (div("100 * SUM(rep) OVER (ORDER BY period)", "SUM(tot) OVER (ORDER BY period)") if cum
-             else div("100 * rep", "tot"))
-    return f"""WITH r AS (SELECT client_id, created_at,
-    ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY created_at) AS rn
-  FROM reservations WHERE deleted_at IS NULL{date_filter('created_at', p)}),
-g AS (SELECT {_p(p)} AS period, cast(SUM(CASE WHEN rn > 1 THEN 1 ELSE 0 END) AS BIGINT) AS rep, COUNT(*) AS tot FROM r GROUP BY 1)
-SELECT period, cast({_run(p, 'rep')} AS BIGINT) AS repeat_orders, {rnd(share, 1)} AS repeat_rate_pct
-FROM g ORDER BY period"""
+    return _series(p, _orders(p, f"{_flag(REPEATED)} AS a, 1 AS b"),
+                   {"repeat_orders": "a::BIGINT", "repeat_rate_pct": rnd(div("100 * a", "b"), 1)})
 
 
 def aopu(p):
-    cum = p.effective_grain == "cumulative"
-    v = (div("SUM(pa.orders) OVER (ORDER BY pa.period)", "SUM(nu.newu) OVER (ORDER BY pa.period)") if cum
-         else div("pa.orders", "pa.users"))
-    return f"""WITH firsts AS (SELECT client_id, MIN(created_at) AS fc FROM reservations
-  WHERE deleted_at IS NULL{date_filter('created_at', p)} GROUP BY client_id),
-pa AS (SELECT {_p(p)} AS period, COUNT(*) AS orders, COUNT(DISTINCT client_id) AS users FROM reservations
-  WHERE deleted_at IS NULL{date_filter('created_at', p)} GROUP BY 1),
-nu AS (SELECT {_p(p, 'fc')} AS period, COUNT(*) AS newu FROM firsts GROUP BY 1)
-SELECT pa.period, {rnd(v, 2)} AS aopu FROM pa LEFT JOIN nu ON nu.period = pa.period ORDER BY pa.period"""
+    """A period's users: clients with an order in it; up to a period: clients whose first order it holds, summed."""
+    key = period("created_at", p.effective_grain, p.anchor)
+    first_of = "client_id" if p.effective_grain == "cumulative" else f"client_id, {key}"
+    known = "TRUE" if p.effective_grain == "cumulative" else "client_id IS NOT NULL"
+    first = f"lag(id) OVER (PARTITION BY {first_of} ORDER BY created_at, id) IS NULL AND {known}"
+    return _series(p, _orders(p, f"1 AS a, {_flag(first)} AS b"), {"aopu": rnd(div("a", "b"), 2)})
 
 
 GROWTH_SQL = {

@@ -1,5 +1,8 @@
-"""Oracle SQL for the segment analytics (M26-M49), close to the source cards:
-ROW_NUMBER for repeat rates, COUNT(DISTINCT CASE ...) for new vs returning."""
+"""Oracle SQL for the segment analytics (M26-M49), from the definitions of the metrics.
+
+Every query reads one relation ``served``: the orders that are not deleted, each with its price as a number, its month and
+day, whether its client is one of the accounts (NULL for no client), and the account's name.
+"""
 
 from __future__ import annotations
 
@@ -7,181 +10,116 @@ import datetime as dt
 
 from kpiloom.oracle.common import dec, div, ids, rdec, rnd, ts
 
-PRICE = dec("r.total_price")
-
-
-def _b2b_from(p):
-    if p.account is None:
-        acct = ""
-    elif p.ci_text:
-        acct = f" AND lower(c.username) = lower('{p.account}')"
-    else:
-        acct = f" AND c.username = '{p.account}'"
-    return (f"FROM reservations r JOIN clients c ON c.id = r.client_id "
-            f"WHERE r.deleted_at IS NULL AND r.client_id IN ({ids(p.b2b_ids)}){acct}")
-
-
-def _indiv_from(p):
-    return f"FROM reservations r WHERE r.deleted_at IS NULL AND r.client_id NOT IN ({ids(p.b2b_ids)})"
-
-
-AOV = rnd(div(f"SUM(CASE WHEN r.use_package = 0 THEN {PRICE} END)",
-              f"COUNT(CASE WHEN r.use_package = 0 THEN {PRICE} END)"), 1)
-REV = rdec(f"SUM({PRICE})", 0)
-COMPLETION = rnd(div("100 * cast(SUM(CASE WHEN r.status = 3 THEN 1 ELSE 0 END) AS BIGINT)", "COUNT(*)"), 1)
-MONTH = "cast(date_trunc('month', r.created_at) AS DATE)"
-
-
-def b2b_washes(p):
-    return f"SELECT COUNT(*) AS washes {_b2b_from(p)}"
-
-
-def b2b_revenue(p):
-    return f"SELECT {REV} AS revenue {_b2b_from(p)}"
-
-
-def b2b_aov(p):
-    return f"SELECT {AOV} AS aov {_b2b_from(p)}"
-
-
-def b2b_active_accounts(p):
-    return f"SELECT COUNT(DISTINCT r.client_id) AS accounts {_b2b_from(p)}"
-
-
-def b2b_completion_pct(p):
-    return f"SELECT {COMPLETION} AS completion_pct {_b2b_from(p)}"
-
-
-def b2b_account_table(p):
-    return (f"SELECT c.username AS account, COUNT(*) AS washes, {REV} AS revenue, {AOV} AS aov, "
-            f"cast(SUM(CASE WHEN r.use_package = 1 THEN 1 ELSE 0 END) AS BIGINT) AS package_washes, {COMPLETION} AS completion_pct, "
-            f"MIN(cast(r.created_at AS DATE)) AS first_order, MAX(cast(r.created_at AS DATE)) AS last_order "
-            f"{_b2b_from(p)} GROUP BY c.username ORDER BY washes DESC, account")
-
-
-def _split(frm):
-    return (f"SELECT {MONTH} AS month, cast(SUM(CASE WHEN r.use_package = 0 THEN 1 ELSE 0 END) AS BIGINT) AS single, "
-            f"cast(SUM(CASE WHEN r.use_package = 1 THEN 1 ELSE 0 END) AS BIGINT) AS package {frm} GROUP BY 1 ORDER BY 1")
-
-
-def _rev(frm):
-    return f"SELECT {MONTH} AS month, {REV} AS revenue {frm} GROUP BY 1 ORDER BY 1"
-
-
-def b2b_monthly_washes(p):
-    return _split(_b2b_from(p))
-
-
-def b2b_monthly_revenue(p):
-    return _rev(_b2b_from(p))
-
-
-def b2b_washes_by_city(p):
-    frm = _b2b_from(p).replace("WHERE", "LEFT JOIN cities ci ON ci.id = r.city_id WHERE", 1)
-    return (f"SELECT json_extract_string(ci.name, '$.ar') AS city, COUNT(*) AS washes {frm} "
-            f"GROUP BY 1 ORDER BY washes DESC, city NULLS LAST")
-
-
-def indiv_customers(p):
-    return f"SELECT COUNT(DISTINCT r.client_id) AS customers {_indiv_from(p)}"
-
-
-def indiv_washes(p):
-    return f"SELECT COUNT(*) AS washes {_indiv_from(p)}"
-
-
-def indiv_revenue(p):
-    return f"SELECT {REV} AS revenue {_indiv_from(p)}"
-
-
-def indiv_aov(p):
-    return f"SELECT {AOV} AS aov {_indiv_from(p)}"
-
-
-def indiv_repeat_rate(p):
-    return (f"SELECT {rnd(div('100 * cast(SUM(CASE WHEN rn > 1 THEN 1 ELSE 0 END) AS BIGINT)', 'COUNT(*)'), 1)} AS repeat_rate_pct "
-            f"FROM (SELECT ROW_NUMBER() OVER (PARTITION BY r.client_id ORDER BY r.created_at) AS rn "
-            f"{_indiv_from(p)}) t")
-
-
-def indiv_aopu(p):
-    return f"SELECT {rnd(div('COUNT(*)', 'COUNT(DISTINCT r.client_id)'), 2)} AS aopu {_indiv_from(p)}"
-
-
-def indiv_monthly_washes(p):
-    return _split(_indiv_from(p))
-
-
-def indiv_monthly_revenue(p):
-    return _rev(_indiv_from(p))
-
-
-def indiv_new_vs_returning(p):
-    return (f"WITH firsts AS (SELECT r.client_id, MIN(r.created_at) AS fc {_indiv_from(p)} GROUP BY r.client_id) "
-            f"SELECT {MONTH} AS month, "
-            f"COUNT(DISTINCT CASE WHEN strftime(f.fc, '%Y-%m') = strftime(r.created_at, '%Y-%m') THEN r.client_id END) "
-            f"AS new_customers, "
-            f"COUNT(DISTINCT CASE WHEN strftime(f.fc, '%Y-%m') <> strftime(r.created_at, '%Y-%m') THEN r.client_id END) "
-            f"AS returning_customers "
-            f"FROM reservations r JOIN firsts f ON f.client_id = r.client_id "
-            f"WHERE r.deleted_at IS NULL AND r.client_id NOT IN ({ids(p.b2b_ids)}) GROUP BY 1 ORDER BY 1")
-
-
-def indiv_repeat_trend(p):
-    return (f"SELECT month, {rnd(div('100 * cast(SUM(CASE WHEN rn > 1 THEN 1 ELSE 0 END) AS BIGINT)', 'COUNT(*)'), 1)} "
-            f"AS repeat_rate_pct FROM (SELECT {MONTH} AS month, "
-            f"ROW_NUMBER() OVER (PARTITION BY r.client_id ORDER BY r.created_at) AS rn {_indiv_from(p)}) t "
-            f"GROUP BY 1 ORDER BY 1")
-
-
-def indiv_order_histogram(p):
-    return (f"SELECT bucket, COUNT(*) AS customers FROM ("
-            f"SELECT CASE WHEN cnt = 1 THEN '1 (once)' WHEN cnt = 2 THEN '2' WHEN cnt <= 5 THEN '3-5' "
-            f"WHEN cnt <= 10 THEN '6-10' ELSE '11+' END AS bucket, "
-            f"CASE WHEN cnt = 1 THEN 1 WHEN cnt = 2 THEN 2 WHEN cnt <= 5 THEN 3 WHEN cnt <= 10 THEN 4 ELSE 5 END AS ord "
-            f"FROM (SELECT r.client_id, COUNT(*) AS cnt {_indiv_from(p)} GROUP BY r.client_id) x) y "
-            f"GROUP BY bucket, ord ORDER BY ord")
-
-
-def indiv_top_cities(p):
-    return (f"SELECT json_extract_string(ci.name, '$.ar') AS city, COUNT(*) AS washes "
-            f"FROM reservations r LEFT JOIN cities ci ON ci.id = r.city_id "
-            f"WHERE r.deleted_at IS NULL AND r.client_id NOT IN ({ids(p.b2b_ids)}) "
-            f"GROUP BY 1 ORDER BY washes DESC, city NULLS LAST LIMIT 10")
-
-
-def _flag(neg=False):
-    return "NOT IN" if neg else "IN"
-
-
-def daily_segment_orders(p):
-    b = ids(p.b2b_ids)
-    return (f"SELECT cast(created_at AS DATE) AS day, "
-            f"cast(SUM(CASE WHEN client_id NOT IN ({b}) THEN 1 WHEN client_id IN ({b}) THEN 0 END) AS BIGINT) AS individual_orders, "
-            f"cast(SUM(CASE WHEN client_id IN ({b}) THEN 1 WHEN client_id NOT IN ({b}) THEN 0 END) AS BIGINT) AS b2b_orders "
-            f"FROM reservations WHERE deleted_at IS NULL GROUP BY 1 ORDER BY 1")
-
-
-def daily_segment_table(p):
-    b = ids(p.b2b_ids)
-    lo = p.today - dt.timedelta(days=60 if p.last_days is None else p.last_days)
-    return (f"SELECT cast(created_at AS DATE) AS day, "
-            f"cast(SUM(CASE WHEN client_id NOT IN ({b}) THEN 1 WHEN client_id IN ({b}) THEN 0 END) AS BIGINT) AS individual_orders, "
-            f"cast(SUM(CASE WHEN client_id IN ({b}) THEN 1 WHEN client_id NOT IN ({b}) THEN 0 END) AS BIGINT) AS b2b_orders, "
-            f"COUNT(*) AS total_orders "
-            f"FROM reservations WHERE deleted_at IS NULL AND created_at >= {ts(lo)} GROUP BY 1 ORDER BY 1 DESC")
-
-
-def daily_completed_by_segment(p):
-    b = ids(p.b2b_ids)
-    lo = p.today - dt.timedelta(days=90 if p.last_days is None else p.last_days)
-    return (f"SELECT cast(created_at AS DATE) AS day, "
-            f"cast(SUM(CASE WHEN status = 3 AND client_id IN ({b}) THEN 1 WHEN status = 3 AND client_id IS NULL THEN NULL "
-            f"ELSE 0 END) AS BIGINT) AS b2b_completed, "
-            f"cast(SUM(CASE WHEN status = 3 AND client_id NOT IN ({b}) THEN 1 WHEN status = 3 AND client_id IS NULL THEN NULL "
-            f"ELSE 0 END) AS BIGINT) AS individual_completed, "
-            f"cast(SUM(CASE WHEN status = 3 THEN 1 ELSE 0 END) AS BIGINT) AS total_completed, COUNT(*) AS total_orders "
-            f"FROM reservations WHERE deleted_at IS NULL AND created_at >= {ts(lo)} GROUP BY 1 ORDER BY 1 DESC")
-
 
-SEGMENTS_SQL = {k: v for k, v in globals().items() if k.startswith(("b2b_", "indiv_", "daily_"))}
+def _served(p, keep: str, since: dt.date | None = None, more: str = "") -> str:
+    late = f" AND created_at >= {ts(since)}" if since else ""
+    return f"""WITH served AS (
+  SELECT o.client_id, {more}o.use_package, o.status, {dec('o.total_price')} AS price, o.created_at::DATE AS day,
+         date_trunc('month', o.created_at)::DATE AS month, list_contains([{ids(p.b2b_ids)}], o.client_id) AS is_account, a.username AS account
+  FROM (SELECT * FROM reservations WHERE deleted_at IS NULL{late}) o LEFT JOIN clients a ON a.id = o.client_id
+  WHERE {keep})
+"""
+
+
+def _city(sql: str) -> str:
+    """The long order history has no city."""
+    return "o.city_id, " if "city_id" in sql else ""
+
+
+def _of_accounts(p, sql: str) -> str:
+    """Orders of the segment's accounts that are in the client table; of one account, if it is asked for."""
+    name = "" if p.account is None else f"AND a.username = '{p.account}'"
+    if p.ci_text and p.account is not None:
+        name = f"AND upper(a.username) = upper('{p.account}')"
+    return _served(p, f"is_account AND a.id IS NOT NULL {name}", more=_city(sql)) + sql
+
+
+def _of_individuals(p, sql: str) -> str:
+    """Orders of known clients outside the segment."""
+    return _served(p, "NOT is_account", more=_city(sql)) + sql
+
+
+N = "count(*)"
+SINGLE, PACKAGE, DONE = (f"count(*) FILTER ({x})" for x in ("use_package = 0", "use_package = 1", "status = 3"))
+REVENUE = rdec("sum(price)", 0)
+AOV = rnd(div("sum(price) FILTER (use_package = 0)", "count(price) FILTER (use_package = 0)"), 1)
+COMPLETED = rnd(div(f"100 * {DONE}", N), 1)
+CLIENTS = "count(DISTINCT client_id)"
+# of a client's n orders all but the first are repeats
+REPEATS = f"({N} - {CLIENTS})"
+CITY = """SELECT name->>'$.ar' AS city, count(*) AS washes FROM served LEFT JOIN cities ON cities.id = city_id
+GROUP BY ALL ORDER BY washes DESC, city NULLS LAST"""
+BY_MONTH = "FROM served GROUP BY month ORDER BY month"
+
+
+def _one(sql: str, name: str) -> str:
+    return f"SELECT {sql} AS {name} FROM served"
+
+
+def _accounts(sql: str):
+    return lambda p: _of_accounts(p, sql)
+
+
+def _individuals(sql: str):
+    return lambda p: _of_individuals(p, sql)
+
+
+def _days(p, days: int, columns: str, order: str = "DESC") -> str:
+    since = None if days == 0 else p.today - dt.timedelta(days=days if p.last_days is None else p.last_days)
+    return _served(p, "true", since) + f"SELECT day, {columns} FROM served GROUP BY day ORDER BY day {order}"
+
+
+#: (order, client) pairs become one row for each client and month, numbered in the client's order.
+MONTHS_OF_CLIENTS = """, months AS (
+  SELECT client_id, month, count(*) AS n, row_number() OVER (PARTITION BY client_id ORDER BY month) AS nth FROM served GROUP BY client_id, month)
+"""
+#: Fixed labels of the histogram and the least number of orders of each.
+BUCKETS = {"1 (once)": 1, "2": 2, "3-5": 3, "6-10": 6, "11+": 11}
+
+# a day without an order of a known client has no split
+SPLIT = ("CASE WHEN count(client_id) > 0 THEN count(*) FILTER (NOT is_account) END AS individual_orders, "
+         "CASE WHEN count(client_id) > 0 THEN count(*) FILTER (is_account) END AS b2b_orders")
+# nor has a day whose only orders are completed ones of unknown clients
+_KNOWN = "count(*) FILTER (status <> 3 OR client_id IS NOT NULL) > 0"
+SPLIT_DONE = (f"CASE WHEN {_KNOWN} THEN count(*) FILTER (status = 3 AND is_account) END AS b2b_completed, "
+              f"CASE WHEN {_KNOWN} THEN count(*) FILTER (status = 3 AND NOT is_account) END AS individual_completed")
+
+
+def _histogram(p) -> str:
+    least = list(BUCKETS.items())
+    steps = ", ".join(f"('{label}', {low}, {least[i + 1][1] - 1 if i + 1 < len(least) else 10**12})" for i, (label, low) in enumerate(least))
+    return _of_individuals(p, f"""SELECT bucket, count(*) AS customers
+FROM (SELECT client_id, count(*) AS n FROM served GROUP BY client_id) JOIN (VALUES {steps}) buckets(bucket, low, high) ON n BETWEEN low AND high
+GROUP BY bucket, low ORDER BY low""")
+
+
+SEGMENTS_SQL = {
+    "b2b_washes": _accounts(_one(N, "washes")),
+    "b2b_revenue": _accounts(_one(REVENUE, "revenue")),
+    "b2b_aov": _accounts(_one(AOV, "aov")),
+    "b2b_active_accounts": _accounts(_one(CLIENTS, "accounts")),
+    "b2b_completion_pct": _accounts(_one(COMPLETED, "completion_pct")),
+    "b2b_account_table": _accounts(f"""SELECT account, {N} AS washes, {REVENUE} AS revenue, {AOV} AS aov, {PACKAGE} AS package_washes,
+  {COMPLETED} AS completion_pct, min(day) AS first_order, max(day) AS last_order FROM served GROUP BY account ORDER BY washes DESC, account"""),
+    "b2b_monthly_washes": _accounts(f"SELECT month, {SINGLE} AS single, {PACKAGE} AS package {BY_MONTH}"),
+    "b2b_monthly_revenue": _accounts(f"SELECT month, {REVENUE} AS revenue {BY_MONTH}"),
+    "b2b_washes_by_city": _accounts(CITY),
+    "indiv_customers": _individuals(_one(CLIENTS, "customers")),
+    "indiv_washes": _individuals(_one(N, "washes")),
+    "indiv_revenue": _individuals(_one(REVENUE, "revenue")),
+    "indiv_aov": _individuals(_one(AOV, "aov")),
+    "indiv_repeat_rate": _individuals(_one(rnd(div(f"100 * {REPEATS}", N), 1), "repeat_rate_pct")),
+    "indiv_aopu": _individuals(_one(rnd(div(N, CLIENTS), 2), "aopu")),
+    "indiv_monthly_washes": _individuals(f"SELECT month, {SINGLE} AS single, {PACKAGE} AS package {BY_MONTH}"),
+    "indiv_monthly_revenue": _individuals(f"SELECT month, {REVENUE} AS revenue {BY_MONTH}"),
+    "indiv_new_vs_returning": lambda p: _of_individuals(p, "").rstrip() + MONTHS_OF_CLIENTS + """
+SELECT month, count(*) FILTER (nth = 1) AS new_customers, count(*) FILTER (nth > 1) AS returning_customers FROM months GROUP BY month ORDER BY month""",
+    # in a client's first month all orders but one are repeats, later all are
+    "indiv_repeat_trend": lambda p: _of_individuals(p, "").rstrip() + MONTHS_OF_CLIENTS + f"""
+SELECT month, {rnd(div("100 * sum(CASE nth WHEN 1 THEN n - 1 ELSE n END)", "sum(n)"), 1)} AS repeat_rate_pct FROM months GROUP BY month ORDER BY month""",
+    "indiv_order_histogram": _histogram,
+    "indiv_top_cities": _individuals(CITY + " LIMIT 10"),
+    "daily_segment_orders": lambda p: _days(p, 0, SPLIT, "ASC"),
+    "daily_segment_table": lambda p: _days(p, 60, f"{SPLIT}, {N} AS total_orders"),
+    "daily_completed_by_segment": lambda p: _days(p, 90, f"{SPLIT_DONE}, {DONE} AS total_completed, {N} AS total_orders"),
+}

@@ -1,4 +1,7 @@
-"""Oracle SQL for the weekly KPIs (M59-M65) and the daily purchase breakdown."""
+"""Oracle SQL for the weekly KPIs (M59-M65) and the daily purchase breakdown (M67), from the definitions of the metrics.
+
+Each report gathers what it counts as rows (key, kind, who) of one relation and takes filtered counts by key.
+"""
 
 from __future__ import annotations
 
@@ -6,101 +9,96 @@ import datetime as dt
 
 from kpiloom.oracle.common import d, div, ids, rnd, s, ts, week
 
+DONE = "deleted_at IS NULL AND status = 3"
+
+
+def _by_key(rows: list[str], select: str, more: str = "") -> str:
+    return f"WITH counted(key, kind, who) AS ({' UNION ALL '.join(rows)})\nSELECT {select} FROM counted GROUP BY key {more}"
+
+
+def _n(kind: str) -> str:
+    return f"count(*) FILTER (kind = '{kind}')"
+
 
-def _wk_str(col, p):
-    return f"strftime({week(col, p.anchor)}, '%Y-%m-%d')"
+def _who(kind: str) -> str:
+    return f"count(DISTINCT who) FILTER (kind = '{kind}')"
+
+
+def _served_and_present(p, lo: dt.date, key) -> list[str]:
+    return [f"""SELECT {key('"date"::DATE')}, 'wash', NULL FROM reservations WHERE {DONE} AND "date" >= {s(lo)} AND "date" < {s(p.today)}""",
+            f"""SELECT {key('"date"')}, 'present', representative_id FROM attendances WHERE "date" >= {d(lo)} AND "date" < {d(p.today)}"""]
+
+
+#: Only where orders were served and workers were present.
+BOTH = f"HAVING {_n('wash')} > 0 AND {_n('present')} > 0"
 
 
 def north_star_weighted(p):
-    lo = p.date_from or p.anchor
-    return f"""WITH dd AS (SELECT "date" AS day, COUNT(*) AS washes FROM reservations
-  WHERE status = 3 AND deleted_at IS NULL AND "date" IS NOT NULL AND "date" <> ''
-    AND "date" >= {s(lo)} AND "date" < {s(p.today)} GROUP BY "date"),
-a AS (SELECT strftime("date", '%Y-%m-%d') AS day, COUNT(DISTINCT representative_id) AS washers FROM attendances
-  WHERE "date" >= {d(lo)} AND "date" < {d(p.today)} GROUP BY 1)
-SELECT {rnd(div('SUM(dd.washes)', 'SUM(a.washers)'), 2)} AS washes_per_washer_daily FROM dd JOIN a ON a.day = dd.day"""
+    days = _by_key(_served_and_present(p, p.date_from or p.anchor, lambda x: x), f"{_n('wash')} AS washes, {_who('present')} AS workers", BOTH)
+    return f"SELECT {rnd(div('sum(washes)', 'sum(workers)'), 2)} AS washes_per_washer_daily FROM ({days}) days"
 
 
 def north_star_per_week(p):
-    return f"""WITH w AS (SELECT {_wk_str('"date"', p)} AS wk, COUNT(*) AS washes FROM reservations
-  WHERE status = 3 AND deleted_at IS NULL AND "date" IS NOT NULL AND "date" <> ''
-    AND "date" >= {s(p.anchor)} AND "date" < {s(p.today)} GROUP BY 1),
-a AS (SELECT {_wk_str('"date"', p)} AS wk, COUNT(DISTINCT representative_id) AS washers FROM attendances
-  WHERE "date" >= {d(p.anchor)} AND "date" < {d(p.today)} GROUP BY 1)
-SELECT cast(w.wk AS DATE) AS week_start, {rnd(div('w.washes', 'a.washers'), 2)} AS washes_per_washer_week
-FROM w JOIN a ON a.wk = w.wk ORDER BY week_start"""
+    return _by_key(_served_and_present(p, p.anchor, lambda x: week(x, p.anchor)),
+                   f"key AS week_start, {rnd(div(_n('wash'), _who('present')), 2)} AS washes_per_washer_week", f"{BOTH} ORDER BY key")
 
 
-def weekly_paid_washes(p):
-    return (f"SELECT {week('created_at', p.anchor)} AS week_start, "
-            f"cast(SUM(CASE WHEN use_package = 0 THEN 1 ELSE 0 END) AS BIGINT) AS single_washes, "
-            f"cast(SUM(CASE WHEN use_package = 1 THEN 1 ELSE 0 END) AS BIGINT) AS package_washes, COUNT(*) AS total_paid_washes "
-            f"FROM reservations WHERE deleted_at IS NULL AND created_at >= {ts(p.anchor)} GROUP BY 1 ORDER BY 1")
+def _paid(key: str, name: str, where: str) -> str:
+    rows = [f"SELECT {key}, CASE use_package WHEN 1 THEN 'package' WHEN 0 THEN 'single' END, NULL FROM reservations WHERE deleted_at IS NULL{where}"]
+    return _by_key(rows, f"key AS {name}, {_n('single')} AS single_washes, {_n('package')} AS package_washes" + (
+        ", count(*) AS total_paid_washes" if name == "week_start" else ""), "ORDER BY key")
 
 
-def _pk(p, key, lo_cond):
-    return (f"SELECT {key} AS d, cast(SUM(CASE WHEN pp.is_customized = 1 THEN 1 WHEN pp.is_customized IS NULL THEN NULL "
-            f"ELSE 0 END) AS BIGINT) AS pkg_customized, "
-            f"cast(SUM(CASE WHEN coalesce(pp.is_customized, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pkg_non_customized, "
-            f"cast(SUM(CASE WHEN ps.package_id IN ({ids(p.offer_package_ids)}) THEN 1 ELSE 0 END) AS BIGINT) AS bogo_free_wash "
-            f"FROM package_subscriptions ps JOIN packages pp ON pp.id = ps.package_id "
-            f"WHERE ps.status = 1 AND ps.deleted_at IS NULL AND {lo_cond} GROUP BY 1")
+def weekly_paid_washes(p):
+    return _paid(week("created_at", p.anchor), "week_start", f" AND created_at >= {ts(p.anchor)}")
 
 
-def weekly_purchase_breakdown(p):
-    lo = ts(p.anchor)
-    return f"""SELECT wk.d AS week, coalesce(sp.single_purchased, 0) AS single_purchased,
-  coalesce(pk.pkg_customized, 0) AS pkg_customized, coalesce(pk.pkg_non_customized, 0) AS pkg_non_customized,
-  coalesce(pk.bogo_free_wash, 0) AS bogo_free_wash
-FROM (SELECT DISTINCT {_wk_str('created_at', p)} AS d FROM reservations
-      WHERE deleted_at IS NULL AND created_at >= {lo}) wk
-LEFT JOIN (SELECT {_wk_str('created_at', p)} AS d, COUNT(*) AS single_purchased FROM reservations
-      WHERE use_package = 0 AND deleted_at IS NULL AND created_at >= {lo} GROUP BY 1) sp ON sp.d = wk.d
-LEFT JOIN ({_pk(p, _wk_str('ps.created_at', p), f'ps.created_at >= {lo}')}) pk ON pk.d = wk.d
-ORDER BY wk.d DESC"""
+def monthly_paid_washes(p):
+    return _paid("date_trunc('month', created_at)::DATE", "month", "")
 
 
-def weekly_worker_efficiency(p):
-    return f"""WITH e AS (SELECT {_wk_str('"date"', p)} AS wk, COUNT(*) AS assigned,
-    COUNT(DISTINCT representative_id) AS asg_w, cast(SUM(CASE WHEN status = 3 THEN 1 ELSE 0 END) AS BIGINT) AS executed,
-    COUNT(DISTINCT CASE WHEN status = 3 THEN representative_id END) AS exec_w
-  FROM reservations WHERE deleted_at IS NULL AND representative_id IS NOT NULL
-    AND "date" >= {s(p.anchor)} AND "date" < {s(p.today)} GROUP BY 1)
-SELECT cast(wk AS DATE) AS week,
-  {rnd(div(f"100 * {div('executed', 'exec_w')}", div('assigned', 'asg_w')), 1)} AS efficiency_pct
-FROM e ORDER BY week"""
+def _purchases(p, key, where: str) -> list[str]:
+    """Single orders, and paid packages of the catalogue once as their kind and once more if on offer."""
+    sold = f"""FROM package_subscriptions JOIN packages ON packages.id = package_id
+  WHERE deleted_at IS NULL AND status = 1 AND {where}"""
+    return [f"SELECT {key}, 'single', NULL FROM reservations WHERE deleted_at IS NULL AND use_package = 0 AND {where}",
+            f"SELECT {key}, if(is_customized = 1, 'own', 'standard'), NULL {sold}",
+            f"SELECT {key}, 'offer', NULL {sold} AND package_id IN ({ids(p.offer_package_ids)})"]
 
 
-def weekly_assignment_efficiency(p):
-    rng = f"created_at >= {ts(p.anchor)} AND created_at < {ts(p.today)}"
-    return f"""WITH v AS (SELECT {_wk_str('created_at', p)} AS wk, COUNT(*) AS visits
-  FROM user_area_availability_alert_logs WHERE {rng} GROUP BY 1),
-o AS (SELECT {_wk_str('created_at', p)} AS wk, COUNT(*) AS orders_ FROM reservations
-  WHERE deleted_at IS NULL AND {rng} GROUP BY 1)
-SELECT cast(coalesce(v.wk, o.wk) AS DATE) AS week, coalesce(v.visits, 0) AS visits,
-  coalesce(o.orders_, 0) AS orders, {rnd(div('v.visits', 'o.orders_'), 3)} AS assignment_efficiency
-FROM v LEFT JOIN o ON o.wk = v.wk ORDER BY week"""
+PURCHASES = (f"{_n('single')} AS single_purchased, {_n('own')} AS pkg_customized, {_n('standard')} AS pkg_non_customized, "
+             f"{_n('offer')} AS bogo_free_wash")
 
 
-def monthly_paid_washes(p):
-    return ("SELECT cast(date_trunc('month', created_at) AS DATE) AS month, "
-            "cast(SUM(CASE WHEN use_package = 0 THEN 1 ELSE 0 END) AS BIGINT) AS single_washes, "
-            "cast(SUM(CASE WHEN use_package = 1 THEN 1 ELSE 0 END) AS BIGINT) AS package_washes "
-            "FROM reservations WHERE deleted_at IS NULL GROUP BY 1 ORDER BY 1")
+def weekly_purchase_breakdown(p):
+    """Weeks with any order; packages bought in other weeks are not listed."""
+    key, where = f"strftime({week('created_at', p.anchor)}, '%Y-%m-%d')", f"created_at >= {ts(p.anchor)}"
+    any_order = f"SELECT {key}, 'order', NULL FROM reservations WHERE deleted_at IS NULL AND {where}"
+    return _by_key([any_order, *_purchases(p, key, where)], f"key AS week, {PURCHASES}", f"HAVING {_n('order')} > 0 ORDER BY key DESC")
 
 
 def daily_purchase_breakdown(p):
-    lo, hi = p.today - dt.timedelta(days=60 if p.last_days is None else p.last_days), p.today
-    rng = f"created_at >= {ts(lo)} AND created_at < {ts(hi)}"
-    key = "strftime(ps.created_at, '%Y-%m-%d')"
-    return f"""WITH sp AS (SELECT strftime(created_at, '%Y-%m-%d') AS d, COUNT(*) AS single_purchased FROM reservations
-  WHERE use_package = 0 AND deleted_at IS NULL AND {rng} GROUP BY 1),
-pk AS ({_pk(p, key, f"ps.{rng}")}),
-days AS (SELECT d FROM sp UNION SELECT d FROM pk)
-SELECT days.d AS day, coalesce(sp.single_purchased, 0) AS single_purchased,
-  coalesce(pk.pkg_customized, 0) AS pkg_customized, coalesce(pk.pkg_non_customized, 0) AS pkg_non_customized,
-  coalesce(pk.bogo_free_wash, 0) AS bogo_free_wash
-FROM days LEFT JOIN sp ON sp.d = days.d LEFT JOIN pk ON pk.d = days.d ORDER BY day DESC"""
+    lo = p.today - dt.timedelta(days=60 if p.last_days is None else p.last_days)
+    rows = _purchases(p, "strftime(created_at, '%Y-%m-%d')", f"created_at >= {ts(lo)} AND created_at < {ts(p.today)}")
+    return _by_key(rows, f"key AS day, {PURCHASES}", "ORDER BY key DESC")
+
+
+def weekly_worker_efficiency(p):
+    """Jobs done for each worker with one done, against jobs for each worker with one."""
+    jobs = f"""FROM reservations WHERE deleted_at IS NULL AND representative_id IS NOT NULL AND "date" >= {s(p.anchor)} AND "date" < {s(p.today)}"""
+    key = week('"date"', p.anchor)
+    rows = [f"SELECT {key}, 'given', representative_id {jobs}", f"SELECT {key}, 'done', representative_id {jobs} AND status = 3"]
+    load = lambda kind: div(_n(kind), _who(kind))
+    return _by_key(rows, f"key AS week, {rnd(div(f'100 * {load('done')}', load('given')), 1)} AS efficiency_pct", "ORDER BY key")
+
+
+def weekly_assignment_efficiency(p):
+    """Weeks with a visit to the page without slots."""
+    key, where = week("created_at", p.anchor), f"created_at >= {ts(p.anchor)} AND created_at < {ts(p.today)}"
+    rows = [f"SELECT {key}, 'visit', NULL FROM user_area_availability_alert_logs WHERE {where}",
+            f"SELECT {key}, 'order', NULL FROM reservations WHERE deleted_at IS NULL AND {where}"]
+    return _by_key(rows, f"key AS week, {_n('visit')} AS visits, {_n('order')} AS orders, "
+                         f"{rnd(div(_n('visit'), _n('order')), 3)} AS assignment_efficiency", f"HAVING {_n('visit')} > 0 ORDER BY key")
 
 
 WEEKLY_SQL = {f.__name__: f for f in (
