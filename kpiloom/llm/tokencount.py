@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm.shared import run_folder
+from kpiloom.llm.shared import materialize, run_folder
 from kpiloom.llm.tokens import DEFAULT_TOKENIZER, encoder, tokenizer_digest
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -46,18 +46,22 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, *, cache: str | None = None, tokenizer: str = DEFAULT_TOKENIZER,
-                 space_neutral: bool = True, limit: int = 2048) -> DataFrame:
+                 space_neutral: bool | None = None, limit: int = 2048) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_bytes (UTF-8),
     n_tokens, over_limit (n_tokens > limit).
 
     ``cache``: Parquet folder of stored counts that outlives the call; None starts an empty one in the
     shared folder. Null text is empty: 0 bytes, 0 tokens. A null doc_id stays null; repeated rows each
     get their row; an empty table gives no rows. ``space_neutral`` may only be True for tokenizers that
-    drop white space (the word BPE file).
+    drop white space; None asks the tokenizer (True for the word BPE file, False for sentencepiece models).
 
     Hot texts: a text's copies are reduced to one per map task before the shuffle (partial
     aggregation), and joins back are over 40-byte rows, which adaptive execution splits if skewed.
+    With a cache that holds counts, digests meet it first, and only texts of digests without a count
+    are asked for; where these are few, Spark broadcasts them and no other text is moved.
     """
+    if space_neutral is None:
+        space_neutral = encoder(tokenizer).by_word
     spark = docs.sparkSession
     cache = cache or run_folder(spark, "token-counts")
     version = tokenizer_digest(tokenizer)
@@ -66,10 +70,12 @@ def token_counts(docs: DataFrame, *, cache: str | None = None, tokenizer: str =
     keyed = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
                         F.unhex(F.sha2(content, 256)).alias("digest"))
     stored = read_cache(spark, cache).filter(F.col("tokenizer") == version).dropDuplicates(["digest"])
-    distinct = (docs.select(content.alias("content"))
-                .withColumn("digest", F.unhex(F.sha2("content", 256)))
-                .groupBy("digest").agg(F.first("content").alias("content")))
-    misses = distinct.join(stored, "digest", "left_anti")
+    texts = docs.select(content.alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256)))
+    if not stored.isEmpty():
+        missing = materialize(keyed.select("digest").distinct().join(stored, "digest", "left_anti"),
+                              run_folder(spark, "token-misses"))
+        texts = texts.join(missing, "digest", "left_semi")
+    misses = texts.groupBy("digest").agg(F.first("content").alias("content"))
     misses.mapInArrow(lambda b: _count(b, tokenizer, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = (read_cache(spark, cache).filter(F.col("tokenizer") == version)
               .groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")))

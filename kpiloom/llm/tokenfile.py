@@ -168,7 +168,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
 
 
 def write_token_files(docs: DataFrame, *, folder: str | None = None, tokenizer: str = DEFAULT_TOKENIZER,
-                      end_id: int = 1, docs_per_shard: int = 20_000) -> DataFrame:
+                      end_id: int = 1, docs_per_shard: int = 20_000, bytes_per_shard: int = 128 << 20) -> DataFrame:
     """Encode ``docs`` (doc_id, text; other columns are ignored) in ascending doc_id order and write the
     shards; returns their manifest: shard, uri, n_docs, n_ids.
 
@@ -176,11 +176,13 @@ def write_token_files(docs: DataFrame, *, folder: str | None = None, tokenizer:
     fixed order and do not have to lie in one shard. Null ids come first; null text is empty (its
     document holds the end id alone); repeated rows are documents of their own; an empty table
     writes no shard. A shard's name is its place in the order, and it appears when it is whole, so a
-    repeated task writes the same file again."""
+    repeated task writes the same file again. There are so many shards that they hold ``docs_per_shard``
+    documents and ``bytes_per_shard`` of text on the average, at most."""
     spark = docs.sparkSession
     folder = folder or run_folder(spark, "token-files")
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    shards = max(1, -(-rows.count() // docs_per_shard))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    shards = max(1, -(-n // docs_per_shard), -(-size // bytes_per_shard))
     order = ["doc_id", F.xxhash64("text"), "text"]
     ranged = rows.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)
     return materialize(ranged.mapInArrow(lambda b: _write(b, folder, tokenizer, end_id), MANIFEST),

@@ -250,6 +250,42 @@ def test_labels_equal_plain_python(spark):
     assert len(rows) == len(texts) + len(mixed) and checked > 0.95 * len(rows)
 
 
+def test_a_full_cache_asks_for_new_texts_only(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i % 40}") for i in range(100)], "doc_id long, text string")
+    cache, asked = str(tmp_path / "cache"), []
+    count = tokencount._count
+    tokencount.token_counts(docs, cache=cache).collect()
+    new = docs.union(spark.createDataFrame([(200, "a new text"), (201, " a  new text"), (202, None)], docs.schema))
+    monkeypatch.setattr(tokencount, "_count", lambda b, *x: asked.append(1) or count(b, *x))
+    rows = {r.doc_id: r.n_tokens for r in tokencount.token_counts(new, cache=cache).collect()}
+    plain = {r.doc_id: r.n_tokens for r in tokencount.token_counts(new).collect()}
+    assert rows == plain and len(rows) == 103
+    assert spark.read.parquet(cache).count() == 42  # 40 texts, then the new one and the empty one
+
+
+def test_sentencepiece_counts_white_space(spark):
+    import os
+
+    import public_tokenizers
+    models = [x for x in os.listdir("/opt/tokenizers") if x.endswith(".model")]
+    if not models:
+        pytest.skip("no sentencepiece model here")
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(models[0]))
+    texts = ["a  b", " a b ", "a\n\nb\tc", "plain words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(docs, tokenizer=models[0]).collect()}
+    assert got == {i: len(model.encode(t)) for i, t in enumerate(texts)}
+
+
+def test_shards_are_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * 2000) for i in range(40)], "doc_id long, text string")
+    manifest = tokenfile.write_token_files(docs, bytes_per_shard=50_000)
+    assert manifest.count() == 8
+    assert tokenfile.read_token_files(manifest).count() == 40
+
+
 LONG = {
     "magic": "b3BlbnNzaC1rZXktdjEA",
     "base64": base64.b64encode(bytes([0x30, 0x82, 0x7F, 0xFF, 2, 1, 0, 2, 1, 0, 2, 1])).decode(),
