@@ -296,7 +296,8 @@ def okr_scoreboard_weekly_matrix(t: Tables, p: Params) -> DataFrame:
     weeks from the anchor. Rows beyond the last of them are not read."""
     p = p.with_(as_of=min(p.today, p.anchor + dt.timedelta(days=7 * p.n_weeks)))
     calc = scoreboard_base(t, p, weekly=True, breakdown=False)
-    vals = [((F.col(m) * mult) if mult != 1 else F.col(m)).cast("decimal(12,2)").alias(label)
+    # one type for all indicators, wide enough for any of them: a week's sales have up to 18 digits before the point
+    vals = [((F.col(m) * mult) if mult != 1 else F.col(m)).cast("decimal(38,2)").alias(label)
             for label, m, mult in MATRIX_INDICATORS]
     long = calc.select("period", *vals).unpivot("period", [lbl for lbl, _, _ in MATRIX_INDICATORS], "indicator", "val")
     weeks = [w.isoformat() for w in p.weeks()]
