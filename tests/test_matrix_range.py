@@ -23,6 +23,7 @@ def large_sales(spark) -> Tables:
 @pytest.mark.parametrize("name, week", [
     ("okr_scoreboard_weekly_matrix", "2024-01-08"),
     ("okr_scoreboard_weekly_matrix_early", "2024-01-10"),
+    ("okr_scoreboard_weekly_matrix_incremental", "2024-01-08"),
 ])
 def test_sales_of_any_size_are_shown(spark, name, week):
     query = QUERIES[name]
