@@ -15,6 +15,10 @@ from kpiloom.llm.shared import materialize, run_folder
 
 ORACLE_SQL = None
 
+#: Bytes of texts that packing encodes at once. Its workers still hold what the stages before it took, so the
+#: blocks are a quarter of those that the operator takes on its own.
+PACK_BLOCK_BYTES = 2 << 20
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a language that holds enough of their letters, go."""
@@ -37,7 +41,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, block_bytes=PACK_BLOCK_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

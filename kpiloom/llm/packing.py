@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kpiloom.llm.shared import materialize, run_folder
-from kpiloom.llm.tokens import DEFAULT_TOKENIZER, encoder
+from kpiloom.llm.tokens import BLOCK_BYTES, DEFAULT_TOKENIZER, encoder
 
 CAPACITY = 4096
 END_ID = 2
@@ -80,11 +80,12 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return keys
 
 
-def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int,
+            block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     enc, row = encoder(tokenizer), TaskContext.get().partitionId() << 33
     for batch in batches:
         start = 0
-        for flat, ends in enc.encode(batch.column("text")):
+        for flat, ends in enc.encode(batch.column("text"), block_bytes):
             cuts = [0, *ends.tolist()]
             ids = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
             keys = hilbert_keys(np.array([project(x) for x in ids]).reshape(-1, DIMENSIONS))
@@ -130,18 +131,20 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Rec
 
 
 def pack(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = END_ID,
-         capacity: int = CAPACITY) -> DataFrame:
+         capacity: int = CAPACITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text; other columns are ignored): doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end id alone. A null doc_id stays null. Repeated rows are documents of
     their own; ties on the curve go by doc_id, then by row number, so equal documents lie side by side
     and a hot key is cut into several ranges. A text of any length is cut into as many pieces as it
-    needs. An empty table gives no rows."""
+    needs. An empty table gives no rows.
+
+    ``block_bytes``: texts that a worker encodes at once; smaller blocks take less memory and more time."""
     folder = run_folder(docs.sparkSession, "pack")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     encoded = materialize(docs.select("doc_id", "text").mapInArrow(
-        lambda b: _encode(b, tokenizer, end_id), f"row long, doc_id {id_type}, key long, n long, width int, ids binary"),
+        lambda b: _encode(b, tokenizer, end_id, block_bytes), f"row long, doc_id {id_type}, key long, n long, width int, ids binary"),
         f"{folder}/ids")
     order = ["key", "doc_id", "row"]
     line = materialize(

@@ -76,7 +76,7 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[pa.Array]:
 class TextEncoder:
     """Ids of texts with one tokenizer file; ``dtype`` has 2 bytes an id if the vocabulary allows."""
 
-    def __init__(self, name: str = DEFAULT_TOKENIZER, max_pieces: int = 400_000):
+    def __init__(self, name: str = DEFAULT_TOKENIZER, max_pieces: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         path = tokenizer_path(name)
         self.max_pieces, self.pieces, self.by_word, self.special = max_pieces, {}, False, []
@@ -161,9 +161,9 @@ class TextEncoder:
         n = np.cumsum(pc.list_value_length(split).to_numpy())
         return out, np.where(n > 0, word_ends[np.maximum(n, 1) - 1], 0) if len(word_ends) else np.zeros(len(n), np.int64)
 
-    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each block of texts (null: empty): all ids, and where each text's ids end."""
-        for block in blocks(pc.fill_null(texts, "")):
+    def encode(self, texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each block of texts of about ``size`` bytes (null: empty): all ids, and where each text's ids end."""
+        for block in blocks(pc.fill_null(texts, ""), size):
             yield self._block(block)
 
     def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
