@@ -26,6 +26,7 @@ def large_orders(spark, tmp_path_factory) -> str:
 
 @pytest.mark.parametrize("name, anchor, end", [
     ("okr_scoreboard_weekly_matrix_early", dt.date(2024, 1, 10), dt.date(2024, 1, 20)),
+    ("okr_scoreboard_weekly_matrix_incremental", dt.date(2024, 1, 1), dt.date(2024, 1, 31)),
 ])
 def test_weeks_of_large_orders(spark, large_orders, name, anchor, end):
     sold: dict[str, int] = {}
